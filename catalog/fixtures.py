@@ -103,7 +103,7 @@ def v_tile_wkt(spark, d):
     x1, y0 = x0 + F.lit(0.05), y1 - F.lit(0.05)
 
     def pair(x, y):
-        return F.concat_ws(" ", F.format_number(x, "0.000"), F.format_number(y, "0.000"))
+        return F.format_string("%.3f %.3f", x, y)
 
     ring = [pair(x0, y1), pair(x1, y1), pair(x1, y0), pair(x0, y0), pair(x0, y1)]
     return t.select(

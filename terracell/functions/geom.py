@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terracell.functions.grid import project_x, project_y
-from terracell.functions.util import as_col
+from terracell.functions.util import as_col, let
 
 HAVERSINE_KM = 6371.0
 WEB_MERCATOR_M = 6378137.0
@@ -33,9 +33,11 @@ def point_long(geometry: Column | str) -> Column:
 
 
 def _vertex(text: Column) -> Column:
-    xy = F.split(F.trim(text), r"\s+")
-    return F.struct(
-        F.get(xy, F.lit(0)).cast("double").alias("x"), F.get(xy, F.lit(1)).cast("double").alias("y")
+    return let(
+        F.split(F.trim(text), r"\s+"),
+        lambda xy: F.struct(
+            F.get(xy, F.lit(0)).cast("double").alias("x"), F.get(xy, F.lit(1)).cast("double").alias("y")
+        ),
     )
 
 
@@ -63,15 +65,19 @@ def rings_of(parts: Column | str) -> Column:
 
 def ring_edges(ring: Column) -> Column:
     """``array<struct<x1,y1,x2,y2>>`` of a closed ring."""
-    return F.transform(
-        F.slice(ring, F.lit(1), F.size(ring) - F.lit(1)),
-        lambda a, i: F.struct(
-            a["x"].alias("x1"),
-            a["y"].alias("y1"),
-            F.get(ring, i + F.lit(1))["x"].alias("x2"),
-            F.get(ring, i + F.lit(1))["y"].alias("y2"),
-        ),
-    )
+
+    def pairs(ring: Column) -> Column:
+        starts = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - F.lit(1), F.lit(0)))
+        ends = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - F.lit(1), F.lit(0)))
+        return F.zip_with(
+            starts,
+            ends,
+            lambda a, b: F.struct(
+                a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
+            ),
+        )
+
+    return let(ring, pairs)
 
 
 def edges_of(parts: Column | str) -> Column:
@@ -80,14 +86,17 @@ def edges_of(parts: Column | str) -> Column:
 
 
 def bounds(parts: Column | str) -> Column:
-    points = F.flatten(rings_of(parts))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("minx"),
-        F.array_min(ys).alias("miny"),
-        F.array_max(xs).alias("maxx"),
-        F.array_max(ys).alias("maxy"),
-    )
+
+    def box(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return F.struct(
+            F.array_min(xs).alias("minx"),
+            F.array_min(ys).alias("miny"),
+            F.array_max(xs).alias("maxx"),
+            F.array_max(ys).alias("maxy"),
+        )
+
+    return let(F.flatten(rings_of(parts)), box)
 
 
 def _crosses(edge: Column, x: Column, y: Column) -> Column:
@@ -126,13 +135,15 @@ def _oriented_moments(parts: Column) -> Column:
 
     def of_part(part: Column) -> Column:
         def of_ring(ring: Column, i: Column) -> Column:
-            m = _ring_moments(ring)
-            sign = F.when(i == 0, F.signum(m["a"])).otherwise(-F.signum(m["a"]))
-            return F.struct(
-                (m["a"] * sign).alias("a"),
-                (m["mx"] * sign).alias("mx"),
-                (m["my"] * sign).alias("my"),
-            )
+            def signed(m: Column) -> Column:
+                sign = F.when(i == 0, F.signum(m["a"])).otherwise(-F.signum(m["a"]))
+                return F.struct(
+                    (m["a"] * sign).alias("a"),
+                    (m["mx"] * sign).alias("mx"),
+                    (m["my"] * sign).alias("my"),
+                )
+
+            return let(_ring_moments(ring), signed)
 
         return F.transform(part, of_ring)
 
@@ -149,11 +160,12 @@ def planar_area(parts: Column | str) -> Column:
 
 
 def centroid(parts: Column | str) -> Column:
-    m = _oriented_moments(as_col(parts))
-    weight = F.lit(3.0) * _total(m, "a")
-    return F.struct(
-        F.try_divide(_total(m, "mx"), weight).alias("x"),
-        F.try_divide(_total(m, "my"), weight).alias("y"),
+    return let(
+        _oriented_moments(as_col(parts)),
+        lambda m: F.struct(
+            F.try_divide(_total(m, "mx"), F.lit(3.0) * _total(m, "a")).alias("x"),
+            F.try_divide(_total(m, "my"), F.lit(3.0) * _total(m, "a")).alias("y"),
+        ),
     )
 
 
@@ -192,13 +204,17 @@ def _segments_meet(a: Column, b: Column) -> Column:
 
 def edges_intersect(edges_a: Column | str, edges_b: Column | str) -> Column:
     """True when two areas given by their edges share at least one point."""
-    a, b = as_col(edges_a), as_col(edges_b)
-    first_a, first_b = F.get(a, F.lit(0)), F.get(b, F.lit(0))
-    return (
-        F.exists(a, lambda ea: F.exists(b, lambda eb: _segments_meet(ea, eb)))
-        | inside_edges(b, first_a["x1"], first_a["y1"])
-        | inside_edges(a, first_b["x1"], first_b["y1"])
-    )
+
+    def meet(ab: Column) -> Column:
+        a, b = ab["a"], ab["b"]
+        first_a, first_b = F.get(a, F.lit(0)), F.get(b, F.lit(0))
+        return (
+            F.exists(a, lambda ea: F.exists(b, lambda eb: _segments_meet(ea, eb)))
+            | inside_edges(b, first_a["x1"], first_a["y1"])
+            | inside_edges(a, first_b["x1"], first_b["y1"])
+        )
+
+    return let(F.struct(as_col(edges_a).alias("a"), as_col(edges_b).alias("b")), meet)
 
 
 def intersects(parts_a: Column | str, parts_b: Column | str) -> Column:
@@ -229,8 +245,10 @@ def _clip_half_plane(ring: Column, axis: str, bound: Column, keep_below: bool) -
             .otherwise(F.array().cast("array<struct<x:double,y:double>>"))
         )
 
-    out = F.flatten(F.transform(ring_edges(ring), emit))
-    return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
+    return let(
+        F.flatten(F.transform(ring_edges(ring), emit)),
+        lambda out: F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out),
+    )
 
 
 def clip_to_box(parts: Column | str, minx, miny, maxx, maxy) -> Column:
@@ -325,7 +343,7 @@ def ring_text(ring: Column | str) -> Column:
     return F.array_join(
         F.transform(
             F.slice(ring, F.lit(1), F.size(ring) - F.lit(1)),
-            lambda p: F.concat_ws(" ", F.format_number(p["y"], "0.000000"), F.format_number(p["x"], "0.000000")),
+            lambda p: F.format_string("%.6f %.6f", p["y"], p["x"]),
         ),
         " ",
     )

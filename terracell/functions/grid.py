@@ -82,19 +82,16 @@ def cell_id(res: int, q: Column, r: Column) -> Column:
 
 def cell_of(lat: Column | str, long: Column | str, res: int) -> Column:
     """Cell holding a point; null when a coordinate is null."""
-    side = F.lit(cell_radius_km(res))
-    x, y = project_x(long), project_y(lat)
-    qf = (F.lit(SQRT3 / 3) * x - y / F.lit(3.0)) / side
-    rf = (F.lit(2.0) * y / F.lit(3.0)) / side
-    sf = -qf - rf
-    rq, rr, rs = (F.floor(v + F.lit(0.5)) for v in (qf, rf, sf))
-    dq, dr, ds = F.abs(rq - qf), F.abs(rr - rf), F.abs(rs - sf)
-    q_worst = (dq > ds) & (dq > dr)
-    r_worst = ~q_worst & (ds <= dr)
-    q = F.when(q_worst, -rs - rr).otherwise(rq)
-    r = F.when(r_worst, -rq - rs).otherwise(rr)
-    known = as_col(lat).isNotNull() & as_col(long).isNotNull()
-    return F.when(known, cell_id(res, q, r))
+    unit = F.lit(cell_radius_km(res) * SQRT3)
+    x, y = project_x(long) / unit, project_y(lat) / unit
+    # Floors of three slanted coordinates name the small triangle holding the point; thirds of
+    # their sums are the row r and the slanted column p = q + r of the nearest centre.
+    up = F.lit(SQRT3) * y
+    band = F.floor(x + up + F.lit(1.0))
+    r = F.floor((band + F.floor(up - x + F.lit(1.0))) / F.lit(3.0))
+    p = F.floor((F.floor(F.lit(2.0) * x + F.lit(1.0)) + band) / F.lit(3.0))
+    origin = res * _RES_UNIT + _BIAS * _Q_UNIT + _BIAS
+    return F.lit(origin) + p * F.lit(_Q_UNIT) + r * F.lit(1 - _Q_UNIT)
 
 
 def cell_res(cell: Column | str) -> Column:

@@ -19,3 +19,8 @@ def known(value: Column | str) -> Column:
 def md5_order(*keys: Column | str, seed: int = 42) -> Column:
     """Deterministic shuffled order key, the same in any engine that has md5."""
     return F.md5(F.concat_ws("|", *[as_col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -91,22 +91,22 @@ def boxes_meeting_areas(
     prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
     bins = area_bins(prepared, key, "_parts", size)
     limits = prepared.select(F.col(key), geom.bounds("_parts").alias("_b"), geom.edges_of("_parts").alias("_e"))
-    bins = bins.drop("edges").join(limits, key)
+    bins = bins.drop("edges").join(limits, key).withColumnsRenamed({"_b": "_ab", "_e": "_ae"})
     minx, miny, maxx, maxy = (F.col(c) for c in box)
     spread = boxes.withColumn(
         "bx", F.explode(F.sequence(_bin(minx, size), _bin(maxx, size)))
     ).withColumn("by", F.explode(F.sequence(_bin(miny, size), _bin(maxy, size))))
     tile_edges = geom.edges_of(geom.box_parts(minx, miny, maxx, maxy))
     joined = spread.join(bins, ["bx", "by"])
-    ref_x = _bin(F.greatest(minx, F.col("_b.minx")), size)
-    ref_y = _bin(F.greatest(miny, F.col("_b.miny")), size)
+    ref_x = _bin(F.greatest(minx, F.col("_ab.minx")), size)
+    ref_y = _bin(F.greatest(miny, F.col("_ab.miny")), size)
     overlap = (
-        (minx <= F.col("_b.maxx"))
-        & (maxx >= F.col("_b.minx"))
-        & (miny <= F.col("_b.maxy"))
-        & (maxy >= F.col("_b.miny"))
+        (minx <= F.col("_ab.maxx"))
+        & (maxx >= F.col("_ab.minx"))
+        & (miny <= F.col("_ab.maxy"))
+        & (maxy >= F.col("_ab.miny"))
     )
-    meets = F.col("full") | geom.edges_intersect(tile_edges, F.col("_e"))
+    meets = F.col("full") | geom.edges_intersect(tile_edges, F.col("_ae"))
     return joined.filter(
         overlap & (F.col("bx") == ref_x) & (F.col("by") == ref_y) & meets
     ).select(*boxes.columns, key)
@@ -121,9 +121,11 @@ def cover_cells(areas: DataFrame, key: str, res: int, geometry: str = "geometry"
     """
     side = grid.cell_radius_km(res)
     row_km = 1.5 * side
-    edges = areas.select(
-        F.col(key), F.explode(geom.edges_of(geom.parse_wkt(geometry))).alias("e")
-    ).select(key, "e.*")
+    edges = (
+        areas.select(F.col(key), geom.edges_of(geom.parse_wkt(geometry)).alias("_e"))
+        .select(key, F.explode("_e").alias("e"))
+        .select(key, "e.*")
+    )
     low = grid.project_y(F.least("y1", "y2")) / F.lit(row_km)
     high = grid.project_y(F.greatest("y1", "y2")) / F.lit(row_km)
     rows = edges.withColumn(
