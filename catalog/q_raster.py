@@ -17,6 +17,13 @@ def clean(spark, d):
     return ras.mask_nodata(v_pixel(spark, d), v_raster(spark, d), B)
 
 
+def off_edge(spark, d):
+    """Sites moved a little, so that none lies exactly on a pixel edge."""
+    return v_site(spark, d).select(
+        "c_custkey", (F.col("lat") + 0.00037).alias("lat"), (F.col("lon") + 0.00041).alias("long")
+    )
+
+
 @query(
     "S10 S11 R1 E9 P4 P13",
     with_views(
@@ -162,12 +169,12 @@ def raster_resample(spark, d):
     with_views(
         ["v_site", "v_pixel"],
         """SELECT c_custkey, s.i, s.j, coalesce(b2, 0) AS b2 FROM (
-        SELECT c_custkey, cast(i AS BIGINT) AS i, cast(j AS BIGINT) AS j, cast(floor((lat - 13.8e0) / (-9.6e0 / h)) AS BIGINT) - 2 + i AS row, cast(floor((lon - 2.7e0) / 0.08e0) AS BIGINT) - 2 + j AS col
+        SELECT c_custkey, cast(i AS BIGINT) AS i, cast(j AS BIGINT) AS j, cast(floor((lat + 0.00037e0 - 13.8e0) / (-9.6e0 / h)) AS BIGINT) - 2 + i AS row, cast(floor((lon + 0.00041e0 - 2.7e0) / 0.08e0) AS BIGINT) - 2 + j AS col
         FROM v_site, (SELECT max(row) + 1 AS h FROM v_pixel), range(4) a(i), range(4) b(j)) s LEFT JOIN v_pixel p ON p.row = s.row AND p.col = s.col""",
     ),
 )
 def image_windows(spark, d):
-    pts = v_site(spark, d).select("c_custkey", "lat", F.col("lon").alias("long"))
+    pts = off_edge(spark, d)
     w = ras.windows_at(pts, clean(spark, d), v_raster(spark, d), ["r1"], ["b2"], 4, 4, key="c_custkey")
     return rounded(w.select("c_custkey", "i", "j", "b2"))
 
@@ -177,12 +184,12 @@ def image_windows(spark, d):
     with_views(
         ["v_site", "v_pixel"],
         """SELECT c_custkey, string_agg(cast(cast(v AS BIGINT) AS VARCHAR), ',' ORDER BY i, j) AS pixels FROM (SELECT c_custkey, s.i, s.j, coalesce(b2, 0) AS v FROM (
-        SELECT c_custkey, i, j, cast(floor((lat - 13.8e0) / (-9.6e0 / h)) AS BIGINT) - 1 + i AS row, cast(floor((lon - 2.7e0) / 0.08e0) AS BIGINT) - 1 + j AS col
+        SELECT c_custkey, i, j, cast(floor((lat + 0.00037e0 - 13.8e0) / (-9.6e0 / h)) AS BIGINT) - 1 + i AS row, cast(floor((lon + 0.00041e0 - 2.7e0) / 0.08e0) AS BIGINT) - 1 + j AS col
         FROM v_site, (SELECT max(row) + 1 AS h FROM v_pixel), range(3) a(i), range(3) b(j)) s LEFT JOIN v_pixel p ON p.row = s.row AND p.col = s.col) GROUP BY c_custkey""",
     ),
 )
 def image_stack(spark, d):
-    pts = v_site(spark, d).select("c_custkey", "lat", F.col("lon").alias("long"))
+    pts = off_edge(spark, d)
     w = ras.windows_at(pts, clean(spark, d), v_raster(spark, d), ["r1"], ["b2"], 3, 3, key="c_custkey")
     s = ras.stack_windows(w, ["b2"], key="c_custkey")
     return s.select("c_custkey", F.array_join(F.transform("pixels", lambda v: v.cast("long").cast("string")), ",").alias("pixels"))
@@ -277,13 +284,13 @@ def image_products(spark, d):
     "E10 E11",
     with_views(
         ["v_site"],
-        "SELECT c_custkey, cast(floor((lat - 13.8e0) / -0.096e0) AS BIGINT) AS row, cast(floor((lon - 2.7e0) / 0.08e0) AS BIGINT) AS col FROM v_site",
+        "SELECT c_custkey, cast(floor((lat + 0.00037e0 - 13.8e0) / -0.096e0) AS BIGINT) AS row, cast(floor((lon + 0.00041e0 - 2.7e0) / 0.08e0) AS BIGINT) AS col FROM v_site",
     ),
 )
 def pixel_of_point(spark, d):
-    s = v_site(spark, d)
+    s = off_edge(spark, d)
     affine = {"a": 0.08, "b": 0.0, "c": 2.7, "d": 0.0, "e": -0.096, "f": 13.8}
-    s = s.withColumns({k: F.lit(v) for k, v in affine.items()}).withColumn("p", geom.pixel_at("lon", "lat"))
+    s = s.withColumns({k: F.lit(v) for k, v in affine.items()}).withColumn("p", geom.pixel_at("long", "lat"))
     return s.select("c_custkey", "p.row", "p.col")
 
 
