@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per part of the inventory."""
 
 from catalog.base import REGISTRY
-from catalog import q_evaluate, q_folds, q_grid, q_raster, q_target  # noqa: F401
+from catalog import q_evaluate, q_folds, q_grid, q_models, q_prep, q_raster, q_scalars, q_target  # noqa: F401
 
 __all__ = ["REGISTRY"]

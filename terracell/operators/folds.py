@@ -24,14 +24,15 @@ GREEDY_GROUPS = 100_000
 
 def interval_class(df: DataFrame, column: str, cuts: int, name: str = "cls") -> DataFrame:
     """Equal-width, right-closed class 0..cuts-1 over the column's range; null stays null."""
-    ends = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    x = F.col(column).cast("double")
+    ends = df.agg(
+        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).alias("e")
+    ).scalar()
+    x, lo, hi = F.col(column).cast("double"), F.col("_e.lo"), F.col("_e.hi")
     inner = sum(
         ((x > lo + (hi - lo) * F.lit(i) / F.lit(cuts)).cast("int") for i in range(1, cuts)), F.lit(0)
     )
     cls = F.when(lo == hi, F.lit((cuts - 1) // 2)).otherwise(inner)
-    return df.withColumn(name, F.when(x.isNotNull(), cls))
+    return df.withColumn("_e", ends).withColumn(name, F.when(x.isNotNull(), cls)).drop("_e")
 
 
 def fixed_class(x: Column | str, edges: Sequence[float], include_lowest: bool = True) -> Column:
@@ -93,8 +94,8 @@ def interval_holdouts(
     """One ``is_test_<target>`` column per target: fold 0 of int(1/share) stratified folds."""
     out = df
     for t in targets:
-        folded = interval_folds(out, keys, t, int(1 / share), cuts, seed)
-        out = folded.withColumn(f"is_test_{t}", F.col("fold") == 0).drop("fold")
+        folded = interval_folds(df.select(*keys, t), keys, t, int(1 / share), cuts, seed)
+        out = out.join(folded.select(*keys, (F.col("fold") == 0).alias(f"is_test_{t}")), list(keys))
     return out
 
 
