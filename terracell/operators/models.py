@@ -285,8 +285,8 @@ def predict_targets(df: DataFrame, models: Mapping[str, Model], keep: Sequence[s
     """One prediction column per target; map-only."""
     out = df
     for target, model in models.items():
-        col = f"pred_{target}"
-        out = model.transform(out.drop("prediction", "rawPrediction", "probability")).withColumnRenamed("prediction", col)
+        plain = out.columns
+        out = model.transform(out).select(*plain, F.col("prediction").alias(f"pred_{target}"))
     return out.select(*keep, *[F.col(f"pred_{t}").alias(t) for t in models])
 
 

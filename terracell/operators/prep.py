@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import (
     OneHotEncoder,
+    SQLTransformer,
     StringIndexer,
     VectorAssembler,
 )
@@ -51,6 +52,18 @@ def fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     )
 
 
+def fill_stage(values: Mapping[str, float], indicators: Sequence[str], suffix: str = "__x") -> SQLTransformer:
+    """Filled copies and missing indicators as a stage that is saved with its pipeline."""
+    made = [f"coalesce(cast(`{c}` AS double), {float(v)!r}D) AS `{c}{suffix}`" for c, v in values.items()]
+    made += [f"cast(`{c}` IS NULL AS double) AS `{c}_missing`" for c in indicators]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
+
+
+def scale_stage(scales: Mapping[str, Scale], suffix: str = "__x", output: str = "__z") -> SQLTransformer:
+    made = [f"(`{c}{suffix}` - {float(s.centre)!r}D) / {float(s.width)!r}D AS `{c}{output}`" for c, s in scales.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
+
+
 def fill_categories(df: DataFrame, columns: Sequence[str], value: str = "Unknown") -> DataFrame:
     return df.na.fill(value, subset=list(columns))
 
