@@ -221,6 +221,30 @@ def intersects(parts_a: Column | str, parts_b: Column | str) -> Column:
     return edges_intersect(edges_of(parts_a), edges_of(parts_b))
 
 
+def box_meets_edges(minx, miny, maxx, maxy, edges: Column | str) -> Column:
+    """True when a closed box shares a point with the area of the given edges.
+
+    Either an edge touches the box, by overlap of ranges and the box's corners not all lying on
+    one side of it, or the box's top left corner is inside. Only edges whose y range meets the
+    box's are needed.
+    """
+    minx, miny, maxx, maxy = (as_col(v) for v in (minx, miny, maxx, maxy))
+
+    def touches(e: Column) -> Column:
+        near = (
+            (F.greatest(e["x1"], e["x2"]) >= minx)
+            & (F.least(e["x1"], e["x2"]) <= maxx)
+            & (F.greatest(e["y1"], e["y2"]) >= miny)
+            & (F.least(e["y1"], e["y2"]) <= maxy)
+        )
+        sides = [
+            _side_of(e["x1"], e["y1"], e["x2"], e["y2"], cx, cy) for cx in (minx, maxx) for cy in (miny, maxy)
+        ]
+        return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    return F.exists(as_col(edges), touches) | inside_edges(edges, minx, maxy)
+
+
 def _clip_half_plane(ring: Column, axis: str, bound: Column, keep_below: bool) -> Column:
     """Part of a closed ring on one side of an axis-parallel line, closed again."""
     other = "y" if axis == "x" else "x"

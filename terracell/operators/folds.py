@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import geom
 from terracell.functions.util import as_col
-from terracell.operators.ranking import shuffled_position, value_splits, range_bucket
+from terracell.operators.ranking import shuffled_position, value_order_positions
 from terracell.session import cut_lineage
 
 GREEDY_GROUPS = 100_000
@@ -134,28 +134,13 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
             [(g, f) for g, f in plan.items()], f"`{group}` {kind}, fold int"
         )
         return df.join(folds, group)
-    ranked = _ranked_rows(sizes.withColumn("_key", F.xxhash64(group)), [], "_n", "_key", "_pos")
+    ranked = value_order_positions(sizes.withColumn("_key", F.xxhash64(group)), "_n", "_key", name="_pos")
     turn = F.floor((F.col("_pos") - 1) / k)
     at = ((F.col("_pos") - 1) % k).cast("int")
     dealt = ranked.select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).alias("fold"))
     return df.join(dealt, group)
 
 
-def _ranked_rows(df: DataFrame, by: Sequence[str], value: str, key: str, name: str) -> DataFrame:
-    """1-based position by (value, key) within groups, bucketed by value ranges and key hash."""
-    from terracell.operators.ranking import _offsets, _with_offsets
-
-    cut = range_bucket(df, value, value_splits(df, value), "_vb").withColumn("_vb", F.col("_vb").cast("long"))
-    inner = Window.partitionBy(*by, "_vb").orderBy(value, key)
-    ranked = cut.withColumn("_rn", F.row_number().over(inner))
-    offsets = _offsets(cut, by, "_vb", F.count(F.lit(1)))
-    return (
-        _with_offsets(ranked, offsets, by, "_vb")
-        .withColumn(name, F.col("_before") + F.col("_rn"))
-        .drop("_vb", "_rn", "_before")
-    )
-
-
 def _nearest(centres: Sequence[tuple[float, float]], open_: Sequence[int], lat: str, long: str) -> Column:
     """Struct (km, centre) of the nearest open centre: a least over literals, no join."""
     return F.array_min(
@@ -196,7 +181,7 @@ def spatial_groups(
         if all(n_bids <= room[i] for i, n_bids in wanted.items()):
             placed.append(bids.select(key, "group"))
             break
-        ranked = _ranked_rows(bids, ["group"], "_km", key, "_pos")
+        ranked = value_order_positions(bids, "_km", key, ["group"], "_pos")
         limit = F.element_at(
             F.create_map(*[F.lit(v) for i in open_ for v in (i, room[i])]), F.col("group")
         )
@@ -253,7 +238,7 @@ def nearest_to_centroid(
         F.count(F.lit(1)).alias("_n"),
     )
     far = df.join(picked, by).withColumn("_km", geom.haversine_km(lat, long, F.col("_p.y"), F.col("_p.x")))
-    ranked = _ranked_rows(far, [by], "_km", keys[0], "_pos")
+    ranked = value_order_positions(far, "_km", keys[0], [by], "_pos")
     return ranked.withColumn("is_test", F.col("_pos") > F.floor(F.col("_n") * (k - 1) / k)).drop(
         "_p", "_n", "_km", "_pos"
     )

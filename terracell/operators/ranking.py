@@ -7,6 +7,7 @@ inside a bucket, and add the running size of the earlier buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -89,7 +90,7 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("ties"))
     )
     if splits is None:
-        splits = value_splits(distinct, value)
+        splits = value_splits(df, value)
     cut = range_bucket(distinct, value, splits, "_bucket")
     inner = (
         Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -118,3 +119,36 @@ def value_at_rank(positions: DataFrame, value: str, rank: Column) -> DataFrame:
     """The value standing at a 1-based rank, from ``value_positions``."""
     hit = (F.col("below") < rank) & (rank <= F.col("below") + F.col("ties"))
     return positions.filter(hit).select(value)
+
+
+def value_order_positions(
+    df: DataFrame, value: str, key: str, by: Sequence[str] = (), name: str = "position"
+) -> DataFrame:
+    """1-based position of each row by value within its group, ties in shuffled key order.
+
+    Rows are cut into value ranges. A value common enough to be a boundary twice gets a range of
+    its own, and that range is cut again by the hash of the key, so ties of any size are spread.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = (
+        df.approxQuantile(value, [i / parts for i in range(1, parts)], min(0.01, 1 / (4 * parts)))
+        if parts > 1
+        else []
+    )
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})
+    splits = sorted({*cuts, *[math.nextafter(h, math.inf) for h in hot]})
+    spread = range_bucket(df, value, splits, "_vb")
+    is_hot = F.col(value).isin(hot) if hot else F.lit(False)
+    work = (
+        spread.withColumn("_h", F.when(is_hot, md5_order(key)).otherwise(F.lit("")))
+        .withColumn("_bucket", F.concat(F.lpad(F.col("_vb").cast("int").cast("string"), 8, "0"), F.substring("_h", 1, 3)))
+        .drop("_vb")
+    )
+    inner = Window.partitionBy(*by, "_bucket").orderBy(value, "_h", key)
+    ranked = work.withColumn("_rn", F.row_number().over(inner))
+    offsets = _offsets(work, by, "_bucket", F.count(F.lit(1)))
+    return (
+        _with_offsets(ranked, offsets, by, "_bucket")
+        .withColumn(name, F.col("_before") + F.col("_rn"))
+        .drop("_h", "_bucket", "_rn", "_before")
+    )

@@ -19,35 +19,46 @@ def _bin(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size)).cast("long")
 
 
-def area_bins(areas: DataFrame, key: str, parts: str, size: float) -> DataFrame:
-    """``(key, bx, by, full, edges)``: one row per area and lattice bin it may touch."""
-    lo, hi = F.col("_b.minx"), F.col("_b.maxx")
-    boxed = areas.select(
-        F.col(key), geom.edges_of(parts).alias("_e"), geom.bounds(parts).alias("_b")
+def area_bins(
+    areas: DataFrame, key: str, parts: str, size: float, margin: float = 0.0, whole_box: bool = False
+) -> DataFrame:
+    """``(key, bx, by, full, edges, box)``: one row per area and lattice bin it touches.
+
+    ``edges`` of an outline bin are those of its row of bins, widened by the margin: enough to
+    decide every horizontal ray starting in the row. Inner bins carry none. ``whole_box`` keeps
+    the bins of the bounding box the area does not touch, too.
+    """
+    lo, hi = F.col("box.minx"), F.col("box.maxx")
+    boxed = areas.select(F.col(key), geom.edges_of(parts).alias("_e"), geom.bounds(parts).alias("box"))
+    rows = boxed.withColumn(
+        "by", F.explode(F.sequence(_bin(F.col("box.miny"), size), _bin(F.col("box.maxy"), size)))
     )
-    rows = boxed.withColumn("by", F.explode(F.sequence(_bin(F.col("_b.miny"), size), _bin(F.col("_b.maxy"), size))))
     y0 = F.col("by") * F.lit(size)
-    near_y = rows.withColumn(
-        "_e_row",
+    banded = rows.withColumn(
+        "_e",
         F.filter(
             "_e",
-            lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-            & (F.least(e["y1"], e["y2"]) <= y0 + F.lit(size)),
+            lambda e: (F.greatest(e["y1"], e["y2"]) >= y0 - F.lit(margin))
+            & (F.least(e["y1"], e["y2"]) <= y0 + F.lit(size + margin)),
         ),
     )
-    cells = near_y.withColumn("bx", F.explode(F.sequence(_bin(lo, size), _bin(hi, size))))
+    cells = banded.withColumn("bx", F.explode(F.sequence(_bin(lo, size), _bin(hi, size))))
     x0 = F.col("bx") * F.lit(size)
     touched = F.exists(
-        "_e_row",
+        "_e",
         lambda e: (F.greatest(e["x1"], e["x2"]) >= x0)
-        & (F.least(e["x1"], e["x2"]) <= x0 + F.lit(size)),
+        & (F.least(e["x1"], e["x2"]) <= x0 + F.lit(size))
+        & (F.greatest(e["y1"], e["y2"]) >= y0)
+        & (F.least(e["y1"], e["y2"]) <= y0 + F.lit(size)),
     )
-    centre_in = geom.inside_edges("_e_row", x0 + F.lit(size / 2), y0 + F.lit(size / 2))
-    # Edges of the bin's row decide every horizontal ray that starts inside the row.
+    centre_in = geom.inside_edges("_e", x0 + F.lit(size / 2), y0 + F.lit(size / 2))
+    judged = cells.withColumns({"_touched": touched, "_in": centre_in}).withColumn(
+        "full", F.col("_in") & ~F.col("_touched")
+    )
+    if not whole_box:
+        judged = judged.filter(F.col("_touched") | F.col("_in"))
     return (
-        cells.withColumn("full", ~touched)
-        .filter(touched | centre_in)
-        .select(key, "bx", "by", "full", F.when(~F.col("full"), F.col("_e_row")).alias("edges"))
+        judged.select(key, "bx", "by", "full", F.when(~F.col("full"), F.col("_e")).alias("edges"), "box")
     )
 
 
@@ -82,34 +93,32 @@ def boxes_meeting_areas(
     geometry: str = "geometry",
     box: tuple[str, str, str, str] = ("minx", "miny", "maxx", "maxy"),
     size: float = 1.0,
+    margin: float = 4.0,
 ) -> DataFrame:
     """Axis-parallel boxes (tiles) with the key of each area they intersect.
 
+    No box may be taller than ``margin`` degrees.
+
     A pair that meets in several bins is reported in one of them only, the one holding the lower
-    corner of the two bounding boxes' overlap, so no distinct is needed.
+    corner of the two bounding boxes' overlap, so no distinct is needed. That bin need not touch the
+    area, so the areas keep every bin of their bounding box.
     """
-    prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
-    bins = area_bins(prepared, key, "_parts", size)
-    limits = prepared.select(F.col(key), geom.bounds("_parts").alias("_b"), geom.edges_of("_parts").alias("_e"))
-    bins = bins.drop("edges").join(limits, key).withColumnsRenamed({"_b": "_ab", "_e": "_ae"})
     minx, miny, maxx, maxy = (F.col(c) for c in box)
+    prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
+    bins = area_bins(prepared, key, "_parts", size, margin, whole_box=True).withColumnRenamed("box", "_area")
     spread = boxes.withColumn(
         "bx", F.explode(F.sequence(_bin(minx, size), _bin(maxx, size)))
     ).withColumn("by", F.explode(F.sequence(_bin(miny, size), _bin(maxy, size))))
-    tile_edges = geom.edges_of(geom.box_parts(minx, miny, maxx, maxy))
-    joined = spread.join(bins, ["bx", "by"])
-    ref_x = _bin(F.greatest(minx, F.col("_ab.minx")), size)
-    ref_y = _bin(F.greatest(miny, F.col("_ab.miny")), size)
-    overlap = (
-        (minx <= F.col("_ab.maxx"))
-        & (maxx >= F.col("_ab.minx"))
-        & (miny <= F.col("_ab.maxy"))
-        & (maxy >= F.col("_ab.miny"))
+    a = F.col("_area")
+    overlap = (minx <= a["maxx"]) & (maxx >= a["minx"]) & (miny <= a["maxy"]) & (maxy >= a["miny"])
+    here = (F.col("bx") == _bin(F.greatest(minx, a["minx"]), size)) & (
+        F.col("by") == _bin(F.greatest(miny, a["miny"]), size)
+    )
+    fits = F.when(maxy - miny <= margin, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a box is taller than {margin} degrees")).cast("boolean")
     )
-    meets = F.col("full") | geom.edges_intersect(tile_edges, F.col("_ae"))
-    return joined.filter(
-        overlap & (F.col("bx") == ref_x) & (F.col("by") == ref_y) & meets
-    ).select(*boxes.columns, key)
+    meets = fits & (F.col("full") | geom.box_meets_edges(minx, miny, maxx, maxy, "edges"))
+    return spread.join(bins, ["bx", "by"]).filter(overlap & here & meets).select(*boxes.columns, key)
 
 
 def cover_cells(areas: DataFrame, key: str, res: int, geometry: str = "geometry") -> DataFrame:

@@ -132,8 +132,8 @@ def areal_interpolation(
         & (F.col("_b.miny") <= F.col("maxy"))
         & (F.col("_b.maxy") >= F.col("miny"))
     )
-    box = geom.box_parts(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
-    met = left.join(right, ["bx", "by"]).filter(here & geom.intersects("_h", box))
+    touching = geom.box_meets_edges("minx", "miny", "maxx", "maxy", geom.edges_of("_h"))
+    met = left.join(right, ["bx", "by"]).filter(here & touching)
     cut = geom.planar_area(geom.clip_to_box("_h", "minx", "miny", "maxx", "maxy"))
     share = met.withColumn("_share", F.coalesce(cut, F.lit(0.0)) / geom.planar_area("_h"))
     out = [F.avg(value).alias(value), F.sum(F.col("_share") * F.col(value)).alias(f"weighted_{value}")]
