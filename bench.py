@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from catalog import REGISTRY
@@ -59,6 +60,7 @@ def main() -> None:
             if i:
                 times.append(time.perf_counter() - start)
         took[name] = round(statistics.median(times), 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -113,8 +113,9 @@ def refuse_wide(meta: DataFrame, max_bands: int = 5) -> DataFrame:
 def locate(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     """Pixels with the geographic ``lat`` and ``long`` of their centres."""
     affine = meta.select("raster", "crs", *"abcdef")
-    out = pixels.join(affine, "raster").withColumn("_p", geom.pixel_centre(None, "row", "col"))
-    x, y = F.col("_p.x"), F.col("_p.y")
+    centre = geom.pixel_centre(None, "row", "col")
+    out = pixels.join(affine, "raster").withColumns({"_x": centre["x"], "_y": centre["y"]})
+    x, y = F.col("_x"), F.col("_y")
     mercator = geom.transform_xy(x, y, "EPSG:3857", "EPSG:4326")
     equal = geom.transform_xy(x, y, "equal-area-km", "EPSG:4326")
     place = (
@@ -128,7 +129,7 @@ def locate(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     return (
         out.withColumn("_g", place)
         .withColumns({"long": F.col("_g.x"), "lat": F.col("_g.y")})
-        .drop("crs", *"abcdef", "_p", "_g")
+        .drop("crs", *"abcdef", "_x", "_y", "_g")
     )
 
 
@@ -208,12 +209,12 @@ def crop_metadata(clipped: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def grid_pixels(meta: DataFrame) -> DataFrame:
-    """Every (raster, row, col) of a grid; rows first, so no array spans the whole raster."""
-    rows = meta.select(
-        "raster", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row")
-    )
-    return rows.repartition("raster", "row").select(
-        "raster", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("col")
+    """Every (row, col) of a grid beside its metadata; rows first, so that no array spans the
+    raster and the rows are dealt out before the columns are made."""
+    rows = meta.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)))
+    parts = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "raster", "row").withColumn(
+        "col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1))
     )
 
 
@@ -223,25 +224,33 @@ def match_grid(
     """Bilinear resampling onto another grid of the same raster name and coordinate system.
 
     Each target pixel asks for the up to four source pixels around its centre by equal
-    (raster, row, col); weights of missing ones are left out and the rest rescaled.
+    (raster, row, col); weights of missing ones are left out and the rest rescaled. The two
+    metadata rows are joined before any pixel exists, so the one large join is that with the
+    source pixels.
     """
-    places = (
-        grid_pixels(target)
-        .join(target.select("raster", *"abcdef"), "raster")
-        .withColumn("_p", geom.pixel_centre(None, "row", "col"))
-        .select("raster", "row", "col", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
-    )
-    source = meta.select("raster", *"abcdef", "width", "height")
-    at = places.join(source, "raster").withColumn("_s", geom.pixel_position("x", "y"))
-    fr, fc = F.col("_s.row") - 0.5, F.col("_s.col") - 0.5
+    source = meta.select("raster", F.struct(*"abcdef", "width", "height").alias("_src"))
+    grids = target.select("raster", *"abcdef", "width", "height").join(source, "raster")
+    centre = geom.pixel_centre(None, "row", "col")
+    places = grid_pixels(grids).select("raster", "row", "col", centre["x"].alias("x"), centre["y"].alias("y"), "_src.*")
+    spot = geom.pixel_position("x", "y")
+    # Plain columns step by step: each is computed once, and generated code stays small.
+    at = places.withColumns({"_sr": spot["row"], "_sc": spot["col"]})
     inside = (
-        (F.col("_s.row") >= 0)
-        & (F.col("_s.row") <= F.col("height"))
-        & (F.col("_s.col") >= 0)
-        & (F.col("_s.col") <= F.col("width"))
+        (F.col("_sr") >= 0)
+        & (F.col("_sr") <= F.col("height"))
+        & (F.col("_sc") >= 0)
+        & (F.col("_sc") <= F.col("width"))
+    )
+    at = at.filter(inside).withColumns(
+        {"_r0": F.floor(F.col("_sr") - 0.5), "_c0": F.floor(F.col("_sc") - 0.5)}
     )
-    wr, wc = F.round(fr - F.floor(fr), 9), F.round(fc - F.floor(fc), 9)
-    r0, c0 = F.floor(fr), F.floor(fc)
+    at = at.withColumns(
+        {
+            "_wr": F.round(F.col("_sr") - 0.5 - F.col("_r0"), 9),
+            "_wc": F.round(F.col("_sc") - 0.5 - F.col("_c0"), 9),
+        }
+    )
+    wr, wc, r0, c0 = (F.col(c) for c in ("_wr", "_wc", "_r0", "_c0"))
     corners = F.array(
         *[
             F.struct(
@@ -254,8 +263,8 @@ def match_grid(
         ]
     )
     asked = (
-        at.filter(inside)
-        .select("raster", "row", "col", F.explode(corners).alias("n"))
+        at.withColumn("_n", corners)
+        .select("raster", "row", "col", F.explode("_n").alias("n"))
         .filter("n.w > 0")
         .select("raster", "row", "col", F.col("n.r").alias("_r"), F.col("n.c").alias("_c"), F.col("n.w").alias("_w"))
     )
@@ -320,20 +329,18 @@ def windows_at(
     asked = points.select(key, "lat", "long", F.explode(names).alias("raster")).join(
         meta.select("raster", *"abcdef"), "raster"
     )
-    placed = asked.withColumn("_p", geom.pixel_at("long", "lat"))
-    spots = placed.select(
-        key,
-        "raster",
-        "_p",
-        F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("i"),
-    ).select(key, "raster", "_p", "i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+    spot = geom.pixel_at("long", "lat")
+    placed = asked.withColumns({"_row": spot["row"], "_col": spot["col"]}).select(key, "raster", "_row", "_col")
+    spots = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
+    )
     keyed = spots.select(
         key,
         "raster",
         "i",
         "j",
-        (F.col("_p.row") - height // 2 + F.col("i")).cast("long").alias("row"),
-        (F.col("_p.col") - width // 2 + F.col("j")).cast("long").alias("col"),
+        (F.col("_row") - height // 2 + F.col("i")).cast("long").alias("row"),
+        (F.col("_col") - width // 2 + F.col("j")).cast("long").alias("col"),
     )
     met = keyed.join(pixels.select("raster", "row", "col", *bands), ["raster", "row", "col"], "left")
     return met.select(key, "raster", "i", "j", *[F.coalesce(F.col(b), F.lit(0.0)).alias(b) for b in bands])
