@@ -250,24 +250,18 @@ def match_grid(
             "_wc": F.round(F.col("_sc") - 0.5 - F.col("_c0"), 9),
         }
     )
-    wr, wc, r0, c0 = (F.col(c) for c in ("_wr", "_wc", "_r0", "_c0"))
-    corners = F.array(
-        *[
-            F.struct(
-                (r0 + i).cast("long").alias("r"),
-                (c0 + j).cast("long").alias("c"),
-                ((wr if i else F.lit(1.0) - wr) * (wc if j else F.lit(1.0) - wc)).alias("w"),
-            )
-            for i in (0, 1)
-            for j in (0, 1)
-        ]
-    )
-    asked = (
-        at.withColumn("_n", corners)
-        .select("raster", "row", "col", F.explode("_n").alias("n"))
-        .filter("n.w > 0")
-        .select("raster", "row", "col", F.col("n.r").alias("_r"), F.col("n.c").alias("_c"), F.col("n.w").alias("_w"))
-    )
+    both = F.array(F.lit(0), F.lit(1))
+    corners = at.withColumn("_i", F.explode(both)).withColumn("_j", F.explode(both))
+    share_r = F.when(F.col("_i") == 1, F.col("_wr")).otherwise(F.lit(1.0) - F.col("_wr"))
+    share_c = F.when(F.col("_j") == 1, F.col("_wc")).otherwise(F.lit(1.0) - F.col("_wc"))
+    asked = corners.select(
+        "raster",
+        "row",
+        "col",
+        (F.col("_r0") + F.col("_i")).alias("_r"),
+        (F.col("_c0") + F.col("_j")).alias("_c"),
+        (share_r * share_c).alias("_w"),
+    ).filter("_w > 0")
     src = pixels.select(F.col("raster"), F.col("row").alias("_r"), F.col("col").alias("_c"), *bands)
     met = asked.join(src, ["raster", "_r", "_c"])
     return met.groupBy("raster", "row", "col").agg(
