@@ -48,6 +48,16 @@ def all_rows(res: int) -> str:
     return sql_axial("latnum", "longnum", res, f"(SELECT *, {FLAGS} FROM v_survey WHERE latnum IS NOT NULL)")
 
 
+def mean_of(c: str) -> str:
+    """Means of the lattice coordinates often end exactly half way between two sixth digits, where
+    the order of summing decides the rounding; in radians they do not."""
+    return f"round(radians(avg({c})), 6)" if c in ("latnum", "longnum") else f"round(avg({c}), 6)"
+
+
+def in_radians(df, *names):
+    return df.withColumns({c: F.radians(c) for c in names})
+
+
 def survey_cells(spark, d, res):
     s = v_survey(spark, d).na.drop(subset=["latnum", "longnum"])
     return cols.k_or_more(s).withColumn("hex_code", grid.cell_of("latnum", "longnum", res))
@@ -58,13 +68,14 @@ def survey_cells(spark, d, res):
     with_views(
         ["v_survey"],
         f"""SELECT hex_code, count(survey) AS survey,
-        {', '.join(f'round(avg({c}), 6) AS {c}' for c in OTHER + ALL_SEV)},
+        {', '.join(f'{mean_of(c)} AS {c}' for c in OTHER + ALL_SEV)},
         round({sql_cell_lat('hex_code', 3)}, 6) AS lat, round({sql_cell_long('hex_code', 3)}, 6) AS long
         FROM ({africa()}) GROUP BY hex_code HAVING count(survey) >= 10""",
     ),
 )
 def target_by_cell(spark, d):
-    return rounded(create_target(v_survey(spark, d), "AFRICA", res=3, threshold=10))
+    t = create_target(v_survey(spark, d), "AFRICA", res=3, threshold=10)
+    return rounded(in_radians(t, "latnum", "longnum"))
 
 
 def _short(c: str, kind: str) -> str:
@@ -75,7 +86,7 @@ def _short(c: str, kind: str) -> str:
     "G4 G5 A3 P10 P12 P14 F13 Y3 Z1",
     with_views(
         ["v_survey"],
-        f"""SELECT hex_code, {', '.join(f'round(avg({c}), 6) AS "{_short(c, "mean")}"' for c in OTHER + ALL_SEV)},
+        f"""SELECT hex_code, {', '.join(f'{mean_of(c)} AS "{_short(c, "mean")}"' for c in OTHER + ALL_SEV)},
         {', '.join(f'count({c}) AS "{_short(c, "count")}"' for c in ALL_SEV)},
         round({sql_cell_lat('hex_code', 3)}, 6) AS lat, round({sql_cell_long('hex_code', 3)}, 6) AS long
         FROM (SELECT s.* EXCLUDE (hex_code), s.hex_code + o.step AS hex_code FROM ({africa()}) s, {sql_disk(2)} o
@@ -84,9 +95,8 @@ def _short(c: str, kind: str) -> str:
     ),
 )
 def target_expanded(spark, d):
-    return rounded(
-        create_target(v_survey(spark, d), "AFRICA", res=3, threshold=30, copy_to_nbrs=True)
-    )
+    t = create_target(v_survey(spark, d), "AFRICA", res=3, threshold=30, copy_to_nbrs=True)
+    return rounded(in_radians(t, "latnum_mean", "longnum_mean"))
 
 
 @query(
@@ -334,9 +344,6 @@ def first_row_per_cell(spark, d):
     return agg.keep_one(s, ["hex_code"], [-F.col("age"), F.col("hhid")]).drop("age")
 
 
-GROUPS = ["AIR", "x"]
-
-
 @query(
     "A26",
     "SELECT l_linenumber, "
