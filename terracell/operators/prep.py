@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
-from terracell.operators.ranking import shuffled_position
+from terracell.operators.ranking import column_quantiles, shuffled_position
 from terracell.session import cut_lineage
 
 
@@ -33,7 +33,7 @@ def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> d
         row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
         return {c: row[c] for c in columns}
     if strategy == "median":
-        return {c: agg.quantile(df, c, 0.5).first()[0] for c in columns}
+        return {c: v[0] for c, v in column_quantiles(df, columns, [0.5]).items()} if columns else {}
     raise ValueError(f"unknown fill strategy: {strategy}")
 
 
@@ -85,17 +85,17 @@ def fit_scale(df: DataFrame, columns: Sequence[str], kind: str = "standard") ->
         row = df.agg(
             *[F.avg(c).alias(f"a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"b_{c}") for c in columns]
         ).first()
-        found = {c: (row[f"a_{c}"], row[f"b_{c}"]) for c in columns}
+        found = {c: (row[f"a_{c}"] or 0.0, row[f"b_{c}"]) for c in columns}
     elif kind == "minmax":
         row = df.agg(
             *[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]
         ).first()
         found = {c: (float(row[f"a_{c}"]), float(row[f"b_{c}"] - row[f"a_{c}"])) for c in columns}
     elif kind == "robust":
-        found = {}
-        for c in columns:
-            low, mid, high = (agg.quantile(df, c, q).first()[0] for q in (0.25, 0.5, 0.75))
-            found[c] = (mid, high - low)
+        quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
+        found = {
+            c: (0.0, 1.0) if mid is None else (mid, high - low) for c, (low, mid, high) in quartiles.items()
+        }
     else:
         raise ValueError(f"unknown scale: {kind}")
     return {c: Scale(a, b if b else 1.0) for c, (a, b) in found.items()}

@@ -104,6 +104,59 @@ def value_positions(
     )
 
 
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], qs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of several columns: one job for the ranges, one for the values.
+
+    Every column has its own range boundaries; counted values are ordered inside (column, range)
+    only. A few numbers per column come back to the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    found = (
+        slim.approxQuantile(list(columns), [i / parts for i in range(1, parts)], min(0.01, 1 / (4 * parts)))
+        if parts > 1
+        else [[] for _ in columns]
+    )
+    edges = [[float("-inf"), *(sorted(set(f)) or [0.0]), float("inf")] for f in found]
+    marks = [f"_b{i}" for i in range(len(columns))]
+    cut = Bucketizer(splitsArray=edges, inputCols=list(columns), outputCols=marks, handleInvalid="keep").transform(slim)
+    items = F.array(
+        *[
+            F.struct(F.lit(i).alias("column"), F.col(m).alias("bucket"), F.col(c).alias("value"))
+            for i, (c, m) in enumerate(zip(columns, marks, strict=True))
+        ]
+    )
+    counted = (
+        cut.select(F.explode(items).alias("e"))
+        .select("e.*")
+        .filter("value IS NOT NULL")
+        .groupBy("column", "bucket", "value")
+        .agg(F.count(F.lit(1)).alias("ties"))
+    )
+    inner = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_in", F.coalesce(F.sum("ties").over(inner), F.lit(0)))
+    offsets = _offsets(counted, ["column"], "bucket", F.sum("ties"))
+    placed = _with_offsets(ranked, offsets, ["column"], "bucket").withColumn("below", F.col("_before") + F.col("_in"))
+    totals = counted.groupBy("column").agg(F.sum("ties").alias("total"))
+    placed = placed.join(totals, "column")
+    picks = []
+    for j, q in enumerate(qs):
+        at = F.lit(q) * (F.col("total") - 1)
+        for name, rank in ((f"lo{j}", F.floor(at) + 1), (f"hi{j}", F.ceil(at) + 1)):
+            stands = (F.col("below") < rank) & (rank <= F.col("below") + F.col("ties"))
+            picks.append(F.max(F.when(stands, F.col("value"))).alias(name))
+    rows = placed.groupBy("column", "total").agg(*picks).collect()
+    out: dict[str, list[float | None]] = {c: [None] * len(qs) for c in columns}
+    for r in rows:
+        for j, q in enumerate(qs):
+            at = q * (r["total"] - 1)
+            lo, hi = r[f"lo{j}"], r[f"hi{j}"]
+            out[columns[r["column"]]][j] = lo + (hi - lo) * (at - math.floor(at))
+    return out
+
+
 def average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank with ties averaged, joined back on the value; null values get a null rank."""
     ranks = value_positions(df, value, by).select(

@@ -123,6 +123,11 @@ def test_quantile_matches_numpy(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     for q in (0.05, 0.25, 0.5, 0.9):
         assert agg.quantile(df, "v", q).first()[0] == pytest.approx(np.quantile(vals, q))
+    two = df.select("v", (F.col("v") * 100 + 5).alias("w"), F.lit(None).cast("double").alias("none"))
+    got = ranking.column_quantiles(two, ["v", "w", "none"], [0.25, 0.9])
+    assert got["v"] == pytest.approx(list(np.quantile(vals, [0.25, 0.9])))
+    assert got["w"] == pytest.approx(list(np.quantile(np.array(vals) * 100 + 5, [0.25, 0.9])))
+    assert got["none"] == [None, None]
 
 
 def test_folds_are_whole_and_even(spark):
