@@ -195,3 +195,53 @@ def predictions_with_bounds(spark, d):
     stored, config, done = trained(spark, d)
     one = done["dep_housing_sev"]
     return rounded(prediction.target_intervals(stored, one.model, "dep_housing_sev", one.test, 4, 0.1))
+
+
+@query(
+    "S2 S3",
+    with_views(["v_tower"], "SELECT radio, count(*) AS n, round(sum(avg_signal), 4) AS avg_signal FROM v_tower GROUP BY radio"),
+)
+def tower_files(spark, d):
+    """Towers through headerless quoted gzip files, all files of the folder read back."""
+    from terracell.schema import TOWER
+
+    root = work_dir(spark)
+    t = fx.v_tower(spark, d)
+    have = {"radio", "long", "lat", "avg_signal"}
+    full = t.select(*[F.col(f.name) if f.name in have else F.lit(0).cast(f.dataType).alias(f.name) for f in TOWER.fields])
+    full.repartition(3).write.option("compression", "gzip").option("quoteAll", True).csv(root)
+    back = readers.read_towers(spark, f"{root}/*.csv.gz")
+    return back.groupBy("radio").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("avg_signal"), 4).alias("avg_signal"))
+
+
+@query("S4", with_views(["v_conflict"], "SELECT event_id, country, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM v_conflict"))
+def conflict_files(spark, d):
+    root = work_dir(spark)
+    fx.v_conflict(spark, d).write.option("header", True).csv(root)
+    return rounded(readers.read_conflicts(spark, root))
+
+
+@query("S7", with_views(["v_road"], "SELECT highway, count(*) AS n, round(sum(length), 2) AS length FROM v_road GROUP BY highway"))
+def road_files(spark, d):
+    root = work_dir(spark)
+    r = fx.v_road(spark, d)
+    named = r.select(
+        F.monotonically_increasing_id().alias("@id"), F.col("lat").alias("@lat"), F.col("lon").alias("@lon"), "length", "highway"
+    )
+    named.write.option("header", True).option("sep", "\t").csv(root)
+    back = readers.read_roads(spark, root)
+    return back.groupBy("highway").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 2).alias("length"))
+
+
+@query("S16", with_views(["v_zone"], "SELECT name, country, 'Polygon' AS type FROM v_zone"))
+def geojson_files(spark, d):
+    """Zones as one GeoJSON document per country, all documents unfolded again."""
+    root = work_dir(spark)
+    feature = F.struct(
+        F.create_map(F.lit("name"), F.col("name"), F.lit("country"), F.col("country")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.array(F.lit(0.0), F.lit(0.0)))).alias("coordinates")).alias("geometry"),
+    )
+    docs = fx.v_zone(spark, d).groupBy("country").agg(F.collect_list(feature).alias("features"))
+    docs.write.partitionBy("country").json(root)
+    back = readers.read_geojson(spark, f"{root}/*/*.json")
+    return back.select(F.col("properties")["name"].alias("name"), F.col("properties")["country"].alias("country"), "type")
