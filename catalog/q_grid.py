@@ -210,7 +210,7 @@ def points_in_zones(spark, d):
         ["v_tile", "v_zone"],
         f"""SELECT hex_code, round(avg(avg_d_kbps), 6) AS avg_d_kbps, round(avg(avg_u_kbps), 6) AS avg_u_kbps FROM (
         {sql_axial('clat', 'clon', 4, '''(SELECT lat - 0.025e0 AS clat, lon + 0.025e0 AS clon, avg_d_kbps, avg_u_kbps FROM v_tile
-            JOIN v_zone ON country = 'EUROPE' AND zone_id = 3 AND lon <= x1 AND lon + 0.05e0 >= x0 AND lat >= y0 AND lat - 0.05e0 <= y1)''')})
+            JOIN v_zone ON country = 'EUROPE' AND zone_id = 3 AND round(lon, 3) <= x1 AND round(lon + 0.05e0, 3) >= x0 AND round(lat, 3) >= y0 AND round(lat - 0.05e0, 3) <= y1)''')})
         GROUP BY hex_code""",
     ),
 )
@@ -266,7 +266,7 @@ def zone_measures(spark, d):
     "E8",
     with_views(
         ["v_tile", "v_zone"],
-        f"""SELECT p_partkey, cast(zone_id AS BIGINT) AS zone_id, round({lit(EARTH_KM)} * {lit(EARTH_KM)} * radians(least(lon + 2e0, x1) - greatest(lon, x0)) * (sin(radians(least(lat, y1))) - sin(radians(greatest(lat - 2e0, y0)))), 6) AS overlap_km2
+        f"""SELECT p_partkey, cast(zone_id AS BIGINT) AS zone_id, round({lit(EARTH_KM)} * {lit(EARTH_KM)} * radians(least(lon + 2e0, x1) - greatest(lon, x0)) * (sin(radians(least(lat, y1))) - sin(radians(greatest(lat - 2e0, y0)))), 4) AS overlap_km2
         FROM v_tile JOIN v_zone ON lon < x1 AND lon + 2e0 > x0 AND lat > y0 AND lat - 2e0 < y1""",
     ),
 )
@@ -282,7 +282,7 @@ def zone_overlap_with_tile(spark, d):
     z = v_zone(spark, d)
     met = spatial.boxes_meeting_areas(t, z, "zone_id").join(z.select("zone_id", geom.parse_wkt("geometry").alias("g")), "zone_id")
     cut = geom.area_km2(geom.clip_to_box("g", "minx", "miny", "maxx", "maxy"))
-    return rounded(met.select("p_partkey", "zone_id", cut.alias("overlap_km2")).filter("overlap_km2 > 0"))
+    return rounded(met.select("p_partkey", "zone_id", F.round(cut, 4).alias("overlap_km2")).filter("overlap_km2 > 0"))
 
 
 @query(
