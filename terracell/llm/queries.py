@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import exact_dedup, mixing, quality_rules, sharding
+from terracell.llm import bpe, exact_dedup, mixing, pii, quality_rules, sharding
 from terracell.llm.common import table, whole, without_spaces
 
 QUERIES = {}
@@ -47,3 +47,48 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"),
     )
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Ids of ``text`` and the text they decode to, as digests; other columns stay."""
+    path = path or vocabulary_path()
+    out = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return out.select(
+        *[c for c in out.columns if c not in ("ids", "decoded")],
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_personal_data(docs).drop("text")
+    return out.select("doc_id", *[count_of(k) for k in pii.BASE], *span_digests(pii.BASE))
+
+
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def span_digests(base: tuple[str, ...]) -> list[Column]:
+    """base_sha256 and spans of an array of (kind, start, end)."""
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return [F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
