@@ -10,11 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.llm import exact_dedup, mixing, quality_rules
+from terracell.llm import exact_dedup, mixing, ngram_join, quality_rules, queries
 from terracell.session import ensure_checkpoint_dir
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule."""
@@ -26,15 +24,27 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.drop_near_copies(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's number of tokens and digests of ids and decoded text."""
+    return queries.bpe_digests(docs.select("doc_id", "text", "source"))
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
     ("mixing", mix_stage),
+    ("bpe", token_stage),
 ]
 
 #: Keys come from hashes that DuckDB lacks; tested against a brute-force version instead.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.session import cut_lineage
+from terracell.session import cut_lineage, ensure_checkpoint_dir
 
 #: One character of white space; the complement makes words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,3 +63,10 @@ def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to write."""
     lower = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in lower])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written below the shared checkpoint folder and read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

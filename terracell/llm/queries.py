@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import bpe, exact_dedup, mixing, pii, quality_rules, sharding
+from terracell.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, sharding
 from terracell.llm.common import table, whole, without_spaces
 
 QUERIES = {}
@@ -92,3 +92,9 @@ def span_digests(base: tuple[str, ...]) -> list[Column]:
 
     of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
     return [F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
