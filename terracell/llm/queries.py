@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, sharding
+from terracell.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, sharding
 from terracell.llm.common import table, whole, without_spaces
 
 QUERIES = {}
@@ -98,3 +98,12 @@ def span_digests(base: tuple[str, ...]) -> list[Column]:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    out = secret_scan.find_secrets(docs, model)
+    base_digest, spans = span_digests(secret_scan.BASE)
+    return out.select("doc_id", *[count_of(k) for k in secret_scan.BASE], base_digest, spans)
