@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, sharding
+from terracell.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality_rules, secret_scan, sharding
 from terracell.llm.common import table, whole, without_spaces
 
 QUERIES = {}
@@ -107,3 +107,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.find_secrets(docs, model)
     base_digest, spans = span_digests(secret_scan.BASE)
     return out.select("doc_id", *[count_of(k) for k in secret_scan.BASE], base_digest, spans)
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scan_licences(docs)
+    return out.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort("licenses"), ",").alias("licenses"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+    )
