@@ -39,7 +39,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The rule above first cuts here: runs without white space, with the one space before them.
 RUNS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+GATHERED = 200_000
 LONGEST_REMEMBERED = 64
 
 
@@ -199,14 +200,17 @@ class BytePairs:
         ids.extend(self.encode_plain(text[at:]))
         return ids
 
-    def offset_table(self) -> tuple[np.ndarray, np.ndarray]:
-        """All token bytes in the order of ids, and where each id starts."""
-        by_id = self.token | {i: t.encode("utf-8") for t, i in self.added.items()}
-        size = max(by_id) + 1
-        parts = [by_id.get(i, b"") for i in range(size)]
-        starts = np.zeros(size + 1, dtype=np.int64)
-        np.cumsum([len(p) for p in parts], out=starts[1:])
-        return np.frombuffer(b"".join(parts), dtype=np.uint8), starts
+
+@lru_cache(maxsize=2)
+def offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All token bytes in the order of ids, and where each id starts; no merges are kept."""
+    d, letters = json.loads(text), byte_letters()
+    by_id = {i: bytes(letters.get(c, 0) for c in t) for t, i in d["model"]["vocab"].items()}
+    by_id |= {t["id"]: t["content"].encode("utf-8") for t in d["added_tokens"]}
+    parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    starts = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum([len(p) for p in parts], out=starts[1:])
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), starts
 
 
 @lru_cache(maxsize=2)
@@ -231,8 +235,15 @@ def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, text_col: str,
         )
 
 
+def gathered(ids: np.ndarray, blob: np.ndarray, starts: np.ndarray) -> bytes:
+    """The bytes of some ids: each byte's place is its token's start plus its place in the token."""
+    sizes = starts[ids + 1] - starts[ids]
+    ends = np.cumsum(sizes)
+    return blob[np.arange(sizes.sum()) + np.repeat(starts[ids] - (ends - sizes), sizes)].tobytes()
+
+
 def decode_batches(batches: Iterator[pa.RecordBatch], vocabulary, ids_col: str, text_col: str):
-    blob, starts = tables(vocabulary.value).offset_table()
+    blob, starts = offsets(vocabulary.value)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(ids_col))
         lists = column.cast(pa.list_(pa.int32()))
@@ -240,13 +251,9 @@ def decode_batches(batches: Iterator[pa.RecordBatch], vocabulary, ids_col: str,
         ids = lists.flatten().to_numpy(zero_copy_only=False)
         if len(ids) and (ids.min() < 0 or ids.max() >= len(starts) - 1):
             raise ValueError("an id is not in the vocabulary")
-        sizes = starts[ids + 1] - starts[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        # each byte's place in the blob: its token's start plus its place in the token
-        where = np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], sizes)
-        data = blob[where]
+        ends = np.concatenate([[0], np.cumsum(starts[ids + 1] - starts[ids])])
+        raw = b"".join(gathered(ids[i : i + GATHERED], blob, starts) for i in range(0, len(ids), GATHERED))
         borders = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        raw = data.tobytes()
         texts = pa.array(
             [raw[a:b].decode("utf-8", "replace") for a, b in zip(borders[:-1], borders[1:])], pa.string()
         )
