@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality_rules, secret_scan, sharding
+from terracell.llm import (
+    bpe,
+    exact_dedup,
+    license_scan,
+    mixing,
+    ngram_join,
+    pii,
+    quality_rules,
+    secret_scan,
+    sharding,
+    weak_labels,
+)
 from terracell.llm.common import table, whole, without_spaces
 
 QUERIES = {}
@@ -119,3 +130,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort("licenses"), ",").alias("licenses"),
         F.array_join("sentence_ids", ",").alias("sentence_ids"),
     )
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_labels.classify(docs).drop("text")
