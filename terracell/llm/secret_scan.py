@@ -34,7 +34,7 @@ RUN = r"[A-Za-z0-9+/_=-]"
 #: Runs of this length or more are scored.
 LEAST_RUN = 20
 #: Log-likelihood ratio that a run must reach, in all and for each step.
-LEAST_SCORE, LEAST_STEP = 20.0, 0.4
+LEAST_SCORE, LEAST_STEP = 15.0, 0.4
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
@@ -98,7 +98,7 @@ def labelled_samples(df: DataFrame, text_col: str = "text") -> DataFrame:
     runs = F.regexp_extract_all(t, F.lit(rf"(?<!{RUN})[A-Za-z]+(?:[_-][A-Za-z]+)*(?!{RUN})"), F.lit(0))
     ordinary = df.select(F.explode(F.filter(runs, lambda r: F.length(r) >= 12)).alias("sample"), F.lit(False).alias("random"))
     values = F.filter(base_spans(t), lambda s: s["value"].rlike("[A-Za-z]"))
-    drawn = F.array(F.substring(F.base64(F.unhex(F.sha2(t, 256))), 1, 43))
+    drawn = F.array(F.substring(F.base64(F.unhex(F.sha2(t, 512))), 1, 85))
     random = df.select(F.explode(F.concat(F.transform(values, lambda s: s["value"]), drawn)).alias("sample"), F.lit(True).alias("random"))
     return ordinary.unionByName(random)
 
