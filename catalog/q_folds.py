@@ -91,19 +91,11 @@ def spatial_holdout(spark, d):
     return folds.spatial_holdout(sites(spark, d), 0.25, key="c_custkey")
 
 
-def _greedy_sql(k: int, groups: int) -> str:
-    """Greedy group plan as a recursive query over groups ranked by size."""
-    loads = ", ".join(f"l{i}" for i in range(k))
-    least = "least(" + loads + ")"
-    pick = "CASE " + " ".join(f"WHEN l{i} = {least} THEN {i}" for i in range(k)) + " END"
-    step = ", ".join(f"l{i} + CASE WHEN pick = {i} THEN n ELSE 0 END" for i in range(k))
-    return f"""WITH RECURSIVE sizes AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1),
-    walk AS (SELECT cast(0 AS BIGINT) AS i, cast(-1 AS INTEGER) AS g, cast(-1 AS INTEGER) AS fold, {', '.join(f'cast(0 AS BIGINT) AS l{i}' for i in range(k))}
-        UNION ALL SELECT i, g, pick, {step} FROM (SELECT s.i, s.c_nationkey AS g, s.n, {loads}, {pick} AS pick FROM walk w JOIN sizes s ON s.i = w.i + 1))
-    SELECT c_custkey, cast(fold AS BIGINT) AS fold FROM customer JOIN walk ON g = c_nationkey"""
-
-
-@query("C7 C10 T3", _greedy_sql(4, 25))
+@query(
+    "C7 C10 T3",
+    f"""WITH ranked AS (SELECT c_nationkey, row_number() OVER (ORDER BY n DESC, {H.format('c_nationkey')}) - 1 AS i FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1))
+    SELECT c_custkey, cast(CASE WHEN (i // 4) % 2 = 0 THEN i % 4 ELSE 3 - i % 4 END AS BIGINT) AS fold FROM customer JOIN ranked USING (c_nationkey)""",
+)
 def group_folds(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     return rounded(folds.group_folds(c, "c_nationkey", 4).select("c_custkey", "fold"))

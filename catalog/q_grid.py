@@ -210,14 +210,14 @@ def points_in_zones(spark, d):
         ["v_tile", "v_zone"],
         f"""SELECT hex_code, round(avg(avg_d_kbps), 6) AS avg_d_kbps, round(avg(avg_u_kbps), 6) AS avg_u_kbps FROM (
         {sql_axial('clat', 'clon', 4, '''(SELECT lat - 0.025e0 AS clat, lon + 0.025e0 AS clon, avg_d_kbps, avg_u_kbps FROM v_tile
-            JOIN v_zone ON country = 'EUROPE' AND zone_id = 3 AND round(lon, 3) <= x1 AND round(lon + 0.05e0, 3) >= x0 AND round(lat, 3) >= y0 AND round(lat - 0.05e0, 3) <= y1)''')})
+            WHERE EXISTS (SELECT 1 FROM v_zone WHERE country = 'EUROPE' AND round(lon, 3) <= x1 AND round(lon + 0.05e0, 3) >= x0 AND round(lat, 3) >= y0 AND round(lat - 0.05e0, 3) <= y1))''')})
         GROUP BY hex_code""",
     ),
 )
 def speed_by_cell(spark, d):
-    zone = v_zone(spark, d).filter(F.col("zone_id") == 3)
-    tiles = v_tile_wkt(spark, d)
-    return rounded(feat.speed_by_cell(tiles, zone, "zone_id", 4))
+    """All zones of one country; a tile on the border of two of them counts once."""
+    zones = v_zone(spark, d).filter(F.col("country") == "EUROPE")
+    return rounded(feat.speed_by_cell(v_tile_wkt(spark, d), zones, "zone_id", 4))
 
 
 @query(

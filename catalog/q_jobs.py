@@ -52,7 +52,7 @@ _CTES = [
     (
         "speed",
         f"""SELECT hex_code, avg(avg_d_kbps) AS avg_d_kbps FROM ({sql_axial('clat', 'clon', 4, '''(SELECT lat - 0.025e0 AS clat, lon + 0.025e0 AS clon, avg_d_kbps FROM v_tile
-        JOIN v_zone ON country = 'ASIA' AND round(lon, 3) <= x1 AND round(lon + 0.05e0, 3) >= x0 AND round(lat, 3) >= y0 AND round(lat - 0.05e0, 3) <= y1)''')}) GROUP BY 1""",
+        WHERE EXISTS (SELECT 1 FROM v_zone WHERE country = 'ASIA' AND round(lon, 3) <= x1 AND round(lon + 0.05e0, 3) >= x0 AND round(lat, 3) >= y0 AND round(lat - 0.05e0, 3) <= y1))''')}) GROUP BY 1""",
     ),
     ("tower", f"SELECT hex_code, count(*) FILTER (radio = 'GSM') AS gsm, avg(avg_signal) AS avg_signal FROM ({sql_axial('lat', 'long', 4, 'v_tower')}) GROUP BY 1"),
     ("image", f"SELECT hex_code, avg(b1) AS b1, avg(b2) AS b2 FROM ({sql_axial('lat', 'long', 4, '(SELECT * FROM v_pixel_at WHERE b1 IS NOT NULL AND b2 IS NOT NULL)')}) GROUP BY 1"),

@@ -294,12 +294,56 @@ def pixel_of_point(spark, d):
     return s.select("c_custkey", "p.row", "p.col")
 
 
-@query("Q11 R2 S11", None)
+def product_list() -> list[tuple[str, str, int, bool]]:
+    """(collection, band, factor, dated) of every band that the product list names."""
+    named = {}
+    for p in img.PRODUCTS:
+        for band in p.bands:
+            named.setdefault((p.collection, band), p.start is not None)
+    return [(c, b, i + 1, dated) for i, ((c, b), dated) in enumerate(named.items())]
+
+
+def product_sql() -> str:
+    """Each product by its own reducer; dated images lie 20 years later, undated ones have no time."""
+    rows = ", ".join(f"('{c}', '{b}', {f}, {str(dated).lower()})" for c, b, f, dated in product_list())
+    images = f"""SELECT n.c AS collection, n.b AS band, CASE WHEN dated THEN ts + INTERVAL 20 YEAR END AS ts, row, col, value * f AS value
+        FROM v_imagery, (VALUES {rows}) n(c, b, f, dated)"""
+    parts = []
+    for p in img.PRODUCTS:
+        bands = ", ".join(f"'{b}'" for b in p.bands)
+        dates = f" AND ts >= '{p.start}' AND ts < '{p.end}'" if p.start else ""
+        source = f"(SELECT * FROM images WHERE collection = '{p.collection}' AND band IN ({bands}){dates})"
+        newest = f"(SELECT band, row, col, avg(value) AS v FROM {source} WHERE ts IS NOT DISTINCT FROM (SELECT max(ts) FROM {source}) GROUP BY 1, 2, 3)"
+        value, at = {
+            "mean": (f"(SELECT band, row, col, avg(value) AS v FROM {source} GROUP BY 1, 2, 3)", "band"),
+            "stddev": (f"(SELECT band, row, col, stddev_pop(value) AS v FROM {source} GROUP BY 1, 2, 3)", "band"),
+            "monthly": (f"(SELECT band, row, col, avg(v) AS v FROM (SELECT band, row, col, avg(value) AS v FROM {source} GROUP BY 1, 2, 3, month(ts)) GROUP BY 1, 2, 3)", "band"),
+            "latest": (newest, "band"),
+            "slope": (
+                f"""(SELECT o.row, o.col, degrees(atan(sqrt(pow((e.v - w.v) / (2 * 0.08e0), 2) + pow((n.v - s.v) / (2 * 0.08e0), 2)))) AS v
+                FROM {newest} o LEFT JOIN {newest} e ON e.row = o.row AND e.col = o.col + 1 LEFT JOIN {newest} w ON w.row = o.row AND w.col = o.col - 1
+                LEFT JOIN {newest} n ON n.row = o.row - 1 AND n.col = o.col LEFT JOIN {newest} s ON s.row = o.row + 1 AND s.col = o.col)""",
+                "'slope'",
+            ),
+        }[p.reducer]
+        parts.append(f"SELECT '{p.name}' AS product, {at} AS band, row, col, round(cast(cast(v AS FLOAT) AS double), 3) AS value FROM {value}")
+    return with_views(["v_imagery"], " UNION ALL ".join(parts), [("images", images)])
+
+
+@query("Q11 R2 S11", product_sql())
 def product_list_rows(spark, d):
-    """The standard product set over the given imagery, whichever of its collections are present."""
-    return img.build_products(v_imagery(spark, d).withColumn("collection", F.lit("precipitation")).withColumn("band", F.lit("precipitation")), [
-        img.Product(p.name, p.collection, p.bands, p.reducer, "1990-01-01", "2020-01-01") for p in img.PRODUCTS if p.collection == "precipitation"
-    ])
+    """Every product of the list, over collections made from the given imagery."""
+    names = F.array(
+        *[F.struct(F.lit(c).alias("c"), F.lit(b).alias("b"), F.lit(f).alias("f"), F.lit(dated).alias("dated")) for c, b, f, dated in product_list()]
+    )
+    images = v_imagery(spark, d).withColumn("n", F.explode(names))
+    later = F.col("ts") + F.make_ym_interval(F.lit(20))
+    images = images.select(
+        F.col("n.c").alias("collection"), F.col("n.b").alias("band"), F.when(F.col("n.dated"), later).alias("ts"),
+        "row", "col", (F.col("value") * F.col("n.f")).alias("value"),
+    )
+    meta = v_raster(spark, d).withColumns({"raster": F.lit("elevation"), "e": F.lit(-0.08)})
+    return img.build_products(images, meta=meta).withColumn("value", F.round("value", 3))
 
 
 @query(

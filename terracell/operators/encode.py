@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +30,24 @@ def channels_last(pixels: Column, bands: int, height: int, width: int) -> Column
 
 
 def standardize_patches(patches: DataFrame, pixels: str = "pixels") -> DataFrame:
-    """Zero mean and unit population deviation per position; constant positions become zero."""
-    vec = patches.withColumn("_v", array_to_vector(pixels))
-    model = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z").fit(vec)
-    n = patches.count()
-    back = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-    return model.transform(vec).withColumn(
-        pixels, F.transform(vector_to_array("_z"), lambda v: v * F.lit(back))
-    ).drop("_v", "_z")
+    """Zero mean and unit population deviation of the known values of each position.
+
+    Missing pixels (null or NaN) stay missing; constant positions become zero. The means travel as
+    one array with an entry for each position.
+    """
+    clean = F.transform(pixels, lambda v: known(v))
+    by_position = (
+        patches.select(F.posexplode(clean).alias("at", "v"))
+        .groupBy("at")
+        .agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"))
+    )
+    stats = by_position.select(F.sort_array(F.collect_list(F.struct("at", "mean", "spread")))).scalar()
+
+    def scaled(v: Column, i: Column) -> Column:
+        s = F.get(F.col("_stats"), i)
+        return F.when(v.isNotNull(), F.when(s["spread"] > 0, (v - s["mean"]) / s["spread"]).otherwise(0.0))
+
+    return patches.withColumn("_stats", stats).withColumn(pixels, F.transform(clean, scaled)).drop("_stats")
 
 
 def encode_patches(patches: DataFrame, k: int = 32, pixels: str = "pixels", key: str = "hex_code") -> DataFrame:
@@ -68,7 +78,7 @@ def triplet_features(
     out = patches
     for n, part in enumerate(band_triplets(F.col(pixels), bands, size)):
         block = f"_t{n}"
-        out = standardize_patches(out.withColumn(block, part), block)
+        out = fill_patches(standardize_patches(out.withColumn(block, part), block), block)
         out = out.withColumn(f"_v{n}", array_to_vector(block))
         out = PCA(k=k, inputCol=f"_v{n}", outputCol=f"_p{n}").fit(out).transform(out)
     n_triplets = -(-bands // 3)

@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from terracell.functions import geom
 from terracell.functions.util import as_col
-from terracell.operators.ranking import shuffled_position, value_order_positions
+from terracell.operators.ranking import shuffled_position, value_order_positions, value_positions
 from terracell.session import cut_lineage
 
-GREEDY_GROUPS = 100_000
-
 
 def interval_class(df: DataFrame, column: str, cuts: int, name: str = "cls") -> DataFrame:
     """Equal-width, right-closed class 0..cuts-1 over the column's range; null stays null."""
@@ -106,39 +104,23 @@ def stratified_holdout(df: DataFrame, keys: Sequence[str], cls: str, share: floa
     return joined.withColumn("is_test", F.col("_pos") <= F.round(F.col("_n") * F.lit(share))).drop("_pos", "_n", "_c")
 
 
-def greedy_plan(sizes: Sequence[tuple[object, int]], k: int) -> dict[object, int]:
-    """Largest group first, always to the lightest fold."""
-    loads = [0] * k
-    plan = {}
-    for group, n in sizes:
-        lightest = loads.index(min(loads))
-        plan[group] = lightest
-        loads[lightest] += n
-    return plan
-
-
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Whole groups to folds.
+    """Whole groups to folds, dealt by falling size to and fro over the folds.
 
-    Up to a fixed number of groups the greedy plan is made from their sizes alone and joined back;
-    beyond it groups are dealt by size rank to and fro over the folds, fully distributed.
+    Groups of equal size come in a seeded shuffle. One rule for any number of groups: sizes are
+    counted, ranked in ranges and joined back, nothing is collected. Fold sizes differ by the
+    largest group at most.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    some = sizes.orderBy(F.desc("_n"), group).limit(GREEDY_GROUPS + 1).collect()
-    if k > len(some):
-        raise ValueError(f"{k} folds but only {len(some)} groups")
-    if len(some) <= GREEDY_GROUPS:
-        plan = greedy_plan([(r[group], r["_n"]) for r in some], k)
-        kind = dict(sizes.dtypes)[group]
-        folds = df.sparkSession.createDataFrame(
-            [(g, f) for g, f in plan.items()], f"`{group}` {kind}, fold int"
-        )
-        return df.join(folds, group)
-    ranked = value_order_positions(sizes.withColumn("_key", F.xxhash64(group)), "_n", "_key", name="_pos")
-    turn = F.floor((F.col("_pos") - 1) / k)
-    at = ((F.col("_pos") - 1) % k).cast("int")
-    dealt = ranked.select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).alias("fold"))
-    return df.join(dealt, group)
+    sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), (-F.count(F.lit(1))).alias("_less")))
+    n_groups = sizes.count()
+    if k > n_groups:
+        raise ValueError(f"{k} folds but only {n_groups} groups")
+    equal = shuffled_position(sizes, [group], by=["_n"], name="_at")
+    larger = value_positions(sizes, "_less").select((-F.col("_less")).cast("long").alias("_n"), "below")
+    ranked = equal.join(larger, "_n").withColumn("_rank", F.col("below") + F.col("_at") - 1)
+    turn, at = F.floor(F.col("_rank") / k), F.pmod("_rank", F.lit(k))
+    fold = F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold")
+    return df.join(ranked.select(F.col(group).alias("_group"), fold), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def _nearest(centres: Sequence[tuple[float, float]], open_: Sequence[int], lat: str, long: str) -> Column:

@@ -13,12 +13,12 @@ from terracell.schema import IMAGERY_END, IMAGERY_START
 PIXEL = ["collection", "band", "row", "col"]
 
 
-def between_dates(images: DataFrame, start: str = IMAGERY_START, end: str = IMAGERY_END) -> DataFrame:
-    """Half-open date range."""
+def between_dates(images: DataFrame, start: str | None = IMAGERY_START, end: str | None = IMAGERY_END) -> DataFrame:
+    """Half-open date range; an end that is None is open, and undated images need both open."""
     kind = dict(images.dtypes)["ts"]
-    return images.filter(
-        (F.col("ts") >= F.lit(start).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind))
-    )
+    if start is not None:
+        images = images.filter(F.col("ts") >= F.lit(start).cast(kind))
+    return images if end is None else images.filter(F.col("ts") < F.lit(end).cast(kind))
 
 
 def select_bands(images: DataFrame, bands: Sequence[str]) -> DataFrame:
@@ -35,9 +35,10 @@ def stddev_over_time(images: DataFrame, name: str = "value") -> DataFrame:
 
 
 def latest_image(images: DataFrame) -> DataFrame:
-    """Pixels of the newest image of each collection; equal times are averaged."""
-    newest = images.groupBy("collection").agg(F.max("ts").alias("ts"))
-    return images.join(newest, ["collection", "ts"]).groupBy(*PIXEL).agg(F.avg("value").alias("value"))
+    """Pixels of the newest image of each collection, undated ones last; equal times are averaged."""
+    newest = images.groupBy("collection").agg(F.max("ts").alias("_ts")).withColumnRenamed("collection", "_c")
+    on = F.col("collection").eqNullSafe(F.col("_c")) & F.col("ts").eqNullSafe(F.col("_ts"))
+    return images.join(newest, on, "left_semi").groupBy(*PIXEL).agg(F.avg("value").alias("value"))
 
 
 def monthly_climatology(images: DataFrame) -> DataFrame:
@@ -58,27 +59,29 @@ class Product:
     collection: str
     bands: tuple[str, ...]
     reducer: str
-    start: str = IMAGERY_START
-    end: str = IMAGERY_END
+    start: str | None = IMAGERY_START
+    end: str | None = IMAGERY_END
+
 
+UNDATED = (None, None)
 
-# The named image products and their reducers.
+# The named image products and their reducers; undated ones are single images.
 PRODUCTS = (
-    Product("poptotal", "population", ("population",), "latest"),
+    Product("poptotal", "population", ("population",), "latest", *UNDATED),
     Product("precip_mean", "precipitation", ("precipitation",), "mean"),
     Product("precip_std", "precipitation", ("precipitation",), "stddev"),
+    Product("precip_acc", "terraclimate", ("pr",), "mean"),
     Product("evapotranspiration", "terraclimate", ("aet",), "mean"),
-    Product("drought", "terraclimate", ("pdsi",), "mean"),
-    Product("landcover", "landcover", ("discrete_classification",), "latest"),
-    Product("built", "settlement", ("built",), "latest"),
+    Product("drought", "terraclimate", ("pdsi",), "latest"),
+    Product("landcover", "landcover", ("discrete_classification",), "mean"),
+    Product("built", "settlement", ("built", "cnfd"), "latest", *UNDATED),
     Product("ndwi", "water_index", ("NDWI",), "mean"),
     Product("ndvi", "vegetation_index", ("NDVI",), "mean"),
-    Product("aerosol", "aerosol", ("absorbing_aerosol_index",), "mean"),
-    Product("elevation", "elevation", ("elevation",), "latest"),
-    Product("slope", "elevation", ("elevation",), "slope"),
-    Product("nightlight", "nightlight", ("avg_rad",), "mean"),
-    Product("health_access", "accessibility", ("accessibility",), "latest"),
-    Product("rain", "precipitation", ("precipitation",), "monthly"),
+    Product("pollution", "aerosol", ("Optical_Depth_047", "Optical_Depth_055"), "monthly"),
+    Product("elevation", "elevation", ("elevation",), "latest", *UNDATED),
+    Product("slope", "elevation", ("elevation",), "slope", *UNDATED),
+    Product("nightlight", "nightlight", ("avg_rad", "cf_cvg"), "mean"),
+    Product("health_access", "accessibility", ("accessibility",), "latest", *UNDATED),
 )
 
 REDUCERS = {

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from terracell.operators import evaluate as ev
 from terracell.operators import folds as fold_ops
+from terracell.schema import ALL_TARGETS
 
 # Command-line target names and their columns.
 TARGET_COLUMNS = {
@@ -37,10 +38,7 @@ TARGET_COLUMNS = {
 def target_columns(target: str = "all") -> list[str]:
     """The good set for "all", else the one column meant."""
     if target == "all":
-        return [f"dep_{x}_sev" for x in ("housing", "water", "sanitation", "education", "2_or_more")] + [
-            "sumpoor_sev",
-            "deprived_sev",
-        ]
+        return list(ALL_TARGETS)
     if target not in TARGET_COLUMNS:
         raise ValueError(f"unknown target: {target}")
     return [TARGET_COLUMNS[target]]
@@ -303,9 +301,18 @@ def save_model(model: Model, root: str, key: RunKey) -> str:
 
 
 def load_models(spark: SparkSession, registry: DataFrame, root: str, pattern: str = "%") -> dict[str, PipelineModel]:
-    """Models whose run key matches, by target. The registry holds a row per saved run."""
+    """Models whose run key matches, by target. The registry holds a row per saved run.
+
+    Two matching runs of one target are an error: the pattern has to name one.
+    """
     keys = [r["run_id"] for r in registry.filter(F.col("run_id").like(pattern)).select("run_id").distinct().collect()]
-    return {RunKey.parse(k).target: PipelineModel.load(f"{root}/{k}") for k in keys}
+    by_target: dict[str, str] = {}
+    for k in sorted(keys):
+        target = RunKey.parse(k).target
+        if target in by_target:
+            raise ValueError(f"several runs of {target} match: {by_target[target]}, {k}")
+        by_target[target] = k
+    return {target: PipelineModel.load(f"{root}/{k}") for target, k in by_target.items()}
 
 
 def pipeline_of(stages: Sequence, estimator: Estimator) -> Pipeline:

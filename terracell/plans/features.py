@@ -78,18 +78,29 @@ def speed_by_cell(tiles: DataFrame, shape: DataFrame, key: str, res: int, size:
         F.col("_c.min_x").between(limit("minx") - 0.1, limit("maxx") + 0.1)
         & F.col("_c.max_y").between(limit("miny") - 0.1, limit("maxy") + 0.1)
     )
-    parsed = near.withColumn("_g", geom.parse_wkt("geometry"))
+    # equal tiles are one row with their number, so a tile can be told from its meetings
+    equal = near.groupBy("avg_d_kbps", "avg_u_kbps", "geometry").agg(F.count(F.lit(1)).alias("_times"))
+    parsed = equal.withColumn("_g", geom.parse_wkt("geometry"))
     boxed = parsed.select(
         "avg_d_kbps",
         "avg_u_kbps",
+        "_times",
+        F.xxhash64("geometry").alias("_tile"),
         geom.centroid("_g").alias("_m"),
         geom.bounds("_g").alias("_b"),
-    ).select("avg_d_kbps", "avg_u_kbps", "_m", "_b.*")
+    ).select("avg_d_kbps", "avg_u_kbps", "_times", "_tile", "_m", "_b.*")
+    # a tile on an inner border meets several rows of the shape and counts once
     met = spatial.boxes_meeting_areas(boxed, shape.select(key, "geometry"), key, size=size)
+    once = met.dropDuplicates(["avg_d_kbps", "avg_u_kbps", "_tile"])
+
+    def mean(c: str) -> Column:
+        known = F.when(F.col(c).isNotNull(), F.col("_times"))
+        return (F.sum(F.col(c) * F.col("_times")) / F.sum(known)).alias(c)
+
     return (
-        met.withColumn("hex_code", grid.cell_of("_m.y", "_m.x", res))
+        once.withColumn("hex_code", grid.cell_of("_m.y", "_m.x", res))
         .groupBy("hex_code")
-        .agg(F.avg("avg_d_kbps").alias("avg_d_kbps"), F.avg("avg_u_kbps").alias("avg_u_kbps"))
+        .agg(mean("avg_d_kbps"), mean("avg_u_kbps"))
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +25,15 @@ def local_session(cpus: str = "8", name: str = "terracell") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for stored steps: ``spark.checkpoint.dir``, else one below the warehouse."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="terracell-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stored-steps"
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

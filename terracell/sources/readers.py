@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,23 +19,59 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | Sequence[str], kind: T.StructType, **options) -> DataFrame:
     """Headed CSV by column name; columns of the schema the file lacks are null.
 
-    Only the first line of the files decides the physical order, so the scan itself never infers.
+    The first header decides the physical order, so the scan itself never infers; a file whose header
+    differs stops the read. Whole numbers written as "3.0" are read as such.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    plain = spark.read.option("header", True).options(**options).csv(paths)
+    plain = _headed(spark, path, options)
     have = {c.lower(): c for c in plain.columns}
     out = [
-        (F.expr(f"try_cast(`{have[f.name]}` AS {f.dataType.simpleString()})") if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+        (_parsed(have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in kind.fields
     ]
     return nan_to_null(plain.select(*out))
 
 
+def _headed(spark: SparkSession, path: str | Sequence[str], options: dict) -> DataFrame:
+    paths = [path] if isinstance(path, str) else list(path)
+    names = spark.read.option("header", True).options(**options).csv(paths).columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return spark.read.schema(texts).option("header", True).option("enforceSchema", False).options(**options).csv(paths)
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    text = F.col(f"`{name}`")
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(text.try_cast(kind), whole)
+    return text.try_cast(kind)
+
+
 def read_survey(spark: SparkSession, path: str, landing: bool = False) -> DataFrame:
-    """Survey microdata from CSV, or from the Parquet it was landed to."""
+    """Survey microdata from CSV, or from the Parquet it was landed to; other numeric columns stay."""
     if path.endswith(".parquet") or landing:
         return nan_to_null(lower_names(spark.read.parquet(path)))
-    return read_csv(spark, path, s.SURVEY)
+    plain = _headed(spark, path, {})
+    have = {c.lower(): c for c in plain.columns}
+    listed = {f.name for f in s.SURVEY.fields}
+    numeric = _numeric_columns(plain, [c for low, c in have.items() if low not in listed])
+    out = [
+        (_parsed(have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in s.SURVEY.fields
+    ]
+    return nan_to_null(plain.select(*out, *[_parsed(c, T.DoubleType()).alias(c.lower()) for c in numeric]))
+
+
+def _numeric_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Those of the text columns whose values are all numbers, with one value at least: one scan."""
+    if not names:
+        return []
+    text = [F.col(f"`{c}`") for c in names]
+    row = df.agg(
+        *[F.count(t).alias(f"n{i}") for i, t in enumerate(text)],
+        *[F.count(t.try_cast("double")).alias(f"d{i}") for i, t in enumerate(text)],
+    ).first()
+    return [c for i, c in enumerate(names) if 0 < row[f"n{i}"] == row[f"d{i}"]]
 
 
 def read_towers(spark: SparkSession, path: str | Sequence[str], parts: int | None = None) -> DataFrame:

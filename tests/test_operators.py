@@ -143,20 +143,15 @@ def test_folds_are_whole_and_even(spark):
         folds.cv_folds(df, "other", keys=["k"])
 
 
-def test_greedy_plan_balances():
-    plan = folds.greedy_plan([("a", 9), ("b", 7), ("c", 5), ("d", 3), ("e", 3), ("f", 2), ("g", 1)], 3)
-    sizes = dict(a=9, b=7, c=5, d=3, e=3, f=2, g=1)
-    loads = [sum(sizes[g] for g, f in plan.items() if f == i) for i in range(3)]
-    assert loads == [10, 10, 10]
-
-
-def test_many_groups_take_the_distributed_plan(spark, monkeypatch):
-    monkeypatch.setattr(folds, "GREEDY_GROUPS", 5)
-    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 30).alias("g"))
-    out = folds.group_folds(df, "g", 3)
-    assert out.count() == 300
-    assert out.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
-    assert {r["count"] for r in out.groupBy("fold").count().collect()} == {100}
+def test_groups_of_any_number_are_dealt_alike(spark):
+    for n in (7, 300, 5000):
+        df = spark.range(n * 3).select(F.col("id").alias("k"), F.floor(F.sqrt(F.col("id"))).alias("g"))
+        out = folds.group_folds(df, "g", 3)
+        assert out.count() == n * 3
+        assert out.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+        sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
+        largest = df.groupBy("g").count().agg(F.max("count")).first()[0]
+        assert len(sizes) == 3 and max(sizes) - min(sizes) <= largest
 
 
 def test_spatial_groups_are_balanced_even_when_points_pile_up(spark):
