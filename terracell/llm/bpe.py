@@ -37,9 +37,13 @@ from terracell.llm.common import fresh, replace_columns, whole
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the rule above means it (Unicode's property, fixed value).
 BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The rule above first cuts here: runs without white space, with the one space before them.
-RUNS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-REMEMBERED = 200_000
+#: A first cut at places where the rule above always cuts: white space, with the one space before a
+#: word, and a stop after a letter or digit.
+RUNS = rf" ?[^{BLANK}.,;!?|]+(?<=[A-Za-z0-9])(?=[.,;!?|])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+REMEMBERED = 400_000
+REMEMBERED_PAIRS = 150_000
+#: Documents, and ids, that are worked on at a time.
+SLICE_ROWS = 500
 GATHERED = 200_000
 LONGEST_REMEMBERED = 64
 
@@ -126,7 +130,7 @@ class BytePairs:
 
     def compatible(self, a: int, b: int) -> bool:
         """``stay_apart``, remembered."""
-        if len(self.fit) >= REMEMBERED:
+        if len(self.fit) >= REMEMBERED_PAIRS:
             self.fit.clear()
         known = self.fit[a, b] = self.stay_apart(a, b)
         return known
@@ -184,6 +188,8 @@ class BytePairs:
         return out
 
     def encode_run(self, run: str) -> list[int]:
+        if (run[1:] if run[0] == " " else run).isalpha():
+            return self.encode_piece(run.encode("utf-8"))  # letters only are one piece
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.cut.findall(run))))
 
     def encode_plain(self, text: str) -> list[int]:
@@ -219,10 +225,16 @@ def tables(text: str) -> BytePairs:
     return BytePairs.from_json(text)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, text_col: str, ids_col: str):
     model = tables(vocabulary.value)
     model.ready()
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(batch.schema.get_field_index(text_col))
         ids = [np.array(model.encode(t.as_py()), dtype=np.int32) for t in texts]
         offsets = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -244,9 +256,9 @@ def gathered(ids: np.ndarray, blob: np.ndarray, starts: np.ndarray) -> bytes:
 
 def decode_batches(batches: Iterator[pa.RecordBatch], vocabulary, ids_col: str, text_col: str):
     blob, starts = offsets(vocabulary.value)
-    for batch in batches:
+    for batch in sliced(batches):
         column = batch.column(batch.schema.get_field_index(ids_col))
-        lists = column.cast(pa.list_(pa.int32()))
+        lists = pa.concat_arrays([column.cast(pa.list_(pa.int32()))])
         counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
         if len(ids) and (ids.min() < 0 or ids.max() >= len(starts) - 1):
