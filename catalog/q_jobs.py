@@ -181,12 +181,14 @@ def trained(spark, d, target="housing", transform="none", cv="normal"):
 
 @query("Z7 X13 M3 K13 M14 K10", None)
 def trained_and_saved(spark, d):
-    _, config, done = trained(spark, d, transform="power")
+    trained_cells, config, done = trained(spark, d, transform="power")
     root = work_dir(spark)
     training.save_run(done, config, root)
     runs = spark.read.parquet(f"{root}/runs")
     loaded = models.load_models(spark, runs, f"{root}/models", "asia~%")
     assert set(loaded) == {"dep_housing_sev"}
+    again = loaded["dep_housing_sev"].transform(trained_cells)
+    assert again.agg(F.max(F.abs("prediction"))).first()[0] <= 1.5  # on the scale of the target
     return rounded(runs.filter("kind = 'metric'").select("run_id", "key", "value"))
 
 

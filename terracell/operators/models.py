@@ -56,6 +56,10 @@ class RunKey:
     impute: str = "none"
     scale: str = "none"
     expanded: bool = False
+    holdout: str = "normal"
+    transform: str = "none"
+    interpretable: bool = False
+    universal: bool = False
 
     def text(self) -> str:
         return "~".join(
@@ -68,12 +72,16 @@ class RunKey:
                 f"impute-{self.impute}",
                 f"scale-{self.scale}",
                 f"expanded-{str(self.expanded).lower()}",
+                f"holdout-{self.holdout}",
+                f"transform-{self.transform}",
+                f"interpretable-{str(self.interpretable).lower()}",
+                f"universal-{str(self.universal).lower()}",
             ]
         )
 
     @staticmethod
     def parse(text: str) -> "RunKey":
-        country, res, thres, target, cv, impute, scale, expanded = text.split("~")
+        country, res, thres, target, cv, impute, scale, expanded, holdout, transform, plain, universal = text.split("~")
         return RunKey(
             country,
             int(res.removeprefix("res")),
@@ -83,6 +91,10 @@ class RunKey:
             impute.removeprefix("impute-"),
             scale.removeprefix("scale-"),
             expanded == "expanded-true",
+            holdout.removeprefix("holdout-"),
+            transform.removeprefix("transform-"),
+            plain == "interpretable-true",
+            universal == "universal-true",
         )
 
 

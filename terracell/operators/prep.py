@@ -184,6 +184,18 @@ class PowerTarget:
     def invert(self, z: Column) -> Column:
         return yeo_johnson_inverse(z * F.lit(self.std) + F.lit(self.mean), self.lam)
 
+    def invert_sql(self, name: str) -> str:
+        """``invert`` as the text of a saved stage."""
+        z, lam, two = f"({name} * {self.std!r}D + {self.mean!r}D)", self.lam, 2.0 - self.lam
+        up = f"exp({z}) - 1" if abs(lam) < 1e-9 else f"power({z} * {lam!r}D + 1, {1 / lam!r}D) - 1"
+        down = f"1 - exp(-{z})" if abs(two) < 1e-9 else f"1 - power(1 - {z} * {two!r}D, {1 / two!r}D)"
+        return f"CASE WHEN {z} >= 0 THEN {up} ELSE {down} END"
+
+
+def inverse_stage(expression: str, name: str = "prediction") -> SQLTransformer:
+    """Puts a prediction back on the scale of its target."""
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({name}), {expression} AS {name} FROM __THIS__")
+
 
 def fit_power(df: DataFrame, target: str) -> PowerTarget:
     """Yeo-Johnson lambda of highest likelihood, then mean and deviation.

@@ -55,7 +55,18 @@ class TrainConfig:
 
     def key(self, target: str) -> models.RunKey:
         return models.RunKey(
-            self.country, self.res, self.threshold, target, self.cv, self.impute, self.scale, self.expanded
+            self.country,
+            self.res,
+            self.threshold,
+            target,
+            self.cv,
+            self.impute,
+            self.scale,
+            self.expanded,
+            self.holdout,
+            self.transform,
+            self.interpretable,
+            self.universal_only,
         )
 
 
@@ -158,27 +169,38 @@ def train(dataset: DataFrame, config: TrainConfig) -> dict[str, Trained]:
             located = prep.knn_impute(located, numeric)
         else:
             located = prep.iterative_impute(located, numeric, model="linear" if config.impute == "linear" else "forest")
-    frame = split(located.select("hex_code", *names, *targets), config, targets).persist()
+    # a stratified holdout follows the classes of its target, so each target has its own
+    parts = [[t] for t in targets] if config.holdout == "stratified" else [targets]
+    out = {}
+    for part in parts:
+        out |= train_part(located.select("hex_code", *names, *part), names, part, config)
+    return out
+
+
+def train_part(rows: DataFrame, names: Sequence[str], targets: Sequence[str], config: TrainConfig) -> dict[str, Trained]:
+    """Models of the targets that share one split."""
+    frame = split(rows, config, targets).persist()
     out = {}
     try:
         ready = prepare(frame.filter(~F.col("is_test")), names, config)
         coded = ready.transform(frame).select("hex_code", "is_test", "fold", "features", *targets).persist()
         for t in targets:
-            rows, back = coded, F.col("prediction")
+            rows, back = coded, []
             if config.transform == "log":
-                rows, back = prep.log_target(coded, t, "_y"), F.exp("prediction")
+                rows, back = prep.log_target(coded, t, "_y"), [prep.inverse_stage("exp(prediction)")]
             elif config.transform == "power":
                 power = prep.fit_power(coded.filter(~F.col("is_test")), t)
-                rows, back = coded.withColumn("_y", power.apply(F.col(t))), power.invert(F.col("prediction"))
+                rows, back = coded.withColumn("_y", power.apply(F.col(t))), [prep.inverse_stage(power.invert_sql("prediction"))]
             elif config.transform != "none":
                 raise ValueError(f"unknown target transform: {config.transform}")
             label = t if config.transform == "none" else "_y"
             result = models.fit_tuned(
                 rows.filter(~F.col("is_test")), label, learners=config.learners, k=config.k, seed=config.seed
             )
-            test = result.model.transform(rows.filter("is_test")).withColumn("prediction", back)
+            test = PipelineModel([result.model, *back]).transform(rows.filter("is_test"))
             scores = ev.score(test, t, "prediction")
-            pipeline = PipelineModel([*ready.stages, result.model])
+            # the inverse is a stage, so a loaded pipeline predicts on the scale of the target
+            pipeline = PipelineModel([*ready.stages, result.model, *back])
             out[t] = Trained(t, pipeline, result, scores, test.select("hex_code", t, "prediction"))
         coded.unpersist()
     finally:
