@@ -88,7 +88,19 @@ def log_target(spark, d):
     return rounded(prep.log_target(gaps(spark, d), "cust", "y").select("hex_code", "y", "y_undefined"))
 
 
-@query("X13", None)
+def power_sql() -> str:
+    """Likelihood of each lambda on a grid that is refined twice around its best value; prices are positive."""
+    base = f"g AS (SELECT hex_code, price / 1000 AS price FROM ({GAPS}) WHERE price IS NOT NULL), j AS (SELECT count(*) AS n, sum(ln(1 + price)) AS j FROM g), b0 AS (SELECT 0e0 AS best)"
+    bent = "CASE WHEN abs(lam) < 1e-9 THEN ln(price + 1) ELSE (pow(price + 1, lam) - 1) / lam END"
+    steps = []
+    for i, (low, high, step) in enumerate([(-15, 25, "0.2e0"), (-10, 10, "(0.2e0 / 10)"), (-10, 10, "(0.2e0 / 10 / 10)")]):
+        grid = f"SELECT best + i * {step} AS lam FROM b{i}, range({low}, {high + 1}) r(i)"
+        steps.append(f"b{i + 1} AS (SELECT arg_max(lam, -n / 2 * ln(v) + (lam - 1) * j) AS best FROM (SELECT lam, var_pop({bent}) AS v FROM g, ({grid}) GROUP BY lam), j)")
+    return f"""WITH {base}, {', '.join(steps)}, z AS (SELECT hex_code, price, {bent.replace('lam', 'best')} AS y FROM g, b3)
+    SELECT hex_code, round(price, 6) AS price, round((y - (SELECT avg(y) FROM z)) / (SELECT stddev_pop(y) FROM z), 6) AS z, round(price, 6) AS back FROM z"""
+
+
+@query("X13", power_sql())
 def power_target(spark, d):
     g = gaps(spark, d).filter("price IS NOT NULL").withColumn("price", F.col("price") / 1000)
     p = prep.fit_power(g, "price")
@@ -155,13 +167,13 @@ def impute_knn(spark, d):
 @query("X4", None)
 def impute_linear(spark, d):
     g = gaps(spark, d).withColumn("when", F.pmod("hex_code", F.lit(365)).cast("double"))
-    return rounded(prep.iterative_impute(g, ["price", "cust", "when"], rounds=2).drop("prio", "status"))
+    return rounded(prep.iterative_impute(g, ["price", "cust", "when"]).drop("prio", "status"))
 
 
 @query("X5", None)
 def impute_forest(spark, d):
     g = gaps(spark, d).withColumn("when", F.pmod("hex_code", F.lit(365)).cast("double"))
-    return rounded(prep.iterative_impute(g, ["price", "cust", "when"], rounds=1, model="forest").drop("prio", "status"))
+    return rounded(prep.iterative_impute(g, ["price", "cust", "when"], model="forest").drop("prio", "status"))
 
 
 def survey_features(spark, d):
@@ -179,6 +191,6 @@ def survey_features(spark, d):
 @query("X20", None)
 def selected_features(spark, d):
     f = survey_features(spark, d)
-    picked = prep.select_features(f, ["lat", "long", "age", "n"], "housing", n_trials=6)
+    picked = prep.select_features(f, ["lat", "long", "age", "n"], "housing")
     rows = [(c, k) for k, names in picked.items() for c in names]
     return spark.createDataFrame(rows, "feature string, verdict string")

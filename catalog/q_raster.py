@@ -98,9 +98,9 @@ def raster_band_names(spark, d):
         F.col("l_returnflag").alias("raster"),
         "n",
         F.when(F.col("l_returnflag") == "N", 1).otherwise(2).cast("long").alias("n_bands"),
-        F.lit("cpi_ndviData_kenya_500.tif").alias("title"),
+        F.lit("img_ndviData_kenya_500.tif").alias("title"),
     )
-    names = ras.band_names(meta, title="title", strip=r"cpi|_|kenya|500")
+    names = ras.band_names(meta, title="title", strip=r"img|_|kenya|500")
     return rounded(names.join(meta.select("raster", "n"), "raster"))
 
 

@@ -32,10 +32,10 @@ def text_functions(spark, d):
     )
 
 
-@query("F2", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace('cpi_' || p_brand || 'Data_nigeria_500.tif', '\\.tif$', ''), 'cpi|_|nigeria|500', '', 'g'), 'Data', '', 'g') AS title FROM part")
+@query("F2", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace('img_' || p_brand || 'Data_nigeria_500.tif', '\\.tif$', ''), 'img|_|nigeria|500', '', 'g'), 'Data', '', 'g') AS title FROM part")
 def raster_titles(spark, d):
-    p = table(spark, d, "part").withColumn("t", F.concat(F.lit("cpi_"), "p_brand", F.lit("Data_nigeria_500.tif")))
-    return p.select("p_partkey", clean_title(F.col("t"), r"cpi|_|nigeria|500").alias("title"))
+    p = table(spark, d, "part").withColumn("t", F.concat(F.lit("img_"), "p_brand", F.lit("Data_nigeria_500.tif")))
+    return p.select("p_partkey", clean_title(F.col("t"), r"img|_|nigeria|500").alias("title"))
 
 
 @query("F4 A14", "SELECT p_partkey, 'x_' || replace(p_type, ' ', ',x_') AS prefixed FROM part")

@@ -306,7 +306,7 @@ def knn_impute(
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({key: pd.Series(dtype="int64"), "col": [], "dist": [], "value": []})
+            return pd.DataFrame({key: [], "col": [], "dist": [], "value": []}).astype({key: left[key].dtype if len(left) else right[key].dtype})
         a, b = left[names].to_numpy(float), right[names].to_numpy(float)
         ma, mb = ~np.isnan(a), ~np.isnan(b)
         a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
@@ -375,7 +375,7 @@ def select_features(
     columns: Sequence[str],
     target: str,
     key: str = "hex_code",
-    n_trials: int = 10,
+    n_trials: int | None = None,
     p_value: float = 0.05,
     estimator: Estimator | None = None,
     seed: int = 42,
@@ -383,8 +383,12 @@ def select_features(
     """Features that beat the best shuffled twin more often than chance.
 
     Returns accepted, tentative and rejected names (one-sided binomial test, corrected for the
-    number of features).
+    number of features). By default there are five trials more than the test needs to tell anything.
     """
+    least = math.floor(math.log2(len(columns) / p_value)) + 1
+    n_trials = least + 5 if n_trials is None else n_trials
+    if n_trials < least:
+        raise ValueError(f"{n_trials} trials can't accept one of {len(columns)} features; take {least} or more")
     rows = df.select(key, *columns, target).na.drop()
     hits = dict.fromkeys(columns, 0)
     for trial in range(n_trials):

@@ -22,7 +22,7 @@ def _bin(v: Column, size: float) -> Column:
 def area_bins(
     areas: DataFrame, key: str, parts: str, size: float, margin: float = 0.0, whole_box: bool = False
 ) -> DataFrame:
-    """``(key, bx, by, full, edges, box)``: one row per area and lattice bin it touches.
+    """``(key, _bx, _by, full, edges, box)``: one row per area and lattice bin it touches.
 
     ``edges`` of an outline bin are those of its row of bins, widened by the margin: enough to
     decide every horizontal ray starting in the row. Inner bins carry none. ``whole_box`` keeps
@@ -31,9 +31,9 @@ def area_bins(
     lo, hi = F.col("box.minx"), F.col("box.maxx")
     boxed = areas.select(F.col(key), geom.edges_of(parts).alias("_e"), geom.bounds(parts).alias("box"))
     rows = boxed.withColumn(
-        "by", F.explode(F.sequence(_bin(F.col("box.miny"), size), _bin(F.col("box.maxy"), size)))
+        "_by", F.explode(F.sequence(_bin(F.col("box.miny"), size), _bin(F.col("box.maxy"), size)))
     )
-    y0 = F.col("by") * F.lit(size)
+    y0 = F.col("_by") * F.lit(size)
     banded = rows.withColumn(
         "_e",
         F.filter(
@@ -42,8 +42,8 @@ def area_bins(
             & (F.least(e["y1"], e["y2"]) <= y0 + F.lit(size + margin)),
         ),
     )
-    cells = banded.withColumn("bx", F.explode(F.sequence(_bin(lo, size), _bin(hi, size))))
-    x0 = F.col("bx") * F.lit(size)
+    cells = banded.withColumn("_bx", F.explode(F.sequence(_bin(lo, size), _bin(hi, size))))
+    x0 = F.col("_bx") * F.lit(size)
     touched = F.exists(
         "_e",
         lambda e: (F.greatest(e["x1"], e["x2"]) >= x0)
@@ -58,7 +58,7 @@ def area_bins(
     if not whole_box:
         judged = judged.filter(F.col("_touched") | F.col("_in"))
     return (
-        judged.select(key, "bx", "by", "full", F.when(~F.col("full"), F.col("_e")).alias("edges"), "box")
+        judged.select(key, "_bx", "_by", "full", F.when(~F.col("full"), F.col("_e")).alias("edges"), "box")
     )
 
 
@@ -75,10 +75,10 @@ def points_in_areas(
     """Points with the key of each area holding them (``how`` inner, or left_semi to clip)."""
     prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
     bins = area_bins(prepared, key, "_parts", size)
-    left = points.withColumn("bx", _bin(F.col(x), size)).withColumn("by", _bin(F.col(y), size))
+    left = points.withColumn("_bx", _bin(F.col(x), size)).withColumn("_by", _bin(F.col(y), size))
     on = (
-        (left["bx"] == bins["bx"])
-        & (left["by"] == bins["by"])
+        (left["_bx"] == bins["_bx"])
+        & (left["_by"] == bins["_by"])
         & (bins["full"] | geom.inside_edges(bins["edges"], left[x], left[y]))
     )
     joined = left.join(bins, on, how)
@@ -107,18 +107,18 @@ def boxes_meeting_areas(
     prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
     bins = area_bins(prepared, key, "_parts", size, margin, whole_box=True).withColumnRenamed("box", "_area")
     spread = boxes.withColumn(
-        "bx", F.explode(F.sequence(_bin(minx, size), _bin(maxx, size)))
-    ).withColumn("by", F.explode(F.sequence(_bin(miny, size), _bin(maxy, size))))
+        "_bx", F.explode(F.sequence(_bin(minx, size), _bin(maxx, size)))
+    ).withColumn("_by", F.explode(F.sequence(_bin(miny, size), _bin(maxy, size))))
     a = F.col("_area")
     overlap = (minx <= a["maxx"]) & (maxx >= a["minx"]) & (miny <= a["maxy"]) & (maxy >= a["miny"])
-    here = (F.col("bx") == _bin(F.greatest(minx, a["minx"]), size)) & (
-        F.col("by") == _bin(F.greatest(miny, a["miny"]), size)
+    here = (F.col("_bx") == _bin(F.greatest(minx, a["minx"]), size)) & (
+        F.col("_by") == _bin(F.greatest(miny, a["miny"]), size)
     )
     fits = F.when(maxy - miny <= margin, F.lit(True)).otherwise(
         F.raise_error(F.lit(f"a box is taller than {margin} degrees")).cast("boolean")
     )
     meets = fits & (F.col("full") | geom.box_meets_edges(minx, miny, maxx, maxy, "edges"))
-    return spread.join(bins, ["bx", "by"]).filter(overlap & here & meets).select(*boxes.columns, key)
+    return spread.join(bins, ["_bx", "_by"]).filter(overlap & here & meets).select(*boxes.columns, key)
 
 
 def cover_cells(areas: DataFrame, key: str, res: int, geometry: str = "geometry") -> DataFrame:

@@ -80,10 +80,11 @@ class Trained:
 
 
 def distinct_cells(datasets: DataFrame) -> DataFrame:
-    """One row per cell; of several the one with most survey rows, then the first country."""
+    """One row per cell; of several the one with most survey rows, then the first country, then by content."""
     order = [F.coalesce(-F.col("survey"), F.lit(0))]
     if "country" in datasets.columns:
         order.append(F.col("country"))
+    order.append(F.xxhash64(*[c for c, t in datasets.dtypes if not t.startswith("map")]))
     return keep_one(datasets, ["hex_code"], order)
 
 

@@ -89,7 +89,7 @@ def test_unknown_crs_and_band_names_refused(spark):
     bad = _meta(spark, 1, 1).withColumn("crs", F.lit("EPSG:2154"))
     with pytest.raises(Exception, match="unsupported"):
         ras.locate(px, bad).collect()
-    meta = _meta(spark, 1, 1).withColumn("title", F.lit("cpi_x.tif"))
+    meta = _meta(spark, 1, 1).withColumn("title", F.lit("img_x.tif"))
     assert ras.band_names(meta, given=["one"], title="title").first()["band"] == "one"
     with pytest.raises(Exception, match="band names"):
         ras.band_names(meta, given=["one", "two"], title="title").collect()
@@ -274,7 +274,7 @@ def test_feature_selection_finds_the_signal(spark):
         a, b = rng.random(), rng.random()
         rows.append((i, a, b, 3 * a + rng.gauss(0, 0.05)))
     df = spark.createDataFrame(rows, "hex_code long, a double, b double, y double")
-    picked = prep.select_features(df, ["a", "b"], "y", n_trials=6)
+    picked = prep.select_features(df, ["a", "b"], "y", n_trials=9)
     assert picked["accepted"] == ["a"] and "b" not in picked["accepted"]
 
 
