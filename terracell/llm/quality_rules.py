@@ -88,45 +88,57 @@ def repeat_words(words: Column) -> Column:
     return let(let(let(words, windows), places), covered)
 
 
-def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` and one long per measure."""
-    df = replace_columns(df, list(MEASURES))
-    t = whole(text_col)
+def measured(t: Column) -> Column:
+    """Struct of all measures of a text. One expression that names each array once, so a filter on it
+    that the planner moves below a projection still costs one evaluation."""
 
-    def counts(w: Column) -> Column:
+    def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeat_words(w).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
-    def lines(x: Column) -> Column:
+    def of_lines(x: Column) -> Column:
         return F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )
 
-    with_word = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    w, k = fresh(df, "of_words"), fresh(df, "of_lines")
-    out = df.withColumns({w: let(words_of(t), counts), k: let(with_word, lines)})
-    return out.withColumns(
-        {
-            "n_words": F.col(w)["n_words"],
-            "word_chars": F.length(without_spaces(t)).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_lines": F.col(k)["n_lines"],
-            "n_dup_lines": F.col(k)["n_dup_lines"],
-            "n_repeat_words": F.col(w)["n_repeat_words"],
-            "n_stop_words": F.col(w)["n_stop_words"],
-        }
-    ).drop(w, k)
-
-
-def fails(rule: Rule) -> Column:
+    def together(p: Column) -> Column:
+        w, k = p["words"], p["lines"]
+        return F.struct(
+            w["n_words"].alias("n_words"),
+            p["chars"].alias("word_chars"),
+            p["symbols"].alias("n_symbols"),
+            k["n_lines"].alias("n_lines"),
+            k["n_dup_lines"].alias("n_dup_lines"),
+            w["n_repeat_words"].alias("n_repeat_words"),
+            w["n_stop_words"].alias("n_stop_words"),
+        )
+
+    parts = F.struct(
+        let(words_of(t), of_words).alias("words"),
+        let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)), of_lines).alias("lines"),
+        F.length(without_spaces(t)).cast("long").alias("chars"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("symbols"),
+    )
+    return let(parts, together)
+
+
+def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` and one long per measure."""
+    df = replace_columns(df, list(MEASURES))
+    m = fresh(df, "measures")
+    out = df.withColumn(m, measured(whole(text_col)))
+    return out.select(*df.columns, *[F.col(m)[x].alias(x) for x in MEASURES])
+
+
+def fails(rule: Rule, m: Column) -> Column:
     """True where the measures break the rule; compared by products, so nothing is divided."""
     top, base = rule.share
-    left = F.col(top).cast("double")
-    of = F.col(base).cast("double") if base else F.lit(1.0)
+    left = m[top].cast("double")
+    of = m[base].cast("double") if base else F.lit(1.0)
     broken = F.lit(False)
     if rule.low is not None:
         broken = broken | (left < F.lit(float(rule.low)) * of)
@@ -139,13 +151,26 @@ def apply_rules(
     df: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = BASE_RULES, text_col: str = "text"
 ) -> DataFrame:
     """``df`` with its measures, ``failed_rules`` (names in table order), ``base_failed``, ``kept``."""
-    out = measures(replace_columns(df, ["failed_rules", "base_failed", "kept"]), text_col)
-    failed = F.filter(
-        F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull()
-    )
-    of_base = F.lit(False)
-    for r in rules:
-        if r.name in base:
-            of_base = of_base | fails(r)
-    out = out.withColumns({"failed_rules": failed, "base_failed": of_base})
-    return out.withColumn("kept", F.size("failed_rules") == 0)
+    df = replace_columns(df, [*MEASURES, "failed_rules", "base_failed", "kept"])
+
+    def judged(m: Column) -> Column:
+        names = F.array(*[F.when(fails(r, m), F.lit(r.name)) for r in rules])
+        of_base = F.lit(False)
+        for r in rules:
+            if r.name in base:
+                of_base = of_base | fails(r, m)
+        return F.struct(
+            *[m[x].alias(x) for x in MEASURES],
+            F.filter(names, lambda x: x.isNotNull()).alias("failed_rules"),
+            of_base.alias("base_failed"),
+        )
+
+    def with_verdict(v: Column) -> Column:
+        return F.struct(
+            *[v[x].alias(x) for x in (*MEASURES, "failed_rules", "base_failed")],
+            (F.size(v["failed_rules"]) == 0).alias("kept"),
+        )
+
+    v = fresh(df, "verdict")
+    out = df.withColumn(v, let(let(measured(whole(text_col)), judged), with_verdict))
+    return out.select(*df.columns, *[F.col(v)[x].alias(x) for x in (*MEASURES, "failed_rules", "base_failed", "kept")])
