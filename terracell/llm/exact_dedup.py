@@ -49,7 +49,7 @@ def exact_dedup(
 ) -> DataFrame:
     """``df`` with keep_id, group_size (long) and kept, one row per row of ``df``."""
     df = replace_columns(df, RESULTS)
-    full, slot, points = fresh(df, "full_hash"), fresh(df, "slot"), fresh(df, "points")
+    full, slot, points, mark = (fresh(df, c) for c in ("full_hash", "slot", "points", "marked"))
     norm = normalised(whole(text_col))
     key = F.xxhash64(F.length(norm), F.xxhash64(F.left(norm, F.lit(prefix))))
     keyed = df.withColumn(slot, F.pmod(key, F.lit(1 << filter_bits)))
@@ -63,13 +63,11 @@ def exact_dedup(
     bits = stored(bits).select(F.col("part").alias(part), F.col("bits").alias(held))
     # at most 2**(filter_bits - 15) rows of 4 KiB
     marked = keyed.withColumn(part, F.shiftright(slot, 15)).join(F.broadcast(bits), part, "left")
-    marked = marked.withColumn(
-        full, F.when(bit_set(F.col(held), F.col(slot)), F.unhex(F.sha2(norm, 256)))
-    ).drop(part, held, slot)
+    marked = marked.withColumn(mark, bit_set(F.col(held), F.col(slot))).drop(part, held, slot)
+    hashed = marked.where(F.col(mark)).withColumn(full, F.unhex(F.sha2(norm, 256)))
 
     groups = (
-        marked.where(F.col(full).isNotNull())
-        .select(F.col(full).alias("f"), F.col(id_col).alias("id"), F.length(whole(text_col)).alias("c"))
+        hashed.select(F.col(full).alias("f"), F.col(id_col).alias("id"), F.length(whole(text_col)).alias("c"))
         .groupBy("f", "c")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
         .groupBy("f")
@@ -77,13 +75,13 @@ def exact_dedup(
         .where("group_size > 1")
     )
     groups = stored(groups).withColumnRenamed("f", full)
-    alone = marked.where(F.col(full).isNull()).select(
+    alone = marked.where(~F.col(mark)).select(
         *df.columns,
         F.col(id_col).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     )
-    met = marked.where(F.col(full).isNotNull()).withColumn(fresh(df, "length"), F.length(whole(text_col)))
+    met = hashed.withColumn(fresh(df, "length"), F.length(whole(text_col)))
     met = met.join(groups, full, "left").select(
         *df.columns,
         F.coalesce("keep_id", F.col(id_col)).alias("keep_id"),
