@@ -11,6 +11,7 @@ from terracell.llm import (
     license_scan,
     mixing,
     ngram_join,
+    oracles,
     pii,
     quality_rules,
     secret_scan,
@@ -136,3 +137,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return weak_labels.classify(docs).drop("text")
+
+
+SQL |= {
+    "op3_exact_dedup": oracles.EXACT_DEDUP,
+    "op5_ngram_join": oracles.NEAR_COPIES,
+    "op10_quality_rules": oracles.quality_rules(),
+}
