@@ -26,14 +26,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import fresh, replace_columns, stored, whole, words_of
-from terracell.llm.quality_rules import MEASURES, measures
+from terracell.llm.common import WORD, fresh, let, replace_columns, stored, whole, without_spaces, words_of
+from terracell.llm.quality_rules import STOP_WORDS
 
 TRAIN_ROWS = 20_000
 FEATURES = 1 << 14
 GOOD, BAD, NONE = 2, 1, 0
 LEAST_WORDS = 20
-EXTRA = ("n_upper", "n_exclaims", "n_distinct")
 
 
 @dataclass(frozen=True)
@@ -49,42 +48,74 @@ class Labeller:
 LABELLERS = (
     Labeller("symbols", ("n_symbols", "n_words"), good=0.02, bad=0.15),
     Labeller("stop_words", ("n_stop_words", "n_words"), good=0.12, bad=0.04),
-    Labeller("repeated_words", ("n_repeat_words", "n_words"), good=0.25, bad=0.5),
+    Labeller("few_windows", ("n_windows", "n_words"), good=0.75, bad=0.5),
     Labeller("few_words", ("n_distinct", "n_words"), good=0.3, bad=0.1),
-    Labeller("repeated_lines", ("n_dup_lines", "n_lines"), good=0.1, bad=0.4),
-    Labeller("upper_case", ("n_upper", "word_chars"), good=0.1, bad=0.3),
+    Labeller("few_lines", ("n_distinct_lines", "n_lines"), good=0.9, bad=0.6),
+    Labeller("upper_case", ("n_upper", "n_chars"), good=0.1, bad=0.3),
     Labeller("exclamations", ("n_exclaims", "n_words"), good=0.02, bad=0.15),
-    Labeller("long_words", ("word_chars", "n_words"), good=8.0, bad=12.0),
+    Labeller("long_words", ("n_chars", "n_words"), good=8.0, bad=12.0),
 )
 
 
-def vote(labeller: Labeller) -> Column:
-    top, base = (F.col(c).cast("double") for c in labeller.share)
+def measured(t: Column) -> Column:
+    """Struct of a text's measures and its distinct words; the words are taken once."""
+
+    def of_words(w: Column) -> Column:
+        inner = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+        windows = F.transform(inner, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.struct(
+            F.size(w).alias("n_words"),
+            F.size(F.array_distinct(windows)).alias("n_windows"),
+            F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).alias("n_stop_words"),
+            F.array_distinct(w).alias("words"),
+        )
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).alias("n_lines"), F.size(F.array_distinct(x)).alias("n_distinct_lines"))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(t, F.lit(pattern))
+
+    parts = F.struct(
+        let(words_of(t), of_words).alias("w"),
+        let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)), of_lines).alias("l"),
+        F.length(without_spaces(t)).alias("n_chars"),
+        count("[#*$%&|<>]").alias("n_symbols"),
+        count(r"\p{Lu}").alias("n_upper"),
+        count("!").alias("n_exclaims"),
+    )
+
+    def together(p: Column) -> Column:
+        counts = [p["w"][c].alias(c) for c in ("n_words", "n_windows", "n_stop_words", "words")]
+        counts += [p["l"][c].alias(c) for c in ("n_lines", "n_distinct_lines")]
+        counts += [p[c].alias(c) for c in ("n_chars", "n_symbols", "n_upper", "n_exclaims")]
+        return F.struct(*counts, F.size(p["w"]["words"]).alias("n_distinct"))
+
+    return let(parts, together)
+
+
+def vote(labeller: Labeller, m: Column) -> Column:
+    top, base = (m[c].cast("double") for c in labeller.share)
     if labeller.good < labeller.bad:
         good, bad = top <= labeller.good * base, top >= labeller.bad * base
     else:
         good, bad = top >= labeller.good * base, top <= labeller.bad * base
     # few words say nothing about shares
-    return F.when((base <= 0) | (F.col("n_words") < LEAST_WORDS), NONE).when(bad, BAD).when(good, GOOD).otherwise(NONE)
-
-
-def with_votes(df: DataFrame, text_col: str, votes: str) -> DataFrame:
-    """``df`` with its votes as one number of base 3; columns named like measures are put back."""
-    t = whole(text_col)
-    clash = {c.lower() for c in (*MEASURES, *EXTRA)}
-    own = {c: fresh(df, f"own_{c}") for c in df.columns if c.lower() in clash}
-    df = df.withColumnsRenamed(own)
-    out = measures(df, text_col).withColumns(
-        {
-            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-            "n_exclaims": F.regexp_count(t, F.lit("!")).cast("long"),
-            "n_distinct": F.size(F.array_distinct(words_of(t))).cast("long"),
-        }
-    )
-    pattern = F.lit(0)
-    for i, labeller in enumerate(LABELLERS):
-        pattern = pattern + vote(labeller) * 3**i
-    return out.withColumn(votes, pattern.cast("int")).drop(*MEASURES, *EXTRA).withColumnsRenamed({v: k for k, v in own.items()})
+    return F.when((base <= 0) | (m["n_words"] < LEAST_WORDS), NONE).when(bad, BAD).when(good, GOOD).otherwise(NONE)
+
+
+def with_votes(df: DataFrame, text_col: str, votes: str, words: str) -> DataFrame:
+    """``df`` with its votes as one number of base 3, and its distinct words."""
+    m = fresh(df, "measures")
+
+    def pattern(m: Column) -> Column:
+        total = F.lit(0)
+        for i, labeller in enumerate(LABELLERS):
+            total = total + vote(labeller, m) * 3**i
+        return F.struct(total.cast("int").alias("votes"), m["words"].alias("words"))
+
+    out = df.withColumn(m, let(measured(whole(text_col)), pattern))
+    return out.select(*df.columns, F.col(m)["votes"].alias(votes), F.col(m)["words"].alias(words))
 
 
 def votes_of(pattern: int) -> list[int]:
@@ -148,13 +179,13 @@ def posterior(model: WeakModel, votes: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-odds))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, words: Column) -> Column:
     """Distinct words, and distinct shapes of words: runs of letters and digits shrunk to one sign."""
     shape = text
-    for pattern, sign in ((r"\p{Lu}+", "A"), (r"[\p{L}&&[^A]]+", "a"), (r"\p{N}+", "0")):
+    for pattern, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, pattern, sign)
     shapes = F.transform(F.array_distinct(words_of(shape)), lambda s: F.concat(F.lit("\x00"), s))
-    return F.concat(F.array_distinct(words_of(text)), shapes)
+    return F.concat(words, shapes)
 
 
 def classify(
@@ -164,7 +195,7 @@ def classify(
     df = replace_columns(df, ["votes", "posterior", "score", "kept"])
     pattern, words, hashed, unit = (fresh(df, c) for c in ("vote_pattern", "tokens", "hashed", "unit"))
     raw, chance, guess = (fresh(df, c) for c in ("raw_score", "chance", "guess"))
-    counted = with_votes(df.select(F.col(text_col).alias("text")), "text", "pattern").groupBy("pattern").count()
+    counted = with_votes(df.select(F.col(text_col).alias("text")), "text", "pattern", "words").groupBy("pattern").count()
     counts = {r["pattern"]: r["count"] for r in counted.collect()}
     model, n = estimate(counts), sum(counts.values())
 
@@ -172,8 +203,8 @@ def classify(
     norm = Normalizer(inputCol=hashed, outputCol=unit)
 
     def prepared(rows: DataFrame) -> DataFrame:
-        rows = with_votes(rows, text_col, pattern).withColumn("posterior", posterior(model, F.col(pattern)))
-        return norm.transform(tf.transform(rows.withColumn(words, tokens(whole(text_col)))))
+        rows = with_votes(rows, text_col, pattern, words).withColumn("posterior", posterior(model, F.col(pattern)))
+        return norm.transform(tf.transform(rows.withColumn(words, tokens(whole(text_col), F.col(words)))))
 
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(max(n, 1)))
     sample = prepared(df.select(id_col, text_col).where(at < train_rows)).select(unit, "posterior")
