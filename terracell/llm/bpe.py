@@ -40,8 +40,10 @@ BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: A first cut at places where the rule above always cuts: white space, with the one space before a
 #: word, and a stop after a letter or digit.
 RUNS = rf" ?[^{BLANK}.,;!?|]+(?<=[A-Za-z0-9])(?=[.,;!?|])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-REMEMBERED = 400_000
-REMEMBERED_PAIRS = 150_000
+#: Bounds of what a worker remembers: runs, pieces of runs, pairs of tokens.
+REMEMBERED = 150_000
+REMEMBERED_PIECES = 30_000
+REMEMBERED_PAIRS = 60_000
 #: Documents, and ids, that are worked on at a time.
 SLICE_ROWS = 500
 GATHERED = 200_000
@@ -59,14 +61,14 @@ def byte_letters() -> dict[str, int]:
 class Remembered(dict):
     """Ids by string, computed when missing; emptied when full."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, key: str) -> list[int]:
         ids = self.encode(key)
         if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = ids
         return ids
@@ -89,8 +91,8 @@ class BytePairs:
             if self.rank[both] < 0:
                 self.rank[both], self.halves[both] = r, (left, right)
         self.fit: dict[tuple[int, int], bool] = {}
-        self.pieces = Remembered(lambda piece: self.encode_piece(piece.encode("utf-8")))
-        self.runs = Remembered(self.encode_run)
+        self.pieces = Remembered(lambda piece: self.encode_piece(piece.encode("utf-8")), REMEMBERED_PIECES)
+        self.runs = Remembered(self.encode_run, REMEMBERED)
         self.automaton = None
         self.cut = None
 
@@ -207,7 +209,6 @@ class BytePairs:
         return ids
 
 
-@lru_cache(maxsize=2)
 def offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All token bytes in the order of ids, and where each id starts; no merges are kept."""
     d, letters = json.loads(text), byte_letters()
@@ -254,8 +255,8 @@ def gathered(ids: np.ndarray, blob: np.ndarray, starts: np.ndarray) -> bytes:
     return blob[np.arange(sizes.sum()) + np.repeat(starts[ids] - (ends - sizes), sizes)].tobytes()
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], vocabulary, ids_col: str, text_col: str):
-    blob, starts = offsets(vocabulary.value)
+def decode_batches(batches: Iterator[pa.RecordBatch], table, ids_col: str, text_col: str):
+    blob, starts = table.value
     for batch in sliced(batches):
         column = batch.column(batch.schema.get_field_index(ids_col))
         lists = pa.concat_arrays([column.cast(pa.list_(pa.int32()))])
@@ -294,10 +295,11 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col``."""
-    vocabulary = shared_vocabulary(df, path)
+    with open(path, encoding="utf-8") as f:
+        table = df.sparkSession.sparkContext.broadcast(offsets(f.read()))
     df = replace_columns(df, [text_col]) if ids_col != text_col else df
     work = fresh(df, "ids_to_decode")
     fields = [*df.schema.fields, StructField(text_col, StringType(), False)]
     return df.withColumn(work, F.col(ids_col)).mapInArrow(
-        lambda batches: decode_batches(batches, vocabulary, work, text_col), StructType(fields)
+        lambda batches: decode_batches(batches, table, work, text_col), StructType(fields)
     )

@@ -61,7 +61,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -198,7 +198,7 @@ def send_batches(batches: Iterator[pa.RecordBatch], words: int, num: int, den: i
             nodes.append(node)
             if node in seen:
                 continue
-            if len(seen) < 1_000_000:
+            if len(seen) < 300_000:
                 seen.add(node)
             for band in bands.of(n):
                 need = bands.equal_parts(n, band)
