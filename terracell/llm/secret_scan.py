@@ -35,6 +35,13 @@ RUN = r"[A-Za-z0-9+/_=-]"
 LEAST_RUN = 20
 #: Log-likelihood ratio that a run must reach, in all and for each step.
 LEAST_SCORE, LEAST_STEP = 15.0, 0.4
+#: Shares of a character's chance: by the one before, by itself, and equal for all. Shares, not added
+#: counts, so that a ratio has a limit that no number of samples moves.
+BY_PAIR, BY_SINGLE, EQUAL = 0.7, 0.2, 0.1
+#: Runs that may be ordinary identifiers: 12 characters, or 6 with a digit, a joint or an inner capital.
+NAMES = rf"(?<!{RUN})(?:{RUN}{{12,}}+|(?=[A-Za-z]*(?:[0-9+/_=-]|[a-z][A-Z])){RUN}{{6,}}+)"
+#: What ordinary identifiers are made of, three quarters of their characters at least.
+NAME_PARTS = r"[A-Z]?[a-z]{3,}|[A-Z][a-z]{2}|[A-Z]{3,}|[0-9]{2,}|[+/_=-]"
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
@@ -92,11 +99,13 @@ def labelled_samples(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(sample, random) rows of a corpus, over all its texts.
 
     Random: values of the fixed forms, and one checksum in base 64 of each text. Ordinary: all runs
-    of 12 or more characters that are letters, joined by - or _ at most.
+    outside the fixed forms that are made of words, numbers and joints, with digits, capitals, / and =.
     """
     t = whole(text_col)
-    runs = F.regexp_extract_all(t, F.lit(rf"(?<!{RUN})[A-Za-z]+(?:[_-][A-Za-z]+)*(?!{RUN})"), F.lit(0))
-    ordinary = df.select(F.explode(F.filter(runs, lambda r: F.length(r) >= 12)).alias("sample"), F.lit(False).alias("random"))
+    fixed = rf"{ASSIGN}|{ACCESS}|{HEX}"
+    runs = F.regexp_extract_all(F.regexp_replace(t, fixed, " "), F.lit(NAMES), F.lit(0))
+    named = F.filter(runs, lambda r: F.length(F.regexp_replace(r, NAME_PARTS, "")) * 4 <= F.length(r))
+    ordinary = df.select(F.explode(named).alias("sample"), F.lit(False).alias("random"))
     values = F.filter(base_spans(t), lambda s: s["value"].rlike("[A-Za-z]"))
     drawn = F.array(F.substring(F.base64(F.unhex(F.sha2(t, 512))), 1, 85))
     random = df.select(F.explode(F.concat(F.transform(values, lambda s: s["value"]), drawn)).alias("sample"), F.lit(True).alias("random"))
@@ -128,13 +137,28 @@ def train(samples: DataFrame) -> list[float]:
         .count()
         .collect()
     )
-    by = {(r["random"], r["pair"]): r["count"] for r in counts}
+    return log_ratios({(r["random"], r["pair"]): r["count"] for r in counts})
+
+
+def log_ratios(counts: dict[tuple[bool, int], int]) -> list[float]:
+    """Log ratios from the counts of (random, pair). Equal multiples of all counts give equal ratios."""
+    m = len(ALPHABET) + 1
+    chance = {}
+    for k in (True, False):
+        n = {(a, b): counts.get((k, a * m + b), 0) for a in range(1, m) for b in range(1, m)}
+        row = {a: sum(n[a, b] for b in range(1, m)) for a in range(1, m)}
+        every = sum(row.values())
+        for b in range(1, m):
+            equal = 1 / (m - 1)
+            column = sum(n[a, b] for a in range(1, m))
+            single = (BY_SINGLE * (column / every if every else equal) + EQUAL * equal) / (BY_SINGLE + EQUAL)
+            for a in range(1, m):
+                pair = n[a, b] / row[a] if row[a] else single
+                chance[k, a, b] = BY_PAIR * pair + (1 - BY_PAIR) * single
     table = [0.0] * (m * m)
     for a in range(1, m):
-        total = {k: sum(by.get((k, a * m + b), 0) for b in range(1, m)) for k in (True, False)}
         for b in range(1, m):
-            chance = {k: (by.get((k, a * m + b), 0) + 1) / (total[k] + m - 1) for k in (True, False)}
-            table[a * m + b] = math.log(chance[True] / chance[False])
+            table[a * m + b] = math.log(chance[True, a, b] / chance[False, a, b])
     return table
 
 

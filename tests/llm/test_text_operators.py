@@ -250,6 +250,32 @@ def test_secret_models(spark, odd, none):
     assert secret_scan.find_secrets(odd, secret_scan.train(secret_scan.labelled_samples(none))).count() == len(ODD)
 
 
+def log_ratio(table, text):
+    m = len(secret_scan.ALPHABET) + 1
+    codes = [secret_scan.ALPHABET.find(c) + 1 for c in text]
+    return sum(table[a * m + b] for a, b in zip(codes, codes[1:]))
+
+
+NAMES = ["getElementsByClassName", "usr/local/share/applications", "com/docs/help/users/article-title", "maximumConnectionRetryCount"]
+
+
+def test_secret_verdicts_do_not_depend_on_the_number_of_samples(spark, documents):
+    samples = secret_scan.labelled_samples(documents)
+    pairs = samples.select("random", F.explode(secret_scan.pairs_of(F.col("sample"))).alias("pair")).groupBy("random", "pair").count()
+    counts = {(r["random"], r["pair"]): r["count"] for r in pairs.collect()}
+    small, large = (secret_scan.log_ratios({k: n * times for k, n in counts.items()}) for times in (1, 10_000))
+    assert small == pytest.approx(large) and small == pytest.approx(secret_scan.train(samples))
+    assert all(log_ratio(large, t) < 0 for t in NAMES)
+    assert log_ratio(large, "q7GzP0vXw9LkT2nB4sYd8RfA") > secret_scan.LEAST_SCORE
+
+
+def test_ordinary_samples_hold_digits_capitals_and_paths(spark):
+    text = "see /docs/v2024/getElementsByClassName?page=article01 token: abcdefghijklmnopqr Zm9vY7GzP0vXw9LkT2nB"
+    out = secret_scan.labelled_samples(spark.createDataFrame([(text,)], "text string"))
+    got = {r["sample"] for r in out.where("not random").collect()}
+    assert got == {"/docs/v2024/getElementsByClassName", "page=article01"}
+
+
 def test_licences(spark, odd, none):
     s = license_scan.SENTENCES
     wrapped = "# " + s["mit.grant"].replace("without restriction", "\n# without restriction") + ":\n\n" + s["mit.notice"] + ".\n\n" + s["mit.asis"] + "."
