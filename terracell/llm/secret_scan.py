@@ -162,17 +162,97 @@ def log_ratios(counts: dict[tuple[bool, int], int]) -> list[float]:
     return table
 
 
-def score(text: Column, table: list[float]) -> Column:
-    """Summed log-likelihood ratio of a run: random against ordinary."""
+def ratios_of(text: Column, table: list[float]) -> Column:
+    """Log-likelihood ratio of each step of a run: random against ordinary."""
     ratios = F.split(F.lit(",".join(repr(round(x, 6)) for x in table)), ",").cast("array<double>")
-    steps = F.transform(pairs_of(text), lambda p: F.get(ratios, p))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
+    return F.transform(pairs_of(text), lambda p: F.get(ratios, p))
+
+
+def score(text: Column, table: list[float]) -> Column:
+    """Summed log-likelihood ratio of a run."""
+    return F.aggregate(ratios_of(text, table), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def outside(run: Column, base: Column) -> Column:
+    """Array of (start, value): what the base spans leave of a run, pieces of ``LEAST_RUN`` or more."""
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    start = F.struct(run["start"].alias("at"), none.alias("out"))
+    edge = F.struct(run["end"].alias("start"), run["end"].alias("end"))
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    stops = F.array_append(F.transform(over, lambda b: F.struct(b["start"], b["end"])), edge)
+
+    def step(acc: Column, b: Column) -> Column:
+        value = F.substring(run["value"], acc["at"] - run["start"] + 1, b["start"] - acc["at"])
+        piece = F.struct(acc["at"].alias("start"), value.alias("value"))
+        kept = F.when(b["start"] - acc["at"] >= LEAST_RUN, F.array_append(acc["out"], piece)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), kept.alias("out"))
+
+    return F.aggregate(stops, start, step, lambda acc: acc["out"])
+
+
+def stretches(value: Column, table: list[float]) -> Column:
+    """Array of (start, end): the best-scoring stretches of a piece that are secrets.
+
+    A running sum of the ratios above ``LEAST_STEP`` starts anew where it falls to nothing, or by
+    ``LEAST_SCORE`` below its best; a stretch goes from the start to the best place.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero, first = F.lit(0.0), F.lit(0)
+    start = F.struct(first.alias("at"), first.alias("from"), zero.alias("sum"), first.alias("to"), zero.alias("best"), none.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        steps = acc["to"] - acc["from"]
+        good = (steps + 1 >= LEAST_RUN) & (acc["best"] + LEAST_STEP * steps >= LEAST_SCORE)
+        one = F.struct(acc["from"].alias("start"), (acc["to"] + 1).alias("end"))
+        return F.when(good, F.array_append(acc["out"], one)).otherwise(acc["out"])
+
+    def step(acc: Column, ratio: Column) -> Column:
+        def moved(v: Column) -> Column:
+            at, total = v["at"], v["sum"]
+            ends = (total <= 0) | (total < acc["best"] - LEAST_SCORE)
+            up = total > acc["best"]
+            return F.struct(
+                at.alias("at"),
+                F.when(ends, at).otherwise(acc["from"]).alias("from"),
+                F.when(ends, 0.0).otherwise(total).alias("sum"),
+                F.when(ends | up, at).otherwise(acc["to"]).alias("to"),
+                F.when(ends, 0.0).when(up, total).otherwise(acc["best"]).alias("best"),
+                F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"),
+            )
+
+        return let(F.struct((acc["at"] + 1).alias("at"), (acc["sum"] + ratio - LEAST_STEP).alias("sum")), moved)
+
+    return F.aggregate(ratios_of(value, table), start, step, closed)
+
+
+def is_random(value: Column, table: list[float]) -> Column:
+    return let(score(value, table), lambda x: (x >= LEAST_SCORE) & (x >= LEAST_STEP * (F.length(value) - 1)))
+
+
+def random_parts(value: Column, table: list[float]) -> Column:
+    """Array of (start, end): the whole piece if it is a secret, else what between / _ - = or anywhere is one.
+
+    Parts that overlap or meet are one.
+    """
+    tokens = F.filter(matches(value, rf"[A-Za-z0-9+]{{{LEAST_RUN},}}", "random"), lambda m: is_random(m["value"], table))
+    found = F.sort_array(F.concat(F.transform(tokens, lambda m: F.struct(m["start"], m["end"])), stretches(value, table)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(out: Column, part: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], part["end"]).alias("end"))
+        before = F.slice(out, F.lit(1), F.size(out) - 1)
+        return F.when((F.size(out) > 0) & (last["end"] >= part["start"]), F.array_append(before, joined)).otherwise(F.array_append(out, part))
+
+    whole_piece = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
+    return F.when(is_random(value, table), whole_piece).otherwise(F.aggregate(found, none, step))
 
 
 def find_secrets(df: DataFrame, table: list[float], text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``df`` with its spans: array of (start, end, kind, value), ordered by start, then kind.
 
-    Runs that the models take for random are added as ``random`` unless a fixed form covers part of them.
+    Runs are cut at the edges of the fixed forms; what the models take for random in the pieces, whole
+    or a stretch behind or before ordinary words, is added as ``random``.
     """
     df = replace_columns(df, [spans_col]) if spans_col != text_col else df
     base, runs = fresh(df, "base_spans"), fresh(df, "scored_runs")
@@ -180,16 +260,21 @@ def find_secrets(df: DataFrame, table: list[float], text_col: str = "text", span
     least = LEAST_RUN
     df2 = df.withColumns({base: base_spans(t), runs: matches(t, rf"{RUN}{{{least},}}", "random")})
 
+    def placed(piece: Column) -> Column:
+        def one(p: Column) -> Column:
+            value = F.substring(piece["value"], p["start"] + 1, p["end"] - p["start"])
+            return F.struct(
+                (piece["start"] + p["start"]).alias("start"),
+                (piece["start"] + p["end"]).alias("end"),
+                F.lit("random").alias("kind"),
+                value.alias("value"),
+            )
+
+        return F.transform(random_parts(piece["value"], table), one)
+
     def both(s: Column) -> Column:
-        added = F.filter(
-            s["runs"],
-            lambda r: ~F.exists(s["base"], lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-            & let(
-                score(r["value"], table),
-                lambda x: (x >= LEAST_SCORE) & (x >= LEAST_STEP * (F.length(r["value"]) - 1)),
-            ),
-        )
-        return in_order(F.concat(s["base"], added))
+        pieces = F.flatten(F.transform(s["runs"], lambda r: outside(r, s["base"])))
+        return in_order(F.concat(s["base"], F.flatten(F.transform(pieces, placed))))
 
     spans = let(F.struct(F.col(base).alias("base"), F.col(runs).alias("runs")), both)
     return df2.withColumn(spans_col, spans).drop(base, runs)

@@ -276,6 +276,19 @@ def test_ordinary_samples_hold_digits_capitals_and_paths(spark):
     assert got == {"/docs/v2024/getElementsByClassName", "page=article01"}
 
 
+def test_secrets_inside_longer_runs(spark, documents):
+    model = secret_scan.train(secret_scan.labelled_samples(documents))
+    key, other = "q7GzP0vXw9LkT2nB4sYd8RfA", "Hx3Wm8ZtQ5cJ1uVb6KpE9yNg"
+    path, commit = "internationalization-of-everything/responsibilities-", "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    texts = [path + key, key + "/" + path, path + key + "/" + path + other, f"/{commit}/{key}/{path}", f"{commit}/{path}{key}", path * 20, *NAMES]
+    df = spark.createDataFrame([(i, "é " + t) for i, t in enumerate(texts)], "id int, text string")
+    got = [[s for s in r["spans"] if s["kind"] == "random"] for r in secret_scan.find_secrets(df, model).orderBy("id").collect()]
+    for t, spans in zip(texts, got):
+        assert all(("é " + t)[s["start"] : s["end"]] == s["value"] and len(s["value"]) <= 30 for s in spans)
+        assert len(spans) == sum(k in t for k in (key, other))
+        assert all(any(k in s["value"] for s in spans) for k in (key, other) if k in t)
+
+
 def test_licences(spark, odd, none):
     s = license_scan.SENTENCES
     wrapped = "# " + s["mit.grant"].replace("without restriction", "\n# without restriction") + ":\n\n" + s["mit.notice"] + ".\n\n" + s["mit.asis"] + "."
