@@ -7,7 +7,9 @@ first, and what a rule has used is not there for later ones. Sentences that aren
 a sequence.
 
 Two readings are made of each text: line by line, and with lines joined, where only blank lines and
-sentence ends cut (licence texts are wrapped). The findings of both count.
+sentence ends cut (licence texts are wrapped). The findings of both count. The cut leaves every known
+sentence whole (checked on import); where one has a part that varies, such as the name of the program,
+its fixed words find it.
 
 Everything is built-in functions over the row's own text: a map without a shuffle. Only texts, and then
 sentences, with a cue word are looked at; every known sentence has one (checked on import).
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from terracell.llm.common import let, replace_columns, whole
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, {}"
+
 # Sentences of public licences and of notices that point to them.
 SENTENCES = {
     "mit.grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
@@ -46,7 +50,16 @@ SENTENCES = {
     "gpl3.named": "This work is licensed under the GNU General Public License, version 3",
     "gpl3.under": "Licensed under the GNU General Public License, version 3",
     "gpl2.under": "Licensed under the GNU General Public License, version 2",
-    "gpl.terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl.terms": GNU.format("General", "either version 3 of the License, or (at your option) any later version"),
+    "gpl2.later": GNU.format("General", "either version 2 of the License, or (at your option) any later version"),
+    "gpl2.only": GNU.format("General", "version 2 of the License"),
+    "gpl3.only": GNU.format("General", "version 3 of the License"),
+    "lgpl2.later": GNU.format("Library General", "either version 2 of the License, or (at your option) any later version"),
+    "lgpl21.later": GNU.format("Lesser General", "either version 2.1 of the License, or (at your option) any later version"),
+    "lgpl21.only": GNU.format("Lesser General", "version 2.1 of the License"),
+    "lgpl3.later": GNU.format("Lesser General", "either version 3 of the License, or (at your option) any later version"),
+    "agpl3.later": GNU.format("Affero General", "either version 3 of the License, or (at your option) any later version"),
+    "agpl3.only": GNU.format("Affero General", "version 3 of the License"),
     "gpl.hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "lgpl.under": "Licensed under the GNU Lesser General Public License, version 3",
     "mpl.terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -68,6 +81,15 @@ RULES = (
     ("Apache-2.0", ("apache.the", "apache.comply", "apache.copy", "apache.asis")),
     ("GPL-3.0-or-later", ("gpl.terms", "gpl.hope")),
     ("GPL-3.0-or-later", ("gpl.terms",)),
+    ("GPL-2.0-or-later", ("gpl2.later",)),
+    ("GPL-2.0-only", ("gpl2.only",)),
+    ("GPL-3.0-only", ("gpl3.only",)),
+    ("LGPL-2.0-or-later", ("lgpl2.later",)),
+    ("LGPL-2.1-or-later", ("lgpl21.later",)),
+    ("LGPL-2.1-only", ("lgpl21.only",)),
+    ("LGPL-3.0-or-later", ("lgpl3.later",)),
+    ("AGPL-3.0-or-later", ("agpl3.later",)),
+    ("AGPL-3.0-only", ("agpl3.only",)),
     ("Apache-2.0", ("apache.the",)),
     ("Apache-2.0", ("apache.named",)),
     ("MIT", ("mit.named",)),
@@ -89,8 +111,9 @@ RULES = (
 CUES = ("licens", "permission", "warrant", "redistribut", "copyright", "software")
 RESULTS = ["sentence_ids", "licenses"]
 #: A mark of comments and lists before a sentence, and the ends of sentences.
-LINE_START = r"(?m)^[ \t]*(?:#+|//+|\*+|--|;+|>+|[0-9]+\.)[ \t]*"
-ENDS = r"[.:;!?](?=\s|$)"
+LINE_START = r"(?m)^[ \t]*(?:#+|//+|\*+|--|;+|>+|[0-9]+\.(?![0-9]))[ \t]*"
+#: Not the full stop of "v. 2.0", and not the marks that the GNU notices have inside.
+ENDS = r"(?:(?<!\bv)\.|[:;](?!\s+(?:you can redistribute|either version|version [0-9])\b)|[!?])(?=\s|$)"
 
 
 def plain(sentence: str) -> str:
@@ -100,6 +123,11 @@ def plain(sentence: str) -> str:
 KNOWN = {plain(s): i for i, s in SENTENCES.items()}
 if any(not any(cue in s for cue in CUES) for s in KNOWN):
     raise ValueError("a known sentence has no cue word")
+if any(re.search(ENDS, s.lower()) for s in SENTENCES.values()):
+    raise ValueError("a known sentence is cut")
+#: Parts that vary, of plain sentences: words that a sentence has, what is replaced and by what.
+GNU_NAMED = plain("is free software you can redistribute it")
+VARIABLE = ((GNU_NAMED, f"^.* {GNU_NAMED} ", f"this program {GNU_NAMED} "),)
 
 
 def has_cue(lowered: Column) -> Column:
@@ -109,10 +137,16 @@ def has_cue(lowered: Column) -> Column:
     return found
 
 
+def replaced(words: str, pattern: str, fixed: str):
+    return lambda s: F.when(s.contains(words), F.regexp_replace(s, pattern, fixed)).otherwise(s)
+
+
 def identified(lowered: Column, ends: str) -> Column:
     """Identifiers of the known sentences, in their order, as one string: " a b "."""
     sentences = F.filter(F.split(lowered, ends, -1), has_cue)
     spelled = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    for words, pattern, fixed in VARIABLE:
+        spelled = F.transform(spelled, replaced(words, pattern, fixed))
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     ids = F.filter(F.transform(spelled, lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull())
     return F.concat(F.lit(" "), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(" "))), ""))

@@ -301,6 +301,32 @@ def test_licences(spark, odd, none):
     assert license_scan.scan_licences(odd.withColumn("licenses", F.lit(1))).count() == len(ODD)
 
 
+def licences_of(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    return [r["licenses"] for r in license_scan.scan_licences(df).orderBy("id").collect()]
+
+
+def test_every_licence_rule_is_found_in_prose(spark):
+    texts = []
+    for _, ids in license_scan.RULES:
+        notice = ".\n".join(license_scan.SENTENCES[i] for i in ids)
+        texts.append(f"We wrote this software for fun. {notice}. Some more words about the software follow here.")
+    assert licences_of(spark, texts) == [[name] for name, _ in license_scan.RULES]
+
+
+def test_official_headers(spark):
+    mpl = (
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    )
+    gnu = (
+        "# {} is free software; you can redistribute it and/or\n# modify it under the terms of the GNU {} Public\n# License as"
+        " published by the Free Software Foundation; either\n# version {} of the License, or (at your option) any later version.\n#\n# More."
+    )
+    texts = [mpl, gnu.format("This program", "General", "2"), gnu.format("This library", "Lesser General", "2.1"), gnu.format("Foo", "Affero General", "3")]
+    assert licences_of(spark, texts) == [["MPL-2.0"], ["GPL-2.0-or-later"], ["LGPL-2.1-or-later"], ["AGPL-3.0-or-later"]]
+
+
 def test_planted_licences(spark, rows):
     planted = {
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
