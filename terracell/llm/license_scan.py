@@ -7,7 +7,8 @@ first, and what a rule has used is not there for later ones. Sentences that aren
 a sequence.
 
 Two readings are made of each text: line by line, and with lines joined, where only blank lines and
-sentence ends cut (licence texts are wrapped). The findings of both count. The cut leaves every known
+sentence ends cut (licence texts are wrapped). The findings of both count, but for shorter rules in
+sentences that the other reading has used for a longer one. The cut leaves every known
 sentence whole (checked on import); where one has a part that varies, such as the name of the program,
 its fixed words find it.
 
@@ -110,10 +111,12 @@ RULES = (
 
 CUES = ("licens", "permission", "warrant", "redistribut", "copyright", "software")
 RESULTS = ["sentence_ids", "licenses"]
+READINGS = ("joined", "lines")
 #: A mark of comments and lists before a sentence, and the ends of sentences.
 LINE_START = r"(?m)^[ \t]*(?:#+|//+|\*+|--|;+|>+|[0-9]+\.(?![0-9]))[ \t]*"
-#: Not the full stop of "v. 2.0", and not the marks that the GNU notices have inside.
-ENDS = r"(?:(?<!\bv)\.|[:;](?!\s+(?:you can redistribute|either version|version [0-9])\b)|[!?])(?=\s|$)"
+#: Not the full stop of "v. 2.0" or of "Foo Inc. nor", and not the marks that the GNU notices have inside.
+INC = r"(?:(?<=\binc\.)|(?<=\bltd\.)|(?<=\bcorp\.)|(?<=\bco\.))\s+(?:and|or)"
+ENDS = rf"(?:(?<!\bv)\.(?!(?:\s+(?:nor|may (?:not )?be used to endorse)|{INC})\b)|[:;](?!\s+(?:you can redistribute|either version|version [0-9])\b)|[!?])(?=\s|$)"
 
 
 def plain(sentence: str) -> str:
@@ -127,7 +130,13 @@ if any(re.search(ENDS, s.lower()) for s in SENTENCES.values()):
     raise ValueError("a known sentence is cut")
 #: Parts that vary, of plain sentences: words that a sentence has, what is replaced and by what.
 GNU_NAMED = plain("is free software you can redistribute it")
-VARIABLE = ((GNU_NAMED, f"^.* {GNU_NAMED} ", f"this program {GNU_NAMED} "),)
+ENDORSE = plain("may be used to endorse or promote products derived from this software without specific prior written permission")
+NOT_ENDORSE = ENDORSE.replace("may be", "may not be")
+VARIABLE = (
+    (GNU_NAMED, f"^.* {GNU_NAMED} ", f"this program {GNU_NAMED} "),
+    (ENDORSE, f"^neither .+ {ENDORSE}$", plain(SENTENCES["bsd.names"])),
+    (NOT_ENDORSE, f"^the names? of .+ {NOT_ENDORSE}$", plain(SENTENCES["bsd.names"])),
+)
 
 
 def has_cue(lowered: Column) -> Column:
@@ -141,31 +150,45 @@ def replaced(words: str, pattern: str, fixed: str):
     return lambda s: F.when(s.contains(words), F.regexp_replace(s, pattern, fixed)).otherwise(s)
 
 
+def marked(i: str | Column) -> Column:
+    """An identifier between marks of its own, so that neighbours share none."""
+    return F.concat(F.lit("<"), F.lit(i), F.lit(">"))
+
+
 def identified(lowered: Column, ends: str) -> Column:
-    """Identifiers of the known sentences, in their order, as one string: " a b "."""
+    """Identifiers of the known sentences, in their order, as one string: "<a><b>"."""
     sentences = F.filter(F.split(lowered, ends, -1), has_cue)
     spelled = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     for words, pattern, fixed in VARIABLE:
         spelled = F.transform(spelled, replaced(words, pattern, fixed))
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     ids = F.filter(F.transform(spelled, lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull())
-    return F.concat(F.lit(" "), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(" "))), ""))
+    return F.array_join(F.transform(ids, marked), "")
+
+
+def times_in(sequence: Column, text: Column) -> Column:
+    return F.length(sequence) - F.length(F.replace(sequence, text, F.lit("")))
+
 
+def licences_in(readings: Column) -> Column:
+    """Licences of the two readings, in the order of the rules that found them.
 
-def licences_in(sequence: Column) -> Column:
-    """Licences of a sequence, in the order of the rules that found them."""
-    state = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("out"))
+    What only one reading finds counts if that reading holds the rule's sequence more often: else the
+    other one has used the same sentences for a longer rule.
+    """
+    rest = [readings[r].alias(r) for r in READINGS]
+    state = F.struct(*rest, readings.alias("all"), F.array().cast("array<string>").alias("out"))
 
     def use(rule):
         name, ids = rule
-        text = " " + " ".join(ids) + " "
+        text = F.concat(*map(marked, ids))
 
         def step(s: Column) -> Column:
-            hit = s["rest"].contains(text)
-            return F.struct(
-                F.when(hit, F.replace(s["rest"], F.lit(text), F.lit(" | "))).otherwise(s["rest"]).alias("rest"),
-                F.when(hit, F.array_append(s["out"], F.lit(name))).otherwise(s["out"]).alias("out"),
-            )
+            one, two = (s[r].contains(text) for r in READINGS)
+            first, second = (times_in(s["all"][r], text) for r in READINGS)
+            found = (one & two) | (one & (first > second)) | (two & (second > first))
+            left = [F.when(s[r].contains(text), F.replace(s[r], text, F.lit("|"))).otherwise(s[r]).alias(r) for r in READINGS]
+            return F.struct(*left, s["all"].alias("all"), F.when(found, F.array_append(s["out"], F.lit(name))).otherwise(s["out"]).alias("out"))
 
         return step
 
@@ -187,8 +210,8 @@ def scan_licences(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def found(r: Column) -> Column:
         longer = F.when(F.length(r["joined"]) >= F.length(r["lines"]), r["joined"]).otherwise(r["lines"])
-        licences = F.array_union(licences_in(r["joined"]), licences_in(r["lines"]))
-        return F.struct(F.filter(F.split(longer, " "), lambda x: x != "").alias("ids"), licences.alias("licenses"))
+        licences = licences_in(r)
+        return F.struct(F.filter(F.split(longer, "[<>]+"), lambda x: x != "").alias("ids"), licences.alias("licenses"))
 
     nothing = F.array().cast("array<string>")
     lowered = F.lower(whole(text_col))

@@ -327,6 +327,30 @@ def test_official_headers(spark):
     assert licences_of(spark, texts) == [["MPL-2.0"], ["GPL-2.0-or-later"], ["LGPL-2.1-or-later"], ["AGPL-3.0-or-later"]]
 
 
+def test_repeated_notices_are_used_up(spark):
+    s = license_scan.SENTENCES
+    texts = [". ".join(s[i] for i in ids) + ".\n" for name, ids in license_scan.RULES if len(ids) > 1 or name == "ISC"]
+    names = [name for name, ids in license_scan.RULES if len(ids) > 1 or name == "ISC"]
+    for times in (2, 3):
+        assert licences_of(spark, [t * times for t in texts]) == [[n] for n in names]
+    both = licences_of(spark, [texts[0] + texts[1] + texts[0]])
+    assert both == [["BSD-3-Clause", "BSD-2-Clause"]]
+
+
+def test_named_organisations(spark):
+    s = license_scan.SENTENCES
+    bsd = ".\n".join(s[k] for k in ("bsd.grant", "bsd.source", "bsd.binary")) + ".\n"
+    use = "used to endorse or promote products\nderived from this software without specific prior written permission."
+    texts = [
+        bsd + "3. Neither the name of Foo Inc. nor the names of its contributors may be " + use,
+        bsd + "* Neither the names of Foo, Inc. and Bar nor the names of\n their contributors may be " + use,
+        bsd + "The name of the author may not be " + use,
+        bsd + "Neither the name of Foo Inc. may be " + use,
+        bsd + "Some other sentence about this software.",
+    ]
+    assert licences_of(spark, texts) == [["BSD-3-Clause"]] * 4 + [["BSD-2-Clause"]]
+
+
 def test_planted_licences(spark, rows):
     planted = {
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
