@@ -28,7 +28,9 @@ hot within one chunk of a task are dealt out by node, not by key, so that no tas
 
 Defined results: null and empty texts have the empty set, are linked with nothing and form components
 of their own; with fewer words than a shingle the whole sequence is the one shingle; repeated rows are
-copies. Words and sets are compared by 64-bit hashes.
+copies. A null id is an id like others, but for the name of its component: that is the least id, null
+where no row of the component has one. An id that repeats with different texts is in the component of
+each text. Words, sets and whole texts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import stored, whole, written
+from terracell.llm.common import fresh, stored, whole, written
 from terracell.llm.graph import components
 
 KEY_MEMBERS = 8
@@ -151,7 +153,8 @@ def spare_in(x: Column) -> Column:
 
 
 def send_batches(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int):
-    """Documents and their sketch keys, as rows of ``SEND``; documents have key null."""
+    """Documents and their sketch keys, as rows of ``SEND``; documents have -1 - size for x and their text's
+    hash for key."""
     bands, seen = Bands(num, den), set()
     keys: list[np.ndarray] = []
     owners: list[tuple[int, int, int]] = []
@@ -217,9 +220,9 @@ def send_batches(batches: Iterator[pa.RecordBatch], words: int, num: int, den: i
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(docs, pa.int64()),
-                pa.nulls(len(docs), pa.int64()),
+                batch.column(2),
                 pa.array(nodes, pa.int64()),
-                pa.array(sizes, pa.int64()),
+                pa.array([-1 - n for n in sizes], pa.int64()),
             ],
             names=["deal", "key", "node", "x"],
         )
@@ -263,10 +266,10 @@ def meet_batches(batches: Iterator[pa.RecordBatch], num: int, den: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        is_doc = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        is_doc = batch.column(3).to_numpy(zero_copy_only=False) < 0
         if is_doc.any():
             d = batch.filter(pa.array(is_doc))
-            yield rows_batch(DOC, d.column(0), d.column(2), d.column(3), d.column(3))
+            yield rows_batch(DOC, d.column(0), d.column(2), -1 - d.column(3).to_numpy(zero_copy_only=False), d.column(1))
             batch = batch.filter(pa.array(~is_doc))
         key, node, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
         key, node, x = (np.concatenate([h, v]) for h, v in zip(held, (key, node, x)))
@@ -418,14 +421,31 @@ def jaccard_components(
     df: DataFrame, words: int = 5, num: int = 3, den: int = 4, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row; links are similarities of num/den or more."""
+    out = placed_rows(df, words, num, den, text_col, id_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(whole(text))
+
+
+def placed_rows(df: DataFrame, words: int, num: int, den: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, text_key, node, n, component_id, stays) of every row.
+
+    One (id, text_key) of each component stays: that of the least id, null last, then of the least node
+    and text key. Rows without words stay.
+    """
     bands = Bands(num, den)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"), text_key(text_col).alias("text_key"))
     sent = docs.mapInArrow(lambda batches: send_batches(batches, words, num, den), SEND)
-    met = sent.repartition(F.col("deal")).sortWithinPartitions("key", "node")
+    met = sent.repartition(F.coalesce("deal", "key")).sortWithinPartitions("key", "node")
     found = written(met.mapInArrow(lambda batches: meet_batches(batches, num, den), ROWS), "sketch-rows")
 
-    rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("x").alias("n"))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id")))
+    rows = found.where(F.col("kind") == DOC)
+    rows = rows.select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("x").alias("n"), F.col("y").alias("text_key"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key"))
+    nodes = rows.where("node is not null").groupBy("node").agg(first.alias("first"))
+    nodes = stored(nodes.select("node", "first.no_id", "first.id", "first.text_key"))
 
     hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("key"), F.col("b").alias("node"), "x").distinct()
     hot_count = stored(hot.groupBy("node", "x").agg(F.count(F.lit(1)).alias("n_hot")))
@@ -435,9 +455,9 @@ def jaccard_components(
 
     active = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     active = active.unionByName(hot.select("node")).distinct()
-    ids = stored(nodes.join(active, "node", "left_semi").select(F.col("first_id").alias("id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = docs.join(ids, "id", "left_semi").select("text")
+    keys = stored(nodes.join(active, "node", "left_semi").select("text_key").distinct())
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    sets = docs.join(keys, "text_key", "left_semi").select("text")
     sets = sets.mapInArrow(lambda batches: set_batches(batches, words), "node long, shingles binary")
     sets = written(sets.dropDuplicates(["node"]), "sketch-sets")
 
@@ -449,12 +469,19 @@ def jaccard_components(
     comps = components(links)
 
     of_node = stored(with_components(nodes, comps))
-    least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = stored(of_node.join(stored(least), "component").select("node", "component_id"))
-    alone = rows.where("node is null").select("id", "n", F.col("id").alias("component_id"))
-    out = rows.where("node is not null").join(of_node, "node").select("id", "n", "component_id")
-    out = out.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    least = of_node.groupBy("component").agg(F.min(F.struct("no_id", "id", "node", "text_key")).alias("least"))
+    least = stored(
+        least.select(
+            "component", F.col("least.id").alias("component_id"), F.col("least.node").alias("least_node"), F.col("least.text_key").alias("least_key")
+        )
+    )
+    of_node = of_node.select("node", "component").join(least, "component").drop("component")
+    of_node = stored(of_node)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("least_node")) & (F.col("text_key") == F.col("least_key"))
+    out = rows.where("node is not null").join(of_node, "node")
+    out = out.select("id", "text_key", "node", "n", "component_id", stays.alias("stays"))
+    alone = rows.where("node is null")
+    return out.unionByName(alone.select("id", "text_key", "node", "n", F.col("id").alias("component_id"), F.lit(True).alias("stays")))
 
 
 def first_links(pairs: DataFrame, hot: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -482,11 +509,30 @@ def block_links(hot: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den
 
 
 def drop_near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id names their component: one document of each group of near copies.
+    """One row of ``df`` of each group of near copies: that of the least id, null last.
 
-    Of rows that repeat an id one stays.
+    Ties are broken by hashes of set and text; of rows that repeat id and text one stays. Rows without
+    words are copies of nothing: they stay, but for those that repeat an id and a text.
     """
-    out = jaccard_components(df, text_col=text_col, id_col=id_col, **options)
-    gone = stored(out.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    few = gone.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*df.columns)
+    options = {"words": 5, "num": 3, "den": 4} | options
+    rows = stored(placed_rows(df, text_col=text_col, id_col=id_col, **options).select("id", "text_key", "node", "stays"))
+    gone = stored(rows.where("not stays").select("id", "text_key").distinct())
+    again = rows.where("stays and (node is not null or id is not null)").groupBy("id", "text_key").count()
+    again = stored(again.where("count > 1").select("id", "text_key"))
+
+    key = fresh(df, "text_key")
+    keyed = df.withColumn(key, text_key(text_col))
+    left = matched(keyed, gone, key, id_col, "left_anti")
+    if again.count():
+        one = matched(left, again, key, id_col, "left_semi").dropDuplicates([id_col, key])
+        left = matched(left, again, key, id_col, "left_anti").unionByName(one)
+    return left.select(*df.columns)
+
+
+def matched(df: DataFrame, rows: DataFrame, key: str, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join of ``df`` on id and text key, null ids equal."""
+    other_id, other_key = fresh(df, "other_id"), fresh(df, "other_key")
+    rows = rows.select(F.col("id").alias(other_id), F.col("text_key").alias(other_key))
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
+    return df.join(rows, same, how)

@@ -412,6 +412,26 @@ def test_near_copies_edges(odd, none):
     assert ngram_join.jaccard_components(odd.where("doc_id is not null")).count() == len(ODD) - 1
 
 
+def test_near_copies_with_repeated_and_null_ids(spark, prose):
+    a, b, c, d = (prose(80, 900 + k) for k in range(4))
+    a2, c2, d2 = (t + " end" for t in (a, c, d))
+    rows = [
+        (1, a2, "x"), (5, a, "x"), (5, b, "stays"), (7, b, "x"),
+        (None, c, "x"), (None, c2, "x"), (9, c2 + " more", "stays"),
+        (None, d, "x"), (None, d2, "x"), (None, d, "x"),
+        (1, a2, "x"), (2, "", "x"), (2, "", "x"), (None, None, "x"), (None, " ", "x"), (None, "alone here", "stays"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = ngram_join.jaccard_components(df).collect()
+    of = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}
+    assert len(got) == len(rows) and of[None, 76] in (9, None) and of[9, 78] == 9
+    assert sorted((r["component_id"] for r in got if r["n_shingles"] == 77), key=str) == [1, 1, 9, None]
+    kept = [tuple(r) for r in ngram_join.drop_near_copies(df).collect()]
+    assert sorted(r[:2] for r in kept if r[0] is not None) == sorted([(1, a2), (5, b), (9, c2 + " more"), (2, "")])
+    none = [r[1] for r in kept if r[0] is None]
+    assert len(none) == 4 and {None, " ", "alone here"} < set(none) and len({d, d2} & set(none)) == 1
+
+
 def test_sketch_bounds_the_difference(prose):
     """At least ``equal_parts`` parts are equal for every pair that is similar enough."""
     bands, rnd = ngram_join.Bands(3, 4), random.Random(2)
