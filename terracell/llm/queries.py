@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from terracell.llm import (
     bpe,
+    divergence,
     exact_dedup,
     license_scan,
+    minhash,
     mixing,
     ngram_join,
     oracles,
     pii,
+    prefix_trie,
     quality_rules,
     secret_scan,
     sharding,
@@ -139,8 +142,26 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(docs).drop("text")
 
 
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents"), words=4, num=4, den=5)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 SQL |= {
     "op3_exact_dedup": oracles.EXACT_DEDUP,
-    "op5_ngram_join": oracles.NEAR_COPIES,
+    "op5_ngram_join": oracles.near_copies(5, 75),
     "op10_quality_rules": oracles.quality_rules(),
+    "op11_minhash": oracles.near_copies(4, 80, ", d.doc_id = component_id AS kept"),
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
