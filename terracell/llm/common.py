@@ -69,4 +69,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """A table written below the shared checkpoint folder and read again."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,12 +13,13 @@ Jaccard similarity.
 3. **Confirmation.** What is left is compared on the full sets, recomputed from the texts of the documents
    in such pairs only. Links that would join what is joined already are not fetched.
 
-**Hot keys**, held by more than ``KEY_MEMBERS`` documents, make no pairs: their documents are linked to the
-key's least one first. Documents outside the largest component that a hot key then holds are compared with
-all documents of that key, signature against signature, in blocks of at most ``BLOCK`` by ``BLOCK`` rows dealt
-out over the cluster; only pairs of two components that pass the estimate leave a block. Nothing is
-capped. The work of a key is its number of documents times the number still apart: near linear for
-groups of near copies, quadratic (in bit counts) where many texts share a key and are no copies.
+**Hot keys**, held by more than ``KEY_MEMBERS`` documents, make no pairs: their documents are first linked to
+one document of each key, another one for each key. Documents outside the largest component that a hot key then
+holds are compared with all documents of that key in blocks of about ``BLOCK`` shingles each way, dealt out over the
+cluster: signature against signature, and the sets of those that come near, without leaving the block. A block returns
+one link for each node and component at most. Nothing is capped. The work of a key is its number of
+documents times the number still apart: near linear for groups of near copies, quadratic (in bit
+counts) where many texts share a key and are no copies.
 
 Copies: documents of one set are one node. Shuffles: 32 keys of 16 bytes a document (pre-aggregated), 64-byte
 signatures, full sets of confirmed candidates only, star components.
@@ -63,7 +64,7 @@ BITS = 4
 WORDS_OF_64 = HASHES * BITS // 64
 MISS = 1e-9
 KEY_MEMBERS = 8
-BLOCK = 2048
+BLOCK = 100_000
 SLICE = 500
 STEP = 32_768
 #: The lowest bit of every group of four.
@@ -184,59 +185,97 @@ def close(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(sizes & (equal_groups(F.col("sig_a"), F.col("sig_b")) >= least_equal(num, den))).select("a", "b")
 
 
+def hot_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(node, sig, keys, shingles) of texts."""
+    for whole_batch in batches:
+        for at in range(0, whole_batch.num_rows, SLICE):
+            sets = [shingle_set(t.as_py(), words) for t in whole_batch.column(0).slice(at, SLICE)]
+            least = minima(sets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node_of(s) for s in sets], pa.int64()), lists(packed(least)), lists(band_keys(least)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "sig", "keys", "shingles"],
+            )
+
+
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
 def compare_blocks(left: pa.Table, right: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of a block whose components differ and whose signatures come near the similarity."""
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Links of a block that join components; at most one for each node and component.
+
+    A pair is looked at in the first band that it shares; pairs whose signatures come near the similarity are
+    compared on their sets, all partners of a node at once.
+    """
+    found_a: list[int] = []
+    found_b: list[int] = []
     if left.num_rows and right.num_rows:
         least = least_equal(num, den)
-        node, comp, n = (right[c].to_numpy() for c in ("node", "component", "n"))
-        sigs = right["sig"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
-        ours = left["sig"].combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1).view(np.uint64)
-        for own, c, size, sig in zip(left["node"].to_numpy(), left["component"].to_numpy(), left["n"].to_numpy(), ours):
-            near = np.flatnonzero((comp != c) & (np.minimum(n, size) * den >= np.maximum(n, size) * num))
-            x = sigs[near] ^ sig
+        node, comp = right["node"].to_numpy(), right["component"].to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in right["shingles"]]
+        size = np.array([len(s) for s in sets])
+        sigs, keys = numbers(right["sig"]).view(np.uint64), numbers(right["keys"])
+        own_sigs, own_keys = numbers(left["sig"]).view(np.uint64), numbers(left["keys"])
+        band = int(np.flatnonzero(keys[0] == right["key"][0].as_py())[0])
+        for i, (a, c, v) in enumerate(zip(left["node"].to_pylist(), left["component"].to_pylist(), left["shingles"])):
+            s = np.frombuffer(v.as_buffer(), dtype=np.uint64)
+            near = np.flatnonzero((comp != c) & (np.minimum(size, len(s)) * den >= np.maximum(size, len(s)) * num))
+            x = sigs[near] ^ own_sigs[i]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             near = near[HASHES - np.bitwise_count(x & GROUPS).sum(axis=1, dtype=np.int64) >= least]
-            found_a.append(np.full(len(near), own))
-            found_b.append(node[near])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-
-def block_pairs(hot: DataFrame, comps: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """Near pairs of two components that share a hot key, found block against block."""
-    spread = stored(with_components(hot, comps))
-    sizes = spread.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("count", "component")).alias("main"),
-        F.sum("count").alias("members"),
-        (F.sum("count") - F.max("count")).alias("apart"),
+            if band:
+                near = near[~(keys[near, :band] == own_keys[i, :band]).any(axis=1)]
+            for at in range(0, len(near), 256):
+                part = near[at : at + 256]
+                flat = np.concatenate([sets[k] for k in part])
+                place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                starts = np.cumsum(size[part]) - size[part]
+                both = np.add.reduceat((s[place] == flat).astype(np.int64), starts)
+                good = part[den * both >= num * (len(s) + size[part] - both)]
+                _, first = np.unique(comp[good], return_index=True)
+                found_a.extend([a] * len(first))
+                found_b.extend(node[good[first]].tolist())
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def block_links(hot: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links between components that share a hot key, found block against block."""
+    spread = stored(with_components(hot.join(sigs.select("node", "n"), "node"), comps))
+    sizes = spread.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("count", "component", "n"))
+    main = sizes.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"))
+    main = main.where("components > 1").select(
+        "key", F.col("main.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("rights"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("lefts")
     )
-    main = main.where("apart > 0").select(
-        "key", "main", F.ceil(F.col("members") / BLOCK).alias("rights"), F.ceil(F.col("apart") / BLOCK).alias("lefts")
-    )
-    rows = spread.join(stored(main), "key").join(sigs, "node")
-    rows = stored(rows.select("key", "main", "lefts", "rights", "node", "component", "n", "sig"))
+    met = stored(spread.join(stored(main), "key").select("key", "main", "lefts", "rights", "node", "component"))
+    texts = one_text_each(docs, rows, met)
+    sets = texts.mapInArrow(lambda batches: hot_batches(batches, words), "node long, sig array<long>, keys array<long>, shingles binary")
+    sets = written(sets.dropDuplicates(["node"]), "minhash-hot-sets")
 
     def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         df = df.withColumn(own, F.pmod(F.xxhash64("node", F.lit(own)), F.col(own_blocks)))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1)))
-        return df.select("key", "i", "j", "node", "component", "n", "sig").groupBy("key", "i", "j")
+        df = df.join(sets, "node")
+        columns = ("key", "i", "j", "node", "component", "sig", "keys", "shingles")
+        # new columns for each side, or the cogroup takes them for the same
+        return df.select(*[F.when(F.lit(True), F.col(c)).alias(c) for c in columns]).groupBy("key", "i", "j")
 
-    left = dealt(rows.where("component <> main"), "i", "lefts", "j", "rights")
-    right = dealt(rows, "j", "rights", "i", "lefts")
-    near = left.cogroup(right).applyInArrow(lambda a, b: compare_blocks(a, b, num, den), "a long, b long")
-    return near.distinct()
+    left = dealt(met.where("component <> main"), "i", "lefts", "j", "rights")
+    right = dealt(met, "j", "rights", "i", "lefts")
+    return left.cogroup(right).applyInArrow(lambda a, b: compare_blocks(a, b, num, den), "a long, b long").distinct()
 
 
 def key_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: all of a key with few members, member and least one of a hot key."""
+    """Pairs (a, b), a < b: all of a key with few members, each member and one of a hot key.
+
+    The one differs from key to key, so that members of a large group meet many of its documents.
+    """
     cold = keyed.where(F.col("members") <= KEY_MEMBERS)
     one = cold.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # KEY_MEMBERS at most
     one = one.select("nodes", F.posexplode("nodes").alias("at", "a"))
     one = one.select("a", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(KEY_MEMBERS))).alias("b"))
-    star = keyed.where(F.col("members") > KEY_MEMBERS).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    star = keyed.where(F.col("members") > KEY_MEMBERS).select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b"))
     return one.unionByName(star).where("a <> b").distinct()
 
 
@@ -251,7 +290,7 @@ def near_rows(df: DataFrame, words: int, num: int, den: int, text_col: str, id_c
     full = signed.where("node is not null")
     sigs = written(full.select("node", "n", "sig").dropDuplicates(["node"]), "minhash-signatures")
     keys = written(full.select(F.explode("keys").alias("key"), "node").distinct(), "minhash-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", F.xxhash64("node", "key")).alias("one"))
     keyed = written(keys.join(shared.where("members > 1"), "key"), "minhash-shared")
     hot = keyed.where(F.col("members") > KEY_MEMBERS).select("key", "node")
     pairs = stored(close(key_pairs(keyed), sigs, num, den))
@@ -259,10 +298,10 @@ def near_rows(df: DataFrame, words: int, num: int, den: int, text_col: str, id_c
     # each node's least candidate is confirmed first; of the rest only pairs of two components
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = stored(verified(first, full_sets(docs, full, first, words), num, den))
-    comps = stored(components(links))
-    rest = cross_pairs(pairs, comps).unionByName(block_pairs(hot, comps, sigs, num, den)).distinct()
-    rest = stored(rest)
+    rest = stored(cross_pairs(pairs, stored(components(links))))
     more = verified(rest, full_sets(docs, full, rest, words), num, den)
+    links = stored(links.unionByName(more))
+    more = block_links(hot, stored(components(links)), sigs, docs, full, words, num, den)
     comps = components(stored(links.unionByName(more)))
 
     name = F.min("id").alias("component_id")  # nulls do not count
@@ -273,14 +312,18 @@ def near_rows(df: DataFrame, words: int, num: int, den: int, text_col: str, id_c
     return rows.select("id", "n", "component_id").unionByName(alone)
 
 
-def full_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the nodes in ``pairs``, from the texts of one row each."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+def one_text_each(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text) of the rows that have a node's least text key."""
+    keys = rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     keys = stored(keys.select("text_key").distinct())
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-    sets = docs.join(keys, "text_key", "left_semi").select("text")
-    sets = sets.mapInArrow(lambda batches: set_batches(batches, words), "node long, shingles binary")
+    return docs.join(keys, "text_key", "left_semi").select("text")
+
+
+def full_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``pairs``, from the texts of one row each."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = one_text_each(docs, rows, ends).mapInArrow(lambda batches: set_batches(batches, words), "node long, shingles binary")
     return written(sets.dropDuplicates(["node"]), "minhash-sets")
 
 

