@@ -8,7 +8,7 @@ all kept terms, and each source's terms with the whole language. All arithmetic
    term), and terms with ``least_docs`` or more stay.
 2. **Transducers.** Kept terms are sorted by range over the cluster; each range becomes minimal acyclic
    transducers of at most ``SHARD_TERMS`` terms that give a term's ordinal. Offsets by running sums over the shards
-   make ordinals of the language.
+   (a row of numbers each) make ordinals of all languages, a language's in one run.
 3. **Recount.** The texts stream through the transducers again, and only (source, ordinal, count) leaves a
    task: no term is shuffled or kept a second time. Transducers are broadcast in packs of at most ``PACK_BYTES``;
    where the vocabulary is larger, the texts are read once for each pack, and the counts of the packs are
@@ -128,7 +128,7 @@ def vocabulary(docs: DataFrame, least_docs: int) -> DataFrame:
     ranged = kept.repartitionByRange(shards, "lang", "term").sortWithinPartitions("lang", "term")
     built = ranged.mapInArrow(build_batches, "lang string, first string, n_terms long, fst binary")
     built = written(built, "term-transducers")
-    before = Window.partitionBy("lang").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("lang", "first").rowsBetween(Window.unboundedPreceding, -1)
     sizes = built.select("lang", "first", "n_terms", F.length("fst").alias("bytes"))
     sizes = stored(sizes.withColumn("base", F.coalesce(F.sum("n_terms").over(before), F.lit(0))))
     return built.drop("n_terms").join(sizes, ["lang", "first"])
@@ -156,12 +156,19 @@ def packs_of(vocab: DataFrame) -> Iterator[dict[str, Vocabulary]]:
 def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.RecordBatch]:
     """(lang, source, ordinal, n): occurrences of kept terms."""
     held: dict[tuple[str, str], Counter] = {}
+    known: dict[str, dict[bytes, int]] = {}
+
+    def found_in(lang: str, terms: list[bytes]) -> np.ndarray:
+        """Ordinals; a term walks the transducer once a task, as long as it is remembered."""
+        own = known.setdefault(lang, {})
+        new = [t for t in terms if t not in own]
+        own.update(zip(new, pack.value[lang].ordinals(new).tolist()))
+        return np.fromiter(map(own.__getitem__, terms), dtype=np.int64, count=len(terms))
 
     def told():
         for (lang, source), found in held.items():
-            terms = list(found)
-            ordinal = pack.value[lang].ordinals(terms)
-            n = np.fromiter((found[t] for t in terms), dtype=np.int64, count=len(terms))
+            ordinal = found_in(lang, list(found))
+            n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
             ordinal, n = ordinal[ordinal >= 0], n[ordinal >= 0]
             for a in range(0, len(n), 50_000):
                 part = n[a : a + 50_000]
@@ -170,6 +177,8 @@ def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.Reco
                     names=["lang", "source", "ordinal", "n"],
                 )
         held.clear()
+        if sum(map(len, known.values())) > HELD:
+            known.clear()
 
     entries = 0
     for lang, source, text in texts_of(batches):
@@ -188,15 +197,14 @@ def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.Reco
 
 
 def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, ordinal, term) of (lang, base, fst)."""
+    """(ordinal, item) of (base, fst)."""
     for batch in batches:
-        for lang, base, fst in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for base, fst in zip(*(batch.column(i).to_pylist() for i in range(2))):
             terms = [t.decode("utf-8") for t in Transducer.from_bytes(fst).terms()]
             for a in range(0, len(terms), 10_000):
                 part = terms[a : a + 10_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array(np.arange(base + a, base + a + len(part))), pa.array(part)],
-                    names=["lang", "ordinal", "term"],
+                    [pa.array(np.arange(base + a, base + a + len(part))), pa.array(part)], names=["ordinal", "item"]
                 )
 
 
@@ -224,30 +232,30 @@ def counted(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def source_pairs(groups: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, item, value) of each two sources of a language.
+    """(group, other, value) of each two sources of a language.
 
-    ``groups`` has (lang, source, kept, p0), p0 the share of a term that the source lacks; ``terms`` has (lang,
-    source, ordinal, p).
+    ``groups`` has (group, lang, kept, p0), p0 the share of a term that the source lacks; ``terms`` has
+    (group, ordinal, p0, p). Sources are numbers here.
     """
 
     def named(df: DataFrame, side: str) -> DataFrame:
         return df.select(*[F.col(c).alias(c if c in ("lang", "ordinal") else f"{c}_{side}") for c in df.columns])
 
-    apart = F.col("source_a") != F.col("source_b")
-    two = named(groups, "a").join(named(groups, "b"), "lang").where(apart)
-    none = gap(F.col("p0_a"), F.col("p0_b"))
-    base = two.select("lang", "source_a", "source_b", F.coalesce(F.col("kept_a") * none, F.lit(0)).alias("value"))
-    counts = terms.groupBy("lang", "source", "p0", "p").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts)
-    own = named(counts, "a").join(named(groups, "b"), "lang").where(apart)
-    own = own.select("lang", "source_a", "source_b", (F.col("n_a") * (gap(F.col("p_a"), F.col("p0_b")) - none)).alias("value"))
-    other = named(groups, "a").join(named(counts, "b"), "lang").where(apart)
-    other = other.select("lang", "source_a", "source_b", (F.col("n_b") * (gap(F.col("p0_a"), F.col("p_b")) - none)).alias("value"))
-    met = named(terms, "a").join(named(terms, "b"), ["lang", "ordinal"]).where(apart)
+    def told(df: DataFrame, value: Column) -> DataFrame:
+        return df.select("group_a", "group_b", value.alias("value"))
+
+    apart = F.col("group_a") != F.col("group_b")
     p_a, p_b, a0, b0 = (F.col(c) for c in ("p_a", "p_b", "p0_a", "p0_b"))
-    both = met.select("lang", "source_a", "source_b", (gap(p_a, p_b) - gap(p_a, b0) - gap(a0, p_b) + none).alias("value"))
+    none = gap(a0, b0)
+    base = told(named(groups, "a").join(named(groups, "b"), "lang").where(apart), F.coalesce(F.col("kept_a") * none, F.lit(0)))
+    counts = terms.groupBy("group", "p").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.join(groups.select("group", "lang", "p0"), "group"), "share-counts")
+    own = told(named(counts, "a").join(named(groups, "b"), "lang").where(apart), F.col("n_a") * (gap(p_a, b0) - none))
+    other = told(named(groups, "a").join(named(counts, "b"), "lang").where(apart), F.col("n_b") * (gap(a0, p_b) - none))
+    met = named(terms, "a").join(named(terms, "b"), "ordinal").where(apart)
+    both = told(met, gap(p_a, p_b) - gap(p_a, b0) - gap(a0, p_b) + none)
     every = base.unionByName(own).unionByName(other).unionByName(both)
-    return every.groupBy("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item")).agg(F.sum("value").alias("value"))
+    return every.groupBy(F.col("group_a").alias("group"), F.col("group_b").alias("other")).agg(F.sum("value").alias("value"))
 
 
 def audit(
@@ -268,25 +276,31 @@ def audit(
     zero = F.lit(0).cast("long")
     groups = groups.select("lang", "source", F.coalesce("kept", zero).alias("kept"), F.coalesce("total", zero).alias("total"))
     empty = F.when(F.col("kept") > 0, share(zero, F.col("total"), F.col("kept")))
-    groups = written(groups.withColumn("p0", empty), "source-totals")
+    groups = groups.withColumns({"p0": empty, "group": F.monotonically_increasing_id()})
+    groups = written(groups, "source-totals")  # numbers stay from here on
 
     terms = counts.join(groups, ["lang", "source"])
-    terms = terms.select("lang", "source", "ordinal", "p0", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
+    terms = terms.select("group", "ordinal", "p0", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     terms = written(terms, "term-shares")
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("kept").alias("kept"))
     in_lang = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(of_lang, "lang")
-    in_lang = in_lang.select("lang", "ordinal", share(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
+    in_lang = in_lang.select("ordinal", share(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
+
+    names = groups.select("group", "lang", "source")
+    pairs = source_pairs(groups.select("group", "lang", "kept", "p0"), terms)
+    others = names.select(F.col("group").alias("other"), F.col("source").alias("item"))
+    pairs = pairs.join(others, "other").withColumn("rank", ranked("item"))
+    more = terms.join(in_lang, "ordinal").where("p > q").select("group", "ordinal", gap(F.col("p"), F.col("q")).alias("value"))
+    more = stored(more.withColumn("rank", ranked("ordinal")).where(F.col("rank") <= top))
+    spelled = vocab.select("base", "fst").mapInArrow(term_batches, "ordinal long, item string")
+    more = more.join(spelled, "ordinal")
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        rank = F.col("rank").cast("int").alias("rank")
+        return rows.join(names, "group").select("lang", "source", F.lit(name).alias("part"), "item", "value", rank)
 
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
-    pairs = source_pairs(groups.select("lang", "source", "kept", "p0"), terms)
-    pairs = pairs.withColumn("rank", F.row_number().over(by_value.orderBy(F.desc("value"), "item")))
-    more = terms.join(in_lang, ["lang", "ordinal"]).where("p > q")
-    more = more.select("lang", "source", "ordinal", gap(F.col("p"), F.col("q")).alias("value"))
-    more = more.withColumn("rank", F.row_number().over(by_value.orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= top)
-    spelled = vocab.select("lang", "base", "fst").mapInArrow(term_batches, "lang string, ordinal long, term string")
-    more = stored(more).join(spelled, ["lang", "ordinal"])
+    return part(pairs, "pair").unionByName(part(more, "term"))
 
-    def part(rows: DataFrame, name: str, item: str) -> DataFrame:
-        return rows.select("lang", "source", F.lit(name).alias("part"), F.col(item).alias("item"), "value", F.col("rank").cast("int").alias("rank"))
 
-    return part(pairs, "pair", "item").unionByName(part(more, "term", "term"))
+def ranked(tie: str) -> Column:
+    return F.row_number().over(Window.partitionBy("group").orderBy(F.desc("value"), tie))
