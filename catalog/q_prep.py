@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from catalog.base import query, rounded
 from catalog.fixtures import sql_axial, v_patch, v_survey, with_views
 from catalog.q_folds import TRUTH, truth
 from terracell.functions import grid
-from terracell.operators import encode, folds, prep
+from terracell.operators import encode, folds, imputers, prep
+from terracell.session import ensure_checkpoint_dir
 
 GAPS = """SELECT o_orderkey AS hex_code, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price,
     CASE WHEN o_orderkey % 7 <> 0 THEN cast(o_custkey % 97 AS double) END AS cust, o_orderpriority AS prio, o_orderstatus AS status FROM orders"""
@@ -161,19 +165,73 @@ def triplet_encodings(spark, d):
 def impute_knn(spark, d):
     g = gaps(spark, d).withColumn("when", F.pmod("hex_code", F.lit(365)).cast("double"))
     scaled = prep.scale(g, prep.fit_scale(g, ["price", "cust", "when"], "standard"))
-    return rounded(prep.knn_impute(scaled, ["price", "cust", "when"]).drop("prio", "status"))
+    return rounded(imputers.filled_in_place(scaled, imputers.imputer("knn", ["price", "cust", "when"], [])).drop("prio", "status"))
 
 
 @query("X4", None)
 def impute_linear(spark, d):
     g = gaps(spark, d).withColumn("when", F.pmod("hex_code", F.lit(365)).cast("double"))
-    return rounded(prep.iterative_impute(g, ["price", "cust", "when"]).drop("prio", "status"))
+    return rounded(imputers.filled_in_place(g, imputers.imputer("linear", ["price", "cust", "when"], [])).drop("prio", "status"))
 
 
 @query("X5", None)
 def impute_forest(spark, d):
     g = gaps(spark, d).withColumn("when", F.pmod("hex_code", F.lit(365)).cast("double"))
-    return rounded(prep.iterative_impute(g, ["price", "cust", "when"], model="forest").drop("prio", "status"))
+    return rounded(imputers.filled_in_place(g, imputers.imputer("rf", ["price", "cust", "when"], [])).drop("prio", "status"))
+
+
+def orders_with_gaps(spark, d):
+    """Price in thousands, and a column without gaps."""
+    g = gaps(spark, d).drop("prio", "status").withColumn("price", F.col("price") / 1000)
+    return g.withColumn("day", F.pmod("hex_code", F.lit(365)).cast("double"))
+
+
+GAP_ROWS = f"SELECT hex_code, price / 1000 AS price, cust, cast(hex_code % 365 AS double) AS day FROM ({GAPS})"
+
+
+def saved_and_loaded(spark, d, stage):
+    """All rows, filled by a pipeline that has learnt from four fifths of them, was saved and loaded."""
+    g = orders_with_gaps(spark, d)
+    path = f"{ensure_checkpoint_dir(spark)}/imputer-{uuid.uuid4().hex}"
+    prep.pipeline([stage]).fit(g.filter("hex_code % 5 <> 0")).write().save(path)
+    out = PipelineModel.load(path).transform(g)
+    return rounded(out.select("hex_code", F.col("price__x").alias("price"), F.col("cust__x").alias("cust"), F.col("cust_missing").alias("cust_missing")))
+
+
+@query(
+    "Z7 X4 X2 K13",
+    f"""WITH g AS ({GAP_ROWS}), tr AS (SELECT * FROM g WHERE hex_code % 5 <> 0), m AS (SELECT avg(price) AS mp, avg(cust) AS mc FROM tr),
+    s1 AS (SELECT regr_slope(price, coalesce(cust, mc)) AS b, regr_intercept(price, coalesce(cust, mc)) AS a FROM tr, m WHERE price IS NOT NULL),
+    f1 AS (SELECT cust, coalesce(price, a + b * coalesce(cust, mc)) AS p FROM tr, m, s1),
+    s2 AS (SELECT regr_slope(cust, p) AS b, regr_intercept(cust, p) AS a FROM f1 WHERE cust IS NOT NULL),
+    p AS (SELECT hex_code, cust, coalesce(price, a + b * coalesce(cust, mc)) AS price FROM g, m, s1)
+    SELECT hex_code, round(price, 6) AS price, round(coalesce(cust, a + b * price), 6) AS cust, cast(cust IS NULL AS double) AS cust_missing FROM p, s2""",
+)
+def saved_fill_linear(spark, d):
+    return saved_and_loaded(spark, d, imputers.imputer("linear", ["price", "cust"], ["cust"], rounds=1, ridge=0.0))
+
+
+@query(
+    "Z7 X3 X2 K13",
+    f"""WITH g AS ({GAP_ROWS}), tr AS (SELECT * FROM g WHERE hex_code % 5 <> 0), m AS (SELECT avg(price) AS mp, avg(cust) AS mc FROM tr),
+    pairs AS (SELECT a.hex_code, a.price IS NULL AS ask_price, a.cust IS NULL AS ask_cust, b.price, b.cust,
+        (coalesce((a.price - b.price) ** 2, 0) + coalesce((a.cust - b.cust) ** 2, 0) + (a.day - b.day) ** 2) * 3
+        / (1 + cast(a.price IS NOT NULL AND b.price IS NOT NULL AS int) + cast(a.cust IS NOT NULL AND b.cust IS NOT NULL AS int)) AS dist
+        FROM g a JOIN tr b ON a.hex_code <> b.hex_code WHERE a.price IS NULL OR a.cust IS NULL),
+    p AS (SELECT hex_code, avg(price) AS v FROM (SELECT hex_code, price FROM pairs WHERE ask_price AND price IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY hex_code ORDER BY dist, price) <= 5) GROUP BY 1),
+    c AS (SELECT hex_code, avg(cust) AS v FROM (SELECT hex_code, cust FROM pairs WHERE ask_cust AND cust IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY hex_code ORDER BY dist, cust) <= 5) GROUP BY 1)
+    SELECT hex_code, round(coalesce(price, p.v, mp), 6) AS price, round(coalesce(cust, c.v, mc), 6) AS cust, cast(cust IS NULL AS double) AS cust_missing
+    FROM g LEFT JOIN p USING (hex_code) LEFT JOIN c USING (hex_code), m""",
+)
+def saved_fill_neighbours(spark, d):
+    return saved_and_loaded(spark, d, imputers.imputer("knn", ["price", "cust", "day"], ["cust"]))
+
+
+@query("Z7 X5 X2 K13", None)
+def saved_fill_forest(spark, d):
+    return saved_and_loaded(spark, d, imputers.imputer("rf", ["price", "cust", "day"], ["cust"]))
 
 
 def survey_features(spark, d):

@@ -17,14 +17,13 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
 from terracell.operators.ranking import column_quantiles, shuffled_position
-from terracell.session import cut_lineage
 
 
 def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> dict[str, float]:
@@ -52,9 +51,10 @@ def fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     )
 
 
-def fill_stage(values: Mapping[str, float], indicators: Sequence[str], suffix: str = "__x") -> SQLTransformer:
-    """Filled copies and missing indicators as a stage that is saved with its pipeline."""
-    made = [f"coalesce(cast(`{c}` AS double), {float(v)!r}D) AS `{c}{suffix}`" for c, v in values.items()]
+def fill_stage(values: Mapping[str, float | None], indicators: Sequence[str], suffix: str = "__x") -> SQLTransformer:
+    """Filled copies and missing indicators as a stage that is saved with its pipeline; a value of None fills nothing."""
+    made = [f"cast(`{c}` AS double) AS `{c}{suffix}`" for c, v in values.items() if v is None]
+    made += [f"coalesce(cast(`{c}` AS double), {float(v)!r}D) AS `{c}{suffix}`" for c, v in values.items() if v is not None]
     made += [f"cast(`{c}` IS NULL AS double) AS `{c}_missing`" for c in indicators]
     return SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
 
@@ -226,87 +226,40 @@ def fit_power(df: DataFrame, target: str) -> PowerTarget:
     return PowerTarget(best, row["m"], row["s"] or 1.0)
 
 
-def iterative_impute(
-    df: DataFrame,
-    columns: Sequence[str],
-    key: str = "hex_code",
-    rounds: int = 10,
-    model: str = "linear",
-    seed: int = 42,
-    tol: float = 1e-3,
+def knn_values(
+    asks: DataFrame, donors: DataFrame, columns: Sequence[str], key: str = "hex_code", k: int = 5, block_rows: int = 2048
 ) -> DataFrame:
-    """Round-robin regression of each incomplete column on the others, fewest missing first.
-
-    Starts from the means. A round stops the loop early when the mean change of the filled cells
-    is below ``tol`` deviations. Each round is one checkpoint, so the plan does not grow.
-    """
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    gaps = sorted((c for c in columns if counts[c] > 0), key=lambda c: (counts[c], c))
-    if not gaps:
-        return df
-    masks = {f"_m_{c}": F.col(c).isNull() for c in gaps}
-    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in gaps]).first()
-    state = cut_lineage(fill(df.withColumns(masks), fit_fill(df, columns)))
-    for _ in range(rounds):
-        before = {c: f"_o_{c}" for c in gaps}
-        state = state.withColumns({o: F.col(c) for c, o in before.items()})
-        for c in gaps:
-            others = [o for o in columns if o != c]
-            vec = VectorAssembler(inputCols=others, outputCol="_x").transform(state)
-            if model == "linear":
-                est = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_p", regParam=1e-3)
-            elif model == "forest":
-                est = RandomForestRegressor(
-                    featuresCol="_x", labelCol=c, predictionCol="_p", numTrees=20, minInstancesPerNode=3, seed=seed
-                )
-            else:
-                raise ValueError(f"unknown imputer model: {model}")
-            fitted = est.fit(vec.filter(~F.col(f"_m_{c}")))
-            state = fitted.transform(vec).withColumn(c, F.when(F.col(f"_m_{c}"), F.col("_p")).otherwise(F.col(c)))
-            state = state.drop("_x", "_p")
-        state = cut_lineage(state)
-        moved = state.agg(
-            *[
-                F.coalesce(F.avg(F.when(F.col(f"_m_{c}"), F.abs(F.col(c) - F.col(before[c])))), F.lit(0.0)).alias(c)
-                for c in gaps
-            ]
-        ).first()
-        state = state.drop(*before.values())
-        if all(moved[c] <= tol * (spread[c] or 1.0) for c in gaps):
-            break
-    return state.drop(*masks)
-
-
-def knn_impute(
-    df: DataFrame, columns: Sequence[str], key: str = "hex_code", k: int = 5, block_rows: int = 2048
-) -> DataFrame:
-    """Mean of the k nearest donors per missing value, by distance over the shared columns.
+    """(key, _f_<column>...): the mean of the k nearest donors for each missing value, by distance over the shared columns.
 
     Exact for any size and skew: rows are dealt to even hash blocks, every block of incomplete
     rows meets every block of donors in one task of bounded size, and a task sends on only its k
-    best donors per missing value, never the pairs. Distances scale for missing columns as
-    sum * (all columns / shared columns).
+    best donors per missing value, never the pairs; of these the k best are kept by a ranking that is limited
+    before it is shuffled. Equal distances are taken in the order of the donors' values. Distances scale for missing
+    columns as sum * (all columns / shared columns). A value that no donor shares a column with stays null.
     """
     import numpy as np
     import pandas as pd
 
     names = list(columns)
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    slim = df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).withColumn("_blk", block)
-    any_gap = F.greatest(*[F.col(c).isNull().cast("int") for c in names]) if len(names) > 1 else F.col(names[0]).isNull().cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asks = slim.filter(any_gap == 1).select("*", F.explode(every).alias("_other"))
-    gives = slim.withColumn("_mine", F.col("_blk")).select(
-        key, *names, "_mine", F.explode(every).alias("_ask")
-    )
-    kind = dict(df.dtypes)[key]
+    kind = dict(asks.dtypes)[key]
     schema = f"`{key}` {kind}, col int, dist double, value double"
+    any_gap = F.greatest(*[F.col(c).isNull().cast("int") for c in names], F.lit(0)) == 1
+
+    def blocks_of(df: DataFrame) -> int:
+        return max(1, -(-df.count() // block_rows))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return df.select(key, *[F.col(c).cast("double").alias(c) for c in names], block, every).groupBy("_ask", "_give")
+
+    asks = asks.filter(any_gap)
+    n_asks, n_gives = blocks_of(asks), blocks_of(donors)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({key: left[key][:0], "col": [], "dist": [], "value": []})
         if left.empty or right.empty:
-            return pd.DataFrame({key: [], "col": [], "dist": [], "value": []}).astype({key: left[key].dtype if len(left) else right[key].dtype})
+            return none
         a, b = left[names].to_numpy(float), right[names].to_numpy(float)
         ma, mb = ~np.isnan(a), ~np.isnan(b)
         a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
@@ -318,45 +271,23 @@ def knn_impute(
         dist = np.where(same, np.nan, dist)
         parts = []
         for j in range(len(names)):
-            rows = np.flatnonzero(~ma[:, j])
-            donors = np.flatnonzero(mb[:, j])
-            if not len(rows) or not len(donors):
+            rows, givers = np.flatnonzero(~ma[:, j]), np.flatnonzero(mb[:, j])
+            if not len(rows) or not len(givers):
                 continue
-            d = dist[np.ix_(rows, donors)]
+            givers = givers[np.argsort(b[givers, j], kind="stable")]  # so that equal distances come in the order of values
+            d = dist[np.ix_(rows, givers)]
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
             flat = np.take_along_axis(d, top, axis=1)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        key: np.repeat(left[key].to_numpy()[rows], top.shape[1]),
-                        "col": j,
-                        "dist": flat.ravel(),
-                        "value": b[donors[top.ravel()], j],
-                    }
-                )
-            )
-        out = pd.concat(parts) if parts else pd.DataFrame({key: [], "col": [], "dist": [], "value": []})
-        return out.dropna(subset=["dist"])
-
-    near = (
-        asks.groupBy("_blk", "_other")
-        .cogroup(gives.withColumnsRenamed({"_ask": "_blk", "_mine": "_other"}).groupBy("_blk", "_other"))
-        .applyInPandas(best, schema)
-    )
-    # At most k entries per block and missing value arrive here.
-    top = near.groupBy(key, "col").agg(F.sort_array(F.collect_list(F.struct("dist", "value"))).alias("t"))
-    mean = top.select(
-        key, "col", F.expr(f"aggregate(slice(t, 1, {k}), 0D, (a, e) -> a + e.value) / least(size(t), {k})").alias("v")
-    )
-    wide = mean.groupBy(key).agg(*[F.max(F.when(F.col("col") == i, F.col("v"))).alias(f"_f_{c}") for i, c in enumerate(names)])
-    fallback = fit_fill(df, names)
-    joined = df.join(wide, key, "left")
-    return joined.withColumns(
-        {
-            c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}"), F.lit(fallback[c]))
-            for c in names
-        }
-    ).drop(*[f"_f_{c}" for c in names])
+            own = np.repeat(left[key].to_numpy()[rows], top.shape[1])
+            parts.append(pd.DataFrame({key: own, "col": j, "dist": flat.ravel(), "value": b[givers[top.ravel()], j]}))
+        return pd.concat(parts).dropna(subset=["dist"]) if parts else none
+
+    left = dealt(asks, "_ask", n_asks, "_give", n_gives)
+    right = dealt(donors, "_give", n_gives, "_ask", n_asks)
+    near = left.cogroup(right).applyInPandas(best, schema)
+    order = Window.partitionBy(key, "col").orderBy("dist", "value")
+    top = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
+    return top.groupBy(key).agg(*[F.avg(F.when(F.col("col") == i, F.col("value"))).alias(f"_f_{c}") for i, c in enumerate(names)])
 
 
 def shadow_columns(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:

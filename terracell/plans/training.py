@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terracell.functions import grid
 from terracell.operators import columns as cols
 from terracell.operators import evaluate as ev
-from terracell.operators import folds, joins, models, prep
+from terracell.operators import folds, imputers, joins, models, prep
 from terracell.operators.aggregates import keep_one
 from terracell.operators.spatial import points_in_areas
 from terracell.sources import sinks
@@ -132,16 +132,21 @@ def split(df: DataFrame, config: TrainConfig, targets: Sequence[str]) -> DataFra
 
 
 def prepare(train: DataFrame, names: Sequence[str], config: TrainConfig) -> PipelineModel:
-    """Fill, scale, encode and assemble, all learnt from the training rows."""
+    """Fill, scale, encode and assemble, all learnt from the training rows and saved with the pipeline."""
     numeric = [c for c in cols.numeric_columns(train, with_bool=True) if c in names]
     texts = [c for c in names if c not in numeric]
-    strategy = "mean" if config.impute in ("mean", "none") else "median"
-    values = {c: v if v is not None else 0.0 for c, v in prep.fit_fill(train, numeric, strategy).items()}
     lacking = prep.missing_columns(train, numeric)
-    stages = [prep.fill_stage(values, lacking)]
+    if config.impute in ("mean", "median", "none"):
+        values = dict.fromkeys(numeric) if config.impute == "none" else prep.fit_fill(train, numeric, config.impute)
+        if config.impute != "none":
+            values = {c: v if v is not None else 0.0 for c, v in values.items()}
+        fill = prep.fill_stage(values, lacking)
+    else:
+        fill = imputers.imputer(config.impute, numeric, lacking).fit(train)
+    stages = [fill]
     suffix = "__x"
     if config.scale != "none":
-        filled = stages[0].transform(train).select(*[F.col(f"{c}__x").alias(c) for c in numeric])
+        filled = fill.transform(train).select(*[F.col(f"{c}__x").alias(c) for c in numeric])
         stages.append(prep.scale_stage(prep.fit_scale(filled, numeric, config.scale)))
         suffix = "__z"
     low, high = prep.card_split(train, texts) if texts else ([], [])
@@ -150,7 +155,8 @@ def prepare(train: DataFrame, names: Sequence[str], config: TrainConfig) -> Pipe
         stages.append(prep.ordinal_stage(high))
     inputs = [c + suffix for c in numeric] + [f"{c}_missing" for c in lacking]
     inputs += [f"{c}_hot" for c in low] + [f"{c}_code" for c in high]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    # the learners take no gaps: without a fill, rows that have one neither train nor get a prediction
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip" if config.impute == "none" else "error"))
     return prep.pipeline(stages).fit(train)
 
 
@@ -164,12 +170,6 @@ def train(dataset: DataFrame, config: TrainConfig) -> dict[str, Trained]:
     names = [*[n for n in feature_names(dataset, config) if n not in ("lat", "long")], "lat", "long"]
     texts = [c for c, t in located.dtypes if c in names and t == "string"]
     located = prep.fill_categories(located, texts) if texts else located
-    if config.impute in ("knn", "linear", "rf"):
-        numeric = [c for c in cols.numeric_columns(located) if c in names]
-        if config.impute == "knn":
-            located = prep.knn_impute(located, numeric)
-        else:
-            located = prep.iterative_impute(located, numeric, model="linear" if config.impute == "linear" else "forest")
     # a stratified holdout follows the classes of its target, so each target has its own
     parts = [[t] for t in targets] if config.holdout == "stratified" else [targets]
     out = {}

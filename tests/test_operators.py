@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terracell.functions import grid
 from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
-from terracell.operators import conformal, encode, folds, joins, prep, ranking, twostage
+from terracell.operators import conformal, encode, folds, imputers, joins, prep, ranking, twostage
 from terracell.operators import evaluate as ev
 from terracell.operators import raster as ras
 
@@ -225,6 +225,13 @@ def test_outer_replace(spark):
     assert got == {1: (10, None), 2: (20, 0.9), 3: (None, 0.8)}
 
 
+def filled(df, names, block):
+    near = prep.knn_values(df, df, names, k=5, block_rows=block)
+    means = prep.fit_fill(df, names)
+    out = df.join(near, "hex_code", "left")
+    return out.select("hex_code", *[F.coalesce(c, f"_f_{c}", F.lit(means[c])).alias(c) for c in names])
+
+
 def test_knn_fill_against_brute_force(spark):
     rng = random.Random(7)
     rows = [(i, *[None if rng.random() < 0.15 else rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
@@ -233,7 +240,7 @@ def test_knn_fill_against_brute_force(spark):
     x = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
     means = np.nanmean(x, axis=0)
     for block in (30, 5000):
-        got = {r["hex_code"]: [r[c] for c in names] for r in prep.knn_impute(df, names, k=5, block_rows=block).collect()}
+        got = {r["hex_code"]: [r[c] for c in names] for r in filled(df, names, block).collect()}
         for i in range(len(x)):
             for j in range(4):
                 if not np.isnan(x[i, j]):
@@ -253,7 +260,7 @@ def test_iterative_fill_recovers_a_line(spark):
     rng = random.Random(3)
     rows = [(i, float(i % 50), None if i % 9 == 0 else 2.0 * (i % 50) + rng.gauss(0, 0.01)) for i in range(400)]
     df = spark.createDataFrame(rows, "hex_code long, a double, b double")
-    out = prep.iterative_impute(df, ["a", "b"], rounds=3)
+    out = imputers.filled_in_place(df, imputers.imputer("linear", ["a", "b"], [], rounds=3))
     assert out.filter(F.abs(F.col("b") - 2 * F.col("a")) > 0.5).count() == 0
 
 
