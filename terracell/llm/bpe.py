@@ -10,7 +10,7 @@ merging in rank order gives.
 Decoding gathers the tokens' bytes from one string by a table of offsets, a batch at a time.
 
 Everything is per row: rows stream through Arrow batches in tasks that Spark deals out, no shuffle.
-Pieces of up to 64 characters are remembered in a table of bounded size.
+Pieces of up to 64 characters are remembered in tables of bounded size.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to the empty text; an id
 outside the vocabulary raises; bytes that are no UTF-8 decode to the replacement character. Texts of
@@ -19,6 +19,7 @@ any length are read whole. Extra columns pass through, a column named like the r
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from terracell.llm.common import fresh, replace_columns, whole
 
@@ -59,16 +60,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """Ids by string, computed when missing; emptied when full."""
+    """Ids by string, computed when missing; of two halves the older one goes when the younger is full."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most = encode, most // 2
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, key: str) -> list[int]:
-        ids = self.encode(key)
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.encode(key)
         if len(key) <= LONGEST_REMEMBERED:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = ids
         return ids
@@ -276,6 +281,54 @@ def decode_batches(batches: Iterator[pa.RecordBatch], table, ids_col: str, text_
         )
 
 
+def digest_batches(batches: Iterator[pa.RecordBatch], vocabulary, table, text_col: str, names: list[str]):
+    """Encodes and decodes a slice at a time; of ids and texts only counts and digests leave the task."""
+    model = tables(vocabulary.value)
+    model.ready()
+    blob, starts = table.value
+    numbers = [b"%d," % i for i in range(len(starts) - 1)]
+    number_starts = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+    number_blob = np.frombuffer(b"".join(numbers), dtype=np.uint8)
+
+    def told(ids: np.ndarray) -> tuple[int, str, str]:
+        of_ids, of_text = hashlib.sha256(), b""
+        parts = []
+        for i in range(0, len(ids), GATHERED):
+            some = ids[i : i + GATHERED]
+            digits = gathered(some, number_blob, number_starts)
+            of_ids.update(digits if i + GATHERED < len(ids) else digits[:-1])
+            parts.append(gathered(some, blob, starts))
+        of_text = b"".join(parts).decode("utf-8", "replace").encode("utf-8")
+        return len(ids), of_ids.hexdigest(), hashlib.sha256(of_text).hexdigest()
+
+    for batch in sliced(batches):
+        texts = batch.column(batch.schema.get_field_index(text_col))
+        rows = [told(np.array(model.encode(t.as_py()), dtype=np.int64)) for t in texts]
+        kept = [i for i, name in enumerate(batch.schema.names) if name != text_col]
+        made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in kept), *made], names=[*(batch.schema.names[i] for i in kept), *names]
+        )
+
+
+def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with n_tokens, ids_sha256 and decoded_sha256 of ``encode`` and ``decode`` in place of the text, in one pass.
+
+    One Python worker a task holds the tables, and neither ids nor decoded texts are handed over.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    with open(path, encoding="utf-8") as f:
+        table = df.sparkSession.sparkContext.broadcast(offsets(f.read()))
+    vocabulary = shared_vocabulary(df, path)
+    text = whole(text_col)
+    work = fresh(df, "text_to_encode")
+    df = replace_columns(df.withColumn(work, text).drop(text_col), names)
+    fields = [f for f in df.schema.fields if f.name != work] + [
+        StructField("n_tokens", LongType(), False), StructField("ids_sha256", StringType(), False), StructField("decoded_sha256", StringType(), False)
+    ]
+    return df.mapInArrow(lambda batches: digest_batches(batches, vocabulary, table, work, names), StructType(fields))
+
+
 def shared_vocabulary(df: DataFrame, path: str):
     """The vocabulary file's text, read on the driver; its size is that of the file."""
     with open(path, encoding="utf-8") as f:

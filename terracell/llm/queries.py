@@ -72,14 +72,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Ids of ``text`` and the text they decode to, as digests; other columns stay."""
-    path = path or vocabulary_path()
-    out = bpe.decode(bpe.encode(docs, path).drop("text"), path)
-    return out.select(
-        *[c for c in out.columns if c not in ("ids", "decoded")],
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(docs, path or vocabulary_path())
 
 
 def vocabulary_path() -> str:
