@@ -42,9 +42,9 @@ BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: word, and a stop after a letter or digit.
 RUNS = rf" ?[^{BLANK}.,;!?|]+(?<=[A-Za-z0-9])(?=[.,;!?|])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: Bounds of what a worker remembers: runs, pieces of runs, pairs of tokens.
-REMEMBERED = 150_000
-REMEMBERED_PIECES = 30_000
-REMEMBERED_PAIRS = 60_000
+REMEMBERED = 400_000
+REMEMBERED_PIECES = 60_000
+REMEMBERED_PAIRS = 200_000
 #: Documents, and ids, that are worked on at a time.
 SLICE_ROWS = 500
 GATHERED = 200_000
