@@ -43,7 +43,7 @@ UNIT = 1_000_000_000
 SHARD_TERMS = 100_000
 PACK_BYTES = 64 << 20
 PIECE = 1 << 20
-HELD = 400_000
+HELD = 1_000_000
 #: Bytes of a term to themselves, capital letters to small ones, all others to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -59,12 +59,12 @@ def term_pieces(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
-    """(lang, source, text) rows."""
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+    """(lang, group, text) rows."""
     for batch in batches:
-        lang, source = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lang, group = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, text in enumerate(batch.column(2)):
-            yield lang[i], source[i], text.as_py()
+            yield lang[i], group[i], text.as_py()
 
 
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,8 @@ def packs_of(vocab: DataFrame) -> Iterator[dict[str, Vocabulary]]:
 
 
 def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.RecordBatch]:
-    """(lang, source, ordinal, n): occurrences of kept terms."""
-    held: dict[tuple[str, str], Counter] = {}
+    """(group, ordinal, n): occurrences of kept terms."""
+    held: dict[tuple[str, int], Counter] = {}
     known: dict[str, dict[bytes, int]] = {}
 
     def found_in(lang: str, terms: list[bytes]) -> np.ndarray:
@@ -166,25 +166,25 @@ def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.Reco
         return np.fromiter(map(own.__getitem__, terms), dtype=np.int64, count=len(terms))
 
     def told():
-        for (lang, source), found in held.items():
+        for (lang, group), found in held.items():
             ordinal = found_in(lang, list(found))
             n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
             ordinal, n = ordinal[ordinal >= 0], n[ordinal >= 0]
             for a in range(0, len(n), 50_000):
                 part = n[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(ordinal[a : a + 50_000]), pa.array(part)],
-                    names=["lang", "source", "ordinal", "n"],
-                )
+                    [pa.array(np.full(len(part), group, dtype=np.int64)), pa.array(ordinal[a : a + 50_000]), pa.array(part)],
+                    names=["group", "ordinal", "n"],
+                )
         held.clear()
         if sum(map(len, known.values())) > HELD:
             known.clear()
 
     entries = 0
-    for lang, source, text in texts_of(batches):
+    for lang, group, text in texts_of(batches):
         if lang not in pack.value:
             continue
-        found = held.setdefault((lang, source), Counter())
+        found = held.setdefault((lang, group), Counter())
         for terms in term_pieces(text):
             entries -= len(found)
             found.update(terms)
@@ -192,7 +192,7 @@ def recount_batches(batches: Iterator[pa.RecordBatch], pack) -> Iterator[pa.Reco
             if entries > HELD:
                 yield from told()
                 entries = 0
-                found = held.setdefault((lang, source), Counter())
+                found = held.setdefault((lang, group), Counter())
     yield from told()
 
 
@@ -220,15 +220,29 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def counted(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(lang, source, ordinal, n) of every kept term that occurs in a source."""
+    """(group, ordinal, n) of every kept term that occurs in a source."""
     found = None
     for pack in packs_of(vocab):
         sent = docs.sparkSession.sparkContext.broadcast(pack)
         part = docs.mapInArrow(
-            lambda batches, sent=sent: recount_batches(batches, sent), "lang string, source string, ordinal long, n long"
+            lambda batches, sent=sent: recount_batches(batches, sent), "group long, ordinal long, n long"
         )
         found = part if found is None else found.unionByName(part)
-    return written(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "term-counts")
+    return written(found.groupBy("group", "ordinal").agg(F.sum("n").alias("n")), "term-counts")
+
+
+def group_number(seed: int) -> Column:
+    return F.xxhash64("lang", "source", F.lit(seed))
+
+
+def numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, source, group) and the seed of a hash that tells all groups apart."""
+    groups = written(groups, "sources")
+    for seed in range(10):
+        out = groups.withColumn("group", group_number(seed))
+        if not out.groupBy("group").count().where("count > 1").head(1):
+            return out, seed
+    raise RuntimeError("no hash of ten tells the sources apart")
 
 
 def source_pairs(groups: DataFrame, terms: DataFrame) -> DataFrame:
@@ -266,24 +280,29 @@ def audit(
     Part ``pair``: each other source of the language and its divergence, all ranks; part ``term``: the ``top``
     terms that a source has more often than its language. Ranks fall by value, then by the item's bytes.
     """
-    docs = df.select(whole(F.col(lang_col).cast("string")).alias("lang"), whole(F.col(source_col).cast("string")).alias("source"), whole(text_col).alias("text"))
+    lang, source = whole(F.col(lang_col).cast("string")), whole(F.col(source_col).cast("string"))
+    docs = df.select(lang.alias("lang"), source.alias("source"), whole(text_col).alias("text"))
+    groups, seed = numbered(docs.select("lang", "source").distinct())
+    docs = docs.select("lang", group_number(seed).alias("group"), "text")
     vocab = written(vocabulary(docs, least_docs), "vocabulary")
     counts = counted(docs, vocab)
 
     kept = vocab.groupBy("lang").agg(F.sum("n_terms").alias("kept"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(kept, "lang", "left").join(sums, ["lang", "source"], "left")
+    sums = counts.groupBy("group").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
-    groups = groups.select("lang", "source", F.coalesce("kept", zero).alias("kept"), F.coalesce("total", zero).alias("total"))
+    groups = groups.join(kept, "lang", "left").join(sums, "group", "left")
+    groups = groups.select("lang", "source", "group", F.coalesce("kept", zero).alias("kept"), F.coalesce("total", zero).alias("total"))
     empty = F.when(F.col("kept") > 0, share(zero, F.col("total"), F.col("kept")))
-    groups = groups.withColumns({"p0": empty, "group": F.monotonically_increasing_id()})
-    groups = written(groups, "source-totals")  # numbers stay from here on
+    groups = written(groups.withColumn("p0", empty), "source-totals")
 
-    terms = counts.join(groups, ["lang", "source"])
+    terms = counts.join(groups.select("group", "total", "kept", "p0"), "group")
     terms = terms.select("group", "ordinal", "p0", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
     terms = written(terms, "term-shares")
-    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("kept").alias("kept"))
-    in_lang = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(of_lang, "lang")
+    of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    of_group = groups.join(of_lang, "lang").select("group", "lang_total", "kept")
+    # a term's ordinal belongs to one language
+    in_lang = counts.join(written(of_group, "language-totals"), "group").groupBy("ordinal")
+    in_lang = in_lang.agg(F.sum("n").alias("n"), F.max("lang_total").alias("total"), F.max("kept").alias("kept"))
     in_lang = in_lang.select("ordinal", share(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
 
     names = groups.select("group", "lang", "source")
