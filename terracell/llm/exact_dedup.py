@@ -11,9 +11,10 @@
    partition of a hot group; rows outside the marked ones pass without a shuffle.
 
 Defined results: a null text counts as empty and all empty texts are one group; of equal texts the
-row with the most code points stays, then the smallest id. Rows that repeat both id and text are
-copies of one document and get equal results; ``drop_copies`` leaves one of them. Extra columns pass
-through, columns named like results are replaced.
+row with the most code points stays, then the smallest id, null ids last. Where the row that stays has
+no id, ``keep_id`` is null for the whole group. Rows of one group that share id and number of code
+points are copies of one document and get equal results; ``drop_copies`` leaves one of them. Extra
+columns pass through, columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -82,14 +83,15 @@ def exact_dedup(
         F.lit(True).alias("kept"),
     )
     met = hashed.withColumn(fresh(df, "length"), F.length(whole(text_col)))
-    met = met.join(groups, full, "left").select(
+    met = met.join(groups, full, "left")
+    # a group's keep_id may be null itself, so only its size tells whether there is a group
+    grouped = F.col("group_size").isNotNull()
+    stays = F.col("keep_id").eqNullSafe(F.col(id_col)) & (F.col(points) == F.col(fresh(df, "length")))
+    met = met.select(
         *df.columns,
-        F.coalesce("keep_id", F.col(id_col)).alias("keep_id"),
+        F.when(grouped, F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(
-            F.col("keep_id").eqNullSafe(F.col(id_col)) & (F.col(points) == F.col(fresh(df, "length"))),
-            F.lit(True),
-        ).alias("kept"),
+        F.when(grouped, stays).otherwise(True).alias("kept"),
     )
     return alone.unionByName(met)
 
@@ -98,5 +100,6 @@ def drop_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     """The rows that stay, one of each group, with the columns of ``df``."""
     out = exact_dedup(df, text_col, id_col).where("kept")
     alone = out.where("group_size = 1").select(*df.columns)
-    kept = out.where("group_size > 1").dropDuplicates([id_col, text_col]).select(*df.columns)
-    return alone.unionByName(kept)
+    digest = fresh(out, "digest")
+    kept = out.where("group_size > 1").withColumn(digest, F.sha2(normalised(whole(text_col)), 256))
+    return alone.unionByName(kept.dropDuplicates([id_col, digest]).select(*df.columns))

@@ -70,6 +70,27 @@ def test_exact_dedup_edges(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == 6
 
 
+def test_exact_dedup_keeps_texts_that_only_share_length_and_prefix(spark):
+    rows = [(1, "x" * 128 + "a", "s"), (2, "x" * 128 + "b", "s"), (3, "x" * 128 + " b", "s"), (4, "y", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bits in (15, 23):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df, filter_bits=bits).collect()}
+        assert got == {1: (1, 1, True), 2: (3, 2, False), 3: (3, 2, True), 4: (4, 1, True)}
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(df).collect()) == [1, 3, 4]
+
+
+def test_exact_dedup_null_ids(spark):
+    rows = [(None, "a b  ", "s"), (7, "ab", "s"), (5, "a b", "s"), (None, "c", "s"), (9, "c", "s"), (None, "d e", "s"), (None, "de ", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = exact_dedup.exact_dedup(df).select("text", "doc_id", "keep_id", "group_size", "kept").collect()
+    assert {tuple(r) for r in got} == {
+        ("a b  ", None, None, 3, True), ("ab", 7, None, 3, False), ("a b", 5, None, 3, False),
+        ("c", None, 9, 2, False), ("c", 9, 9, 2, True), ("d e", None, None, 2, True), ("de ", None, None, 2, True),
+    }
+    kept = [r["text"] for r in exact_dedup.drop_copies(df).collect()]
+    assert len(kept) == 3 and {"a b  ", "c"} <= set(kept)
+
+
 def test_a_small_filter_marks_more_but_changes_nothing(documents):
     few = exact_dedup.exact_dedup(documents, filter_bits=15).select("doc_id", "keep_id")
     many = exact_dedup.exact_dedup(documents).select("doc_id", "keep_id")
