@@ -6,7 +6,9 @@ most 2 * 67 * 67 sums; their log ratios are one constant array of the scoring ex
 characters is a secret when its summed log-likelihood ratio is high enough.
 
 Everything is built-in functions. Positions of matches come from the lengths of the pieces between
-them. Training shuffles pre-aggregated counts only; scoring is a map.
+them. Training shuffles pre-aggregated counts only; scoring is a map. Passes over the matches of a text
+collect what they find in blocks (``scan``), and values are cut from chunks of the text (``cut``), so a text of
+very many matches takes time that is nearly linear in its length.
 
 Defined results: a null text counts as empty and has no spans. Without samples both models are uniform
 and no run scores. Repeated rows get equal spans. Extra columns pass through, a column named like the
@@ -16,6 +18,7 @@ result is replaced. Offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,25 +47,70 @@ NAMES = rf"(?<!{RUN})(?:{RUN}{{12,}}+|(?=[A-Za-z]*(?:[0-9+/_=-]|[a-z][A-Z])){RUN
 NAME_PARTS = r"[A-Z]?[a-z]{3,}|[A-Z][a-z]{2}|[A-Z]{3,}|[0-9]{2,}|[+/_=-]"
 
 
+#: What scans find, the rows of a scan's block and the code points of a chunk of text.
+SPAN = "struct<start:int,end:int,kind:string,value:string>"
+PART = "struct<start:int,end:int>"
+SCAN_BLOCK, CHUNK = 256, 1000
+
+
+def scan(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], element: str, last: Callable[[Column], Column] | None = None) -> Column:
+    """Array of what ``step`` finds in a pass over ``items`` with a running state, nulls left out.
+
+    ``step`` gives the next state and a find, ``last`` a find from the state at the end. An array that grows
+    inside a fold is copied at each step, so finds are gathered a block at a time.
+    """
+    none, nones = F.array().cast(f"array<{element}>"), F.array().cast(f"array<array<{element}>>")
+    n_blocks = F.ceil(F.size(items) / F.lit(SCAN_BLOCK)).cast("int")
+    numbers = F.when(n_blocks > 0, F.sequence(F.lit(1), n_blocks)).otherwise(F.array().cast("array<int>"))
+
+    def inside(acc: Column, item: Column) -> Column:
+        state, find = step(acc["state"], item)
+        more = let(find, lambda f: F.when(f.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], f)))
+        return F.struct(state.alias("state"), more.alias("out"))
+
+    def over(acc: Column, number: Column) -> Column:
+        block = F.slice(items, (number - 1) * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+        done = F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), inside)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+    def finish(acc: Column) -> Column:
+        if last is None:
+            return F.flatten(acc["out"])
+        end = F.filter(F.array(last(acc["state"])), lambda f: f.isNotNull())
+        return F.concat(F.flatten(acc["out"]), end)
+
+    return F.aggregate(numbers, F.struct(first.alias("state"), nones.alias("out")), over, finish)
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive, more than ``start``) without a walk from the text's begin."""
+    low, high = F.floor(start / F.lit(CHUNK)).cast("int"), F.floor((end - 1) / F.lit(CHUNK)).cast("int")
+    near = F.array_join(F.slice(chunks, low + 1, high - low + 1), "")
+    return F.substring(near, F.pmod(start, F.lit(CHUNK)) + 1, end - start)
+
+
 def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
     """Array of (start, end, kind, value): leftmost matches that don't overlap, of which those with a
     shorter group than ``least`` are dropped afterwards."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
 
     def placed(parts: Column) -> Column:
         steps = F.transform(
             parts["whole"],
             lambda m, i: F.struct(F.length(F.get(parts["between"], i)).alias("gap"), F.length(m).alias("n"), F.get(parts["value"], i).alias("v")),
         )
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-        def step(acc: Column, s: Column) -> Column:
-            a = acc["at"] + s["gap"]
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            a = at + s["gap"]
             one = F.struct(a.alias("start"), (a + s["n"]).alias("end"), F.lit(kind).alias("kind"), s["v"].alias("value"))
-            kept = F.when(F.length(s["v"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"])
-            return F.struct((a + s["n"]).alias("at"), kept.alias("out"))
+            return a + s["n"], F.when(F.length(s["v"]) >= least, one)
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        return let(steps, lambda x: scan(x, F.lit(0), step, SPAN))
 
     parts = F.struct(
         F.split(text, pattern, -1).alias("between"),
@@ -173,21 +221,33 @@ def score(text: Column, table: list[float]) -> Column:
     return F.aggregate(ratios_of(text, table), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def outside(run: Column, base: Column) -> Column:
-    """Array of (start, value): what the base spans leave of a run, pieces of ``LEAST_RUN`` or more."""
-    none = F.array().cast("array<struct<start:int,value:string>>")
-    start = F.struct(run["start"].alias("at"), none.alias("out"))
-    edge = F.struct(run["end"].alias("start"), run["end"].alias("end"))
-    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
-    stops = F.array_append(F.transform(over, lambda b: F.struct(b["start"], b["end"])), edge)
+def outside(runs: Column, base: Column) -> Column:
+    """Array of (start, end): what the base spans leave of the runs, pieces of ``LEAST_RUN`` or more.
 
-    def step(acc: Column, b: Column) -> Column:
-        value = F.substring(run["value"], acc["at"] - run["start"] + 1, b["start"] - acc["at"])
-        piece = F.struct(acc["at"].alias("start"), value.alias("value"))
-        kept = F.when(b["start"] - acc["at"] >= LEAST_RUN, F.array_append(acc["out"], piece)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), kept.alias("out"))
+    One pass over runs and base spans by start: ``at`` is where the run's next piece begins, ``end`` where the
+    run ends and ``cover`` the end of all base spans so far.
+    """
+    events = F.sort_array(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(False).alias("run"))),
+            F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(True).alias("run"))),
+        )
+    )
+    zero = F.lit(0)
+    first = F.struct(zero.alias("at"), zero.alias("end"), zero.alias("cover"))
 
-    return F.aggregate(stops, start, step, lambda acc: acc["out"])
+    def piece(at: Column, end: Column) -> Column:
+        return F.when(end - at >= LEAST_RUN, F.struct(at.alias("start"), end.alias("end")))
+
+    def step(s: Column, e: Column) -> tuple[Column, Column]:
+        after = F.struct(
+            F.when(e["run"], F.greatest(e["start"], s["cover"])).otherwise(F.greatest(s["at"], e["end"])).alias("at"),
+            F.when(e["run"], e["end"]).otherwise(s["end"]).alias("end"),
+            F.when(e["run"], s["cover"]).otherwise(F.greatest(s["cover"], e["end"])).alias("cover"),
+        )
+        return after, piece(s["at"], F.least(e["start"], s["end"]))
+
+    return let(events, lambda x: scan(x, first, step, PART, lambda s: piece(s["at"], s["end"])))
 
 
 def stretches(value: Column, table: list[float]) -> Column:
@@ -196,33 +256,28 @@ def stretches(value: Column, table: list[float]) -> Column:
     A running sum of the ratios above ``LEAST_STEP`` starts anew where it falls to nothing, or by
     ``LEAST_SCORE`` below its best; a stretch goes from the start to the best place.
     """
-    none = F.array().cast("array<struct<start:int,end:int>>")
     zero, first = F.lit(0.0), F.lit(0)
-    start = F.struct(first.alias("at"), first.alias("from"), zero.alias("sum"), first.alias("to"), zero.alias("best"), none.alias("out"))
-
-    def closed(acc: Column) -> Column:
-        steps = acc["to"] - acc["from"]
-        good = (steps + 1 >= LEAST_RUN) & (acc["best"] + LEAST_STEP * steps >= LEAST_SCORE)
-        one = F.struct(acc["from"].alias("start"), (acc["to"] + 1).alias("end"))
-        return F.when(good, F.array_append(acc["out"], one)).otherwise(acc["out"])
-
-    def step(acc: Column, ratio: Column) -> Column:
-        def moved(v: Column) -> Column:
-            at, total = v["at"], v["sum"]
-            ends = (total <= 0) | (total < acc["best"] - LEAST_SCORE)
-            up = total > acc["best"]
-            return F.struct(
-                at.alias("at"),
-                F.when(ends, at).otherwise(acc["from"]).alias("from"),
-                F.when(ends, 0.0).otherwise(total).alias("sum"),
-                F.when(ends | up, at).otherwise(acc["to"]).alias("to"),
-                F.when(ends, 0.0).when(up, total).otherwise(acc["best"]).alias("best"),
-                F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"),
-            )
-
-        return let(F.struct((acc["at"] + 1).alias("at"), (acc["sum"] + ratio - LEAST_STEP).alias("sum")), moved)
+    start = F.struct(first.alias("at"), first.alias("from"), zero.alias("sum"), first.alias("to"), zero.alias("best"))
+
+    def closed(s: Column) -> Column:
+        steps = s["to"] - s["from"]
+        good = (steps + 1 >= LEAST_RUN) & (s["best"] + LEAST_STEP * steps >= LEAST_SCORE)
+        return F.when(good, F.struct(s["from"].alias("start"), (s["to"] + 1).alias("end")))
+
+    def step(s: Column, ratio: Column) -> tuple[Column, Column]:
+        at, total = s["at"] + 1, s["sum"] + ratio - LEAST_STEP
+        ends = (total <= 0) | (total < s["best"] - LEAST_SCORE)
+        up = total > s["best"]
+        after = F.struct(
+            at.alias("at"),
+            F.when(ends, at).otherwise(s["from"]).alias("from"),
+            F.when(ends, 0.0).otherwise(total).alias("sum"),
+            F.when(ends | up, at).otherwise(s["to"]).alias("to"),
+            F.when(ends, 0.0).when(up, total).otherwise(s["best"]).alias("best"),
+        )
+        return after, F.when(ends, closed(s))
 
-    return F.aggregate(ratios_of(value, table), start, step, closed)
+    return let(ratios_of(value, table), lambda x: scan(x, start, step, PART, closed))
 
 
 def is_random(value: Column, table: list[float]) -> Column:
@@ -236,16 +291,20 @@ def random_parts(value: Column, table: list[float]) -> Column:
     """
     tokens = F.filter(matches(value, rf"[A-Za-z0-9+]{{{LEAST_RUN},}}", "random"), lambda m: is_random(m["value"], table))
     found = F.sort_array(F.concat(F.transform(tokens, lambda m: F.struct(m["start"], m["end"])), stretches(value, table)))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    nothing = F.lit(None).cast("int")
 
-    def step(out: Column, part: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], part["end"]).alias("end"))
-        before = F.slice(out, F.lit(1), F.size(out) - 1)
-        return F.when((F.size(out) > 0) & (last["end"] >= part["start"]), F.array_append(before, joined)).otherwise(F.array_append(out, part))
+    def open_part(s: Column) -> Column:
+        return F.when(s["end"].isNotNull(), s)
 
+    def step(s: Column, part: Column) -> tuple[Column, Column]:
+        apart = s["end"].isNull() | (s["end"] < part["start"])
+        joined = F.struct(s["start"].alias("start"), F.greatest(s["end"], part["end"]).alias("end"))
+        return F.when(apart, part).otherwise(joined), F.when(apart, open_part(s))
+
+    first = F.struct(nothing.alias("start"), nothing.alias("end"))
+    joined_parts = let(found, lambda x: scan(x, first, step, PART, open_part))
     whole_piece = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
-    return F.when(is_random(value, table), whole_piece).otherwise(F.aggregate(found, none, step))
+    return F.when(is_random(value, table), whole_piece).otherwise(joined_parts)
 
 
 def find_secrets(df: DataFrame, table: list[float], text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -255,26 +314,22 @@ def find_secrets(df: DataFrame, table: list[float], text_col: str = "text", span
     or a stretch behind or before ordinary words, is added as ``random``.
     """
     df = replace_columns(df, [spans_col]) if spans_col != text_col else df
-    base, runs = fresh(df, "base_spans"), fresh(df, "scored_runs")
+    base, runs, chunks = fresh(df, "base_spans"), fresh(df, "scored_runs"), fresh(df, "text_chunks")
     t = whole(text_col)
-    least = LEAST_RUN
-    df2 = df.withColumns({base: base_spans(t), runs: matches(t, rf"{RUN}{{{least},}}", "random")})
+    run = rf"{RUN}{{{LEAST_RUN},}}"
+    df2 = df.withColumns({base: base_spans(t), runs: matches(t, run, "random"), chunks: F.when(t.rlike(run), chunks_of(t))})
 
-    def placed(piece: Column) -> Column:
-        def one(p: Column) -> Column:
-            value = F.substring(piece["value"], p["start"] + 1, p["end"] - p["start"])
-            return F.struct(
-                (piece["start"] + p["start"]).alias("start"),
-                (piece["start"] + p["end"]).alias("end"),
-                F.lit("random").alias("kind"),
-                value.alias("value"),
-            )
+    def both(s: Column) -> Column:
+        def placed(piece: Column) -> Column:
+            def one(p: Column) -> Column:
+                start, end = piece["start"] + p["start"], piece["start"] + p["end"]
+                value = cut(s["chunks"], start, end)
+                return F.struct(start.alias("start"), end.alias("end"), F.lit("random").alias("kind"), value.alias("value"))
 
-        return F.transform(random_parts(piece["value"], table), one)
+            parts = let(cut(s["chunks"], piece["start"], piece["end"]), lambda v: random_parts(v, table))
+            return F.transform(parts, one)
 
-    def both(s: Column) -> Column:
-        pieces = F.flatten(F.transform(s["runs"], lambda r: outside(r, s["base"])))
-        return in_order(F.concat(s["base"], F.flatten(F.transform(pieces, placed))))
+        return in_order(F.concat(s["base"], F.flatten(F.transform(outside(s["runs"], s["base"]), placed))))
 
-    spans = let(F.struct(F.col(base).alias("base"), F.col(runs).alias("runs")), both)
-    return df2.withColumn(spans_col, spans).drop(base, runs)
+    spans = let(F.struct(F.col(base).alias("base"), F.col(runs).alias("runs"), F.col(chunks).alias("chunks")), both)
+    return df2.withColumn(spans_col, F.when(F.size(F.col(runs)) > 0, spans).otherwise(F.col(base))).drop(base, runs, chunks)
