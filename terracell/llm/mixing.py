@@ -4,15 +4,17 @@ Each document has an exponential key -ln(u) / quality, u from a hash of id and t
 target is cut into complete epochs (every document that many times) and a remainder, which takes the
 documents of smallest keys until their sizes reach it.
 
-Nothing is sorted as a whole: key ranges are summed (pre-aggregated) and only the range in which the
-remainder ends is cut again, twice, and then ordered. What comes back is one threshold per source,
+Nothing is sorted as a whole: ranges of the keys' logarithms are summed (pre-aggregated), from the least to
+the largest of each source, so the same choice follows from qualities of any scale. Only the range in which
+the remainder ends is cut again and then ordered. What comes back is one threshold per source,
 so the last pass over the documents is a map. Thresholds are broadcast only up to
 ``BROADCAST_SOURCES`` sources, else they are joined by a shuffle that can split a hot source.
 
 Defined results: a null text has size 0; null is a source of its own and comes last; a document of
-size 0 is taken as often as others and adds no words; quality must be positive, null counts as 1.
-Equal rows have equal keys and go in or stay out together. An empty table gives no rows. The
-document at the end of the remainder goes in when more than half of it fits.
+size 0 is taken as often as others and adds no words; quality must be positive, null and NaN count as 1
+and values below 1e-300 as 1e-300. Rows of equal id, text and quality have equal keys; where the remainder
+ends among such rows, as many of them go in as fit, by ranges of a hash of their columns. An empty
+table gives no rows. The document at the end of the remainder goes in when half of it or more fits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from terracell.llm.common import WORD, fresh, replace_columns, stored, whole
 
 BROADCAST_SOURCES = 10_000
-RANGES = 1024
+RANGES = 4096
+#: Least weight of a document.
+LEAST_QUALITY = 1e-300
 SOURCE_WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -38,9 +42,10 @@ def symbol_quality(text: Column) -> Column:
 
 
 def place(doc: Column, quality: Column, seed: int) -> Column:
-    """1 - exp(-key): the exponential key on the unit interval, small keys first."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return 1.0 - F.pow(u, 1.0 / F.coalesce(quality.cast("double"), F.lit(1.0)))
+    """Logarithm of the exponential key -ln(u) / quality, small keys first."""
+    u = (F.shiftrightunsigned(F.xxhash64(doc, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    q = F.coalesce(F.nanvl(quality.cast("double"), F.lit(1.0)), F.lit(1.0))
+    return F.log(-F.log(u)) - F.log(F.greatest(q, F.lit(LEAST_QUALITY)))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -69,9 +74,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def by_source(df: DataFrame, per_source: DataFrame, n_sources: int, key: str) -> DataFrame:
     """Joins one row per source; broadcast behind the check of its size."""
-    right = per_source.withColumnRenamed("source", "of_source")
+    of = fresh(df, "of_source")
+    right = per_source.withColumnRenamed("source", of)
     right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
-    return df.join(right, F.col(key).eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    return df.join(right, F.col(key).eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def refined(rows: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
@@ -114,32 +120,73 @@ def mix(
     sized = df.withColumns({"size": n_words(t), x: place(doc, quality, seed)})
     rows = stored(sized.select(src.alias("source"), F.col(x).alias("x"), "size"))
 
-    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sizes = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.min("x").alias("low"), (F.max("x") + 1e-6).alias("high")
+    )
+    sizes = stored(sizes)
     n_sources = sizes.count()
-    plan = targets(sizes, weights, share, most).withColumn(
+    plan = targets(sizes.drop("low", "high"), weights, share, most).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
     plan = stored(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
 
-    state = plan.select("source", F.lit(0.0).alias("low"), F.lit(1.0 + 1e-9).alias("high"), "rest")
+    state = by_source(sizes.select("source", "low", "high"), plan.select("source", "rest"), n_sources, "source")
     for _ in range(2):
         state = stored(refined(rows, state, n_sources))
     last = by_source(rows, state, n_sources, "source").where("x >= low and x < high")
-    last = last.groupBy("source", "x", "rest").agg(F.sum("size").alias("s"))
-    last = last.withColumn("end", F.sum("s").over(Window.partitionBy("source").orderBy("x")))
-    fits = F.col("end") - F.col("s") / 2.0 <= F.col("rest")
-    edge = last.where(fits).groupBy("source").agg(F.max("x").alias("edge"))
+    last = last.groupBy("source", "x", "rest").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    last = last.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("x")) - F.col("s"))
+    # of n equal rows as many as fit, the last one when half of it does
+    room = F.col("rest") - F.col("before")
+    fit = F.when(F.col("s") > 0, F.least(F.col("n"), F.floor(room * F.col("n") / F.col("s") + 0.5)))
+    last = last.withColumn("fit", F.coalesce(fit, F.when(room >= 0, F.col("n"))))
+    found = F.max(F.struct("x", "fit", "n"))
+    edge = last.where("fit > 0").groupBy("source").agg(found.alias("edge"))
+    edge = edge.select("source", F.col("edge.x").alias("edge"), F.col("edge.fit").alias("fit"), F.col("edge.n").alias("n"))
     plan = by_source(plan, state.select("source", "low"), n_sources, "source")
     plan = by_source(plan, edge, n_sources, "source").select(
-        "source", "source_size", "target", "epochs", "rest", "low", "edge"
+        "source", "source_size", "target", "epochs", "rest", "low", "edge", "fit", (F.col("fit") < F.col("n")).alias("part")
     )
     plan = stored(plan)
 
-    out = by_source(sized, plan, n_sources, source_col)
-    chosen = (F.col("rest") > 0) & ((F.col(x) < F.col("low")) | (F.col(x) <= F.col("edge")))
-    times = (F.col("epochs") + F.when(chosen, 1).otherwise(0)).cast("int")
-    out = out.withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
-    return out.select(*df.columns, "size", "source_size", "target", "times", "taken")
+    names = {c: fresh(df, f"plan_{c}") for c in ("epochs", "rest", "low", "edge", "fit", "part")}
+    result = [*df.columns, "size", "source_size", "target", "times", "taken"]
+    out = by_source(sized, plan.withColumnsRenamed(names), n_sources, source_col)
+    epochs, rest, low, edge, fit, part = (F.col(c) for c in names.values())
+
+    def taken(rows: DataFrame, chosen: Column) -> DataFrame:
+        rows = rows.withColumn("times", (epochs + F.when(chosen, 1).otherwise(0)).cast("int"))
+        return rows.withColumn("taken", F.col("times") * F.col("size")).select(*result)
+
+    chosen = (rest > 0) & ((F.col(x) < low) | (F.col(x) <= edge))
+    if plan.where("rest > 0 and part").isEmpty():
+        return taken(out, chosen)
+    # some source ends among equal rows: these get numbers, all others pass as before
+    at_edge = F.coalesce((rest > 0) & part & (F.col(x) == edge), F.lit(False))
+    number = fresh(out, "number")
+    equal = numbered_in(out.where(at_edge), source_col, number)
+    return taken(out.where(~at_edge), chosen).unionByName(taken(equal, F.col(number) <= fit))
+
+
+def numbered_in(rows: DataFrame, source_col: str, number: str) -> DataFrame:
+    """``rows`` numbered from 1 in each source, by ranges of a hash of all columns.
+
+    Rows may all be equal, so the ranges are cut again by the partitions of the stored rows. These are
+    numbered within, and shifted by the sizes of those before.
+    """
+    of, salt, digest, start = (fresh(rows, c) for c in ("of", "salt", "digest", "start"))
+    hashed = F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in rows.columns])
+    kept = rows.withColumns({of: F.col(source_col), digest: hashed})
+    kept = stored(kept.withColumn(salt, F.struct(F.shiftright(digest, 54).alias("r"), F.spark_partition_id().alias("p"))))
+    counts = kept.groupBy(of, salt).count()
+    before = Window.partitionBy(of).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("count").over(before), F.lit(0))
+    starts = stored(counts.select(F.col(of).alias(of + "2"), F.col(salt).alias(salt + "2"), shift.alias(start)))
+    rank = F.row_number().over(Window.partitionBy(of, salt).orderBy(digest))
+    met = kept.withColumn(number, rank).join(
+        starts, F.col(of).eqNullSafe(F.col(of + "2")) & (F.col(salt) == F.col(salt + "2"))
+    )
+    return met.withColumn(number, F.col(number) + F.col(start)).select(*rows.columns, number)
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
