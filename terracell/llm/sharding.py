@@ -1,7 +1,8 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows get a number 0..n-1: they are dealt into even buckets by a hash of their id, numbered inside
-the bucket and shifted by the sizes of the buckets before. A keyed permutation of 0..n-1 turns the
+Rows get a number 0..n-1: equal rows are counted (pre-aggregated) and cut into lots of bounded size, lots
+are dealt into even buckets by a hash, numbered inside the bucket and shifted by the sizes of the buckets
+before. A keyed permutation of 0..n-1 turns the
 number into a place; ``place % shards`` is the shard and ``place // shards`` the slot, so any place
 can be computed without the data, sizes differ by one row at most and slots have no gap.
 
@@ -10,8 +11,8 @@ from places of n and above. Fewer than ``a`` places are above n, which bounds a
 
 Defined results: ids may be null or repeat; rows of one id are numbered by text size and checksum,
 and rows that are equal in all of these are interchangeable. A null text has no bytes. Empty tables
-give no rows. Only narrow rows (id, size, checksum) are shuffled; hot sources or texts do not matter,
-as buckets follow a hash of id, size and checksum.
+give no rows. Only narrow rows (id, size, checksum) are shuffled; hot sources or texts and rows repeated
+any number of times do not matter, as no lot has more than ``LOT`` rows.
 """
 
 from __future__ import annotations
@@ -25,30 +26,37 @@ from terracell.llm.common import fresh, stored, whole
 
 ROUNDS = 6
 ROWS_A_BUCKET = 50_000
+#: Equal rows that are dealt out together.
+LOT = 10_000
 
 
-def numbered(df: DataFrame, keys: list[str], number: str) -> tuple[DataFrame, int]:
-    """``df`` with a global row number in the order of (hash bucket, keys), and the row count.
+def numbered(df: DataFrame, number: str) -> tuple[DataFrame, int]:
+    """``df`` with a global row number in the order of (hash bucket, columns), and the row count.
 
-    One shuffle by bucket serves the counts and the numbers; the running sum of bucket sizes is
-    taken in two levels, so no task sees all buckets of a large table.
+    Equal rows are counted before anything is dealt out. The running sum of bucket sizes is taken in
+    two levels, so no task sees all buckets of a large table.
     """
-    n = df.count()
+    keys = df.columns
+    b, times, lot, start = (fresh(df, c) for c in ("bucket", "times", "lot", "start"))
+    counted = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(times)))
+    n = counted.agg(F.sum(times)).first()[0] or 0
     buckets = max(1, -(-n // ROWS_A_BUCKET))
-    b = fresh(df, "bucket")
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sizes = dealt.groupBy(b).agg(F.count(F.lit(1)).alias("n_in"))
+    lots = counted.withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(LOT).cast("long"))))
+    lots = lots.withColumn(times, F.least(F.col(times) - F.col(lot), F.lit(LOT)))
+    dealt = lots.withColumn(b, F.pmod(F.xxhash64(*keys, lot), F.lit(buckets)))
+    sizes = dealt.groupBy(b).agg(F.sum(times).alias("n_in"))
     sizes = stored(sizes).withColumn("upper", F.floor(F.col(b) / 1024))
     uppers = sizes.groupBy("upper").agg(F.sum("n_in").alias("n_upper"))
     order = Window.orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
     uppers = uppers.select("upper", F.coalesce(F.sum("n_upper").over(order), F.lit(0)).alias("first_upper"))
     inside = Window.partitionBy("upper").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(uppers, "upper").select(
-        b, (F.col("first_upper") + F.coalesce(F.sum("n_in").over(inside), F.lit(0))).alias("start")
+        b, (F.col("first_upper") + F.coalesce(F.sum("n_in").over(inside), F.lit(0))).alias(start)
     )
-    rank = F.row_number().over(Window.partitionBy(b).orderBy(*keys))
-    out = dealt.withColumn(number, rank).join(starts, b)
-    return out.withColumn(number, F.col("start") + F.col(number) - 1).drop(b, "start"), n
+    before = Window.partitionBy(b).orderBy(*keys, lot).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn(number, F.coalesce(F.sum(times).over(before), F.lit(0))).join(starts, b)
+    first = F.col(start) + F.col(number)
+    return out.select(*keys, F.explode(F.sequence(first, first + F.col(times) - 1)).alias(number)), n
 
 
 def feistel(x: Column, a: int, b: int, seed: int, rounds: int = ROUNDS) -> Column:
@@ -98,7 +106,7 @@ def shard(
         (F.octet_length(t) + 1).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
     )
-    out, n = numbered(narrow, [id_col, "size", "text_crc32"], "row_number")
+    out, n = numbered(narrow, "row_number")
     out = out.withColumn("place", permuted(F.col("row_number"), n, seed)).drop("row_number")
     return out.withColumns(
         {
