@@ -139,6 +139,17 @@ def test_sharding_edges(odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_cuts_repeated_rows_into_lots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 7)
+    monkeypatch.setattr(sharding, "ROWS_A_BUCKET", 20)
+    rows = [(None, None, "a")] * 300 + [(i, "text", "b") for i in range(50)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), shards=4).collect()
+    assert sorted(r["place"] for r in got) == list(range(350))
+    assert sum(r["doc_id"] is None and r["size"] == 1 for r in got) == 300
+    again = sharding.shard(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3), shards=4).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 def test_mixing(spark, documents, rows):
     got = QUERIES["op7_mixing"](spark, SMALL).collect()
     assert sorted(got) == sorted(QUERIES["op7_mixing"](spark, SMALL).collect())
@@ -173,6 +184,38 @@ def test_mixing_prefers_quality(spark):
     assert abs(n[0] + n[1] - 1200) <= 1 and n[0] > 2 * n[1]
 
 
+@pytest.mark.parametrize("quality", [1.0, 0.01, 1e-6, 1e9])
+def test_mixing_takes_the_target_at_any_scale_of_quality(spark, quality):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ten words " * 5).alias("text"), F.lit("s").alias("source"))
+    mixed = {s: mixing.mix(df, share=0.5, quality=F.lit(s) * (1 + F.col("doc_id") % 3)).where("times > 0") for s in (1.0, quality)}
+    ids = {s: sorted(r[0] for r in m.select("doc_id").collect()) for s, m in mixed.items()}
+    assert len(ids[quality]) == 2000 and ids[quality] == ids[1.0]
+
+
+def test_mixing_takes_the_smallest_keys(spark, documents):
+    docs = documents.where("source is not null").limit(400).select("doc_id", "text", "source").cache()
+    good = F.lit(0.001) * (1 + F.col("doc_id") % 7)
+    got = mixing.mix(docs, share=0.7, quality=good).withColumn("key", mixing.place(F.xxhash64("doc_id", "text"), good, 7)).collect()
+    for source in {r["source"] for r in got}:
+        of = sorted((r for r in got if r["source"] == source and r["size"]), key=lambda r: r["key"])
+        epochs = of[-1]["times"]
+        rest, taken = of[0]["target"] - epochs * of[0]["source_size"], 0
+        for r in of:
+            assert r["times"] - epochs == (taken + r["size"] / 2 <= rest)
+            taken += r["size"]
+
+
+def test_mixing_splits_repeated_rows(spark):
+    same = [(1, "some words here", "a")] * 1000 + [(None, None, "b")] * 5 + [(i, "four more words here", "b") for i in range(100)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(same, SCHEMA).repartition(parts).withColumns({"of_source": F.lit(1), "low": F.lit(2), "edge": F.lit(3)})
+        out = mixing.mix(df, share=0.5, weights=(1.0,))
+        got = out.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max("times").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+        assert {r["source"]: r["n"] for r in got} == {"a": 1000, "b": 105}
+        assert all(abs(r["taken"] - r["target"]) <= 4 and r["most"] <= 2 for r in got)
+        assert out.where("of_source = 1 and low = 2 and edge = 3").count() == 1105
+
+
 def test_mixing_edges(odd, none):
     out = mixing.mix(odd.withColumn("x", F.lit(5)).withColumn("size", F.lit("old")))
     assert out.count() == len(ODD) and out.where("x <> 5").count() == 0
@@ -310,6 +353,19 @@ def test_secrets_inside_longer_runs(spark, documents):
         assert all(any(k in s["value"] for s in spans) for k in (key, other) if k in t)
 
 
+def test_secrets_with_very_many_matches_in_one_text(spark, documents):
+    model = secret_scan.train(secret_scan.labelled_samples(documents))
+    key, n = "q7GzP0vXw9LkT2nB4sYd8RfA", 4000
+    hexes = " ".join(f"{i * 2654435761 % 2**64:016x}" for i in range(50 * n))
+    mixed = "é" + "-".join(f"{i:016x}{key if i % 3 == 0 else 'GettingElements'}" for i in range(n))
+    df = spark.createDataFrame([(0, hexes), (1, mixed)], "id int, text string")
+    got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.find_secrets(df, model).collect()}
+    assert got[0] == secret_spans(hexes) and len(got[0]) == 50 * n
+    assert [s for s in got[1] if s[0] != "random"] == secret_spans(mixed)
+    added = [mixed[a:b] for k, a, b in got[1] if k == "random"]
+    assert len(added) == len([i for i in range(n) if i % 3 == 0]) and all(key in v for v in added)
+
+
 def test_licences(spark, odd, none):
     s = license_scan.SENTENCES
     wrapped = "# " + s["mit.grant"].replace("without restriction", "\n# without restriction") + ":\n\n" + s["mit.notice"] + ".\n\n" + s["mit.asis"] + "."
