@@ -13,7 +13,7 @@ from catalog.fixtures import sql_area, sql_axial, sql_cell_lat, sql_cell_long, s
 from catalog.q_folds import TRUTH
 from catalog.q_grid import sql_cover
 from catalog.q_target import FLAGS
-from terracell.functions import grid
+from terracell.functions import geom, grid
 from terracell.operators import aggregates as agg
 from terracell.operators import conformal, models
 from terracell.plans import dataset as ds
@@ -235,15 +235,36 @@ def road_files(spark, d):
     return back.groupBy("highway").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 2).alias("length"))
 
 
-@query("S16", with_views(["v_zone"], "SELECT name, country, 'Polygon' AS type FROM v_zone"))
+GEOJSON_SQL = """SELECT name, country, CASE WHEN zone_id % 2 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS type,
+    CAST(1 + zone_id % 2 AS BIGINT) AS n_parts,
+    CAST(x0 AS DOUBLE) AS minx, CAST(y0 AS DOUBLE) AS miny, CAST(x1 AS DOUBLE) AS maxx, CAST(y1 AS DOUBLE) AS maxy,
+    CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area,
+    CASE WHEN zone_id % 2 = 0 THEN printf('%.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', CAST(y0 AS DOUBLE), CAST(x0 AS DOUBLE),
+        CAST(y0 AS DOUBLE), CAST(x1 AS DOUBLE), CAST(y1 AS DOUBLE), CAST(x1 AS DOUBLE), CAST(y1 AS DOUBLE), CAST(x0 AS DOUBLE)) END AS ring
+    FROM v_zone"""
+
+
+@query("S16", with_views(["v_zone"], GEOJSON_SQL))
 def geojson_files(spark, d):
-    """Zones as one GeoJSON document per country, all documents unfolded again."""
+    """Outlines of zones as one GeoJSON document per country, every second zone cut in two parts, all read back."""
     root = work_dir(spark)
-    feature = F.struct(
-        F.create_map(F.lit("name"), F.col("name"), F.lit("country"), F.col("country")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.array(F.lit(0.0), F.lit(0.0)))).alias("coordinates")).alias("geometry"),
+    zones = fx.v_zone(spark, d).withColumn("whole", geom.parse_wkt("geometry")).withColumn("box", geom.bounds("whole"))
+    b, cut = F.col("box"), F.col("box")["minx"] + 1.0
+    halves = F.concat(
+        geom.clip_to_box("whole", b["minx"], b["miny"], cut, b["maxy"]),
+        geom.clip_to_box("whole", cut, b["miny"], b["maxx"], b["maxy"]),
+    )
+    zones = zones.withColumn("parts", F.when(F.col("zone_id") % 2 == 0, F.col("whole")).otherwise(halves))
+    sinks.write_geojson(zones.withColumn("folder", F.col("country")), "parts", ["name", "country"], "folder", root)
+    back = readers.read_geojson(spark, f"{root}/*/*.txt").withColumn("box", geom.bounds("parts"))
+    return rounded(
+        back.select(
+            F.col("properties")["name"].alias("name"),
+            F.col("properties")["country"].alias("country"),
+            "type",
+            F.size("parts").alias("n_parts"),
+            *[F.col("box")[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")],
+            F.abs(geom.planar_area("parts")).alias("area"),
+            F.when(F.col("type") == "Polygon", geom.ring_text(F.col("parts")[0][0])).alias("ring"),
+        )
     )
-    docs = fx.v_zone(spark, d).groupBy("country").agg(F.collect_list(feature).alias("features"))
-    docs.write.partitionBy("country").json(root)
-    back = readers.read_geojson(spark, f"{root}/*/*.json")
-    return back.select(F.col("properties")["name"].alias("name"), F.col("properties")["country"].alias("country"), "type")

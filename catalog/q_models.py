@@ -8,9 +8,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import functions as F
 
 from catalog.base import query, rounded
+from catalog.q_jobs import work_dir
 from catalog.q_prep import survey_features
 from terracell.operators import evaluate as ev
 from terracell.operators import folds, models, quality, twostage
+from terracell.sources import sinks
 
 X = ["lat", "long", "age"]
 
@@ -57,6 +59,32 @@ def stepwise_search(spark, d):
     return spark.createDataFrame([(k, int(v)) for k, v in r.params.items()], "name string, value int")
 
 
+@query("M7", None)
+def early_stopped_boosting(spark, d):
+    """Error of each number of boosting rounds until the best is old enough, and whether it is the best."""
+    losses, best = models.early_stopped_rounds(ready(spark, d), "housing", GBTRegressor(seed=1), k=3)
+    rows = [(i, float(loss), i == best) for i, loss in enumerate(losses, 1)]
+    return spark.createDataFrame(rows, "round int, mae double, best boolean")
+
+
+@query("M4 K10", None)
+def warm_start(spark, d):
+    """Trials of a second search that starts from the stored run of the first, in their order."""
+    rows, root = ready(spark, d), work_dir(spark)
+    grid = {"linear": (LinearRegression(), {"regParam": [0.0, 0.1, 0.003]})}
+    first = models.fit_tuned(rows, "housing", learners=grid)
+    sinks.log_run(sinks.run_rows(spark, "cells~1", params=first.params), root)
+    sinks.log_run(sinks.score_rows(ev.score(first.model.transform(rows), "housing", "prediction"), "cells~1", "housing"), root)
+    start = sinks.earlier_best(spark.read.parquet(root), "cells~")
+    other = {
+        "forest": (RandomForestRegressor(seed=1), {"maxDepth": [4]}),
+        "linear": (LinearRegression(), {"regParam": [0.03, 0.3]}),
+    }
+    again = models.fit_tuned(rows, "housing", learners=other, start=start)
+    out = [(i, t["learner"], float(t.get("regParam", "nan")), float(t["score"])) for i, t in enumerate(again.trials)]
+    return spark.createDataFrame(out, "trial int, learner string, reg_param double, mse double")
+
+
 @query("M9 M10 M11 Y4", None)
 def two_stage_model(spark, d):
     r = ready(spark, d)

@@ -59,6 +59,38 @@ def parse_wkt(wkt: Column | str) -> Column:
     )
 
 
+def parse_geojson(kind: Column | str, coordinates: Column | str) -> Column:
+    """Parts of a Polygon or MultiPolygon whose coordinates are JSON text; null for other kinds and broken text.
+
+    Only the first two numbers of a position count.
+    """
+    kind, text = as_col(kind), as_col(coordinates)
+    one = F.from_json(text, "array<array<array<double>>>")
+    many = F.from_json(text, "array<array<array<array<double>>>>")
+    nested = F.when((kind == "Polygon") & one.isNotNull(), F.array(one)).when(kind == "MultiPolygon", many)
+    return F.transform(
+        nested,
+        lambda part: F.transform(
+            part,
+            lambda ring: F.transform(
+                ring, lambda at: F.struct(F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y"))
+            ),
+        ),
+    )
+
+
+def geojson_geometry(parts: Column | str) -> Column:
+    """A geometry object as JSON text: Polygon for a single part, else MultiPolygon."""
+    nested = F.transform(
+        as_col(parts),
+        lambda part: F.transform(part, lambda ring: F.transform(ring, lambda at: F.array(at["x"], at["y"]))),
+    )
+    single = F.size(nested) == 1
+    kind = F.when(single, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
+    text = F.when(single, F.to_json(F.get(nested, F.lit(0)))).otherwise(F.to_json(nested))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}"))
+
+
 def rings_of(parts: Column | str) -> Column:
     return F.flatten(as_col(parts))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import itertools
 import random
 from collections.abc import Mapping, Sequence
@@ -79,6 +80,10 @@ class RunKey:
             ]
         )
 
+    def same_data(self) -> str:
+        """Prefix of all runs on the same country, resolution, threshold and target."""
+        return "~".join(self.text().split("~")[:4]) + "~"
+
     @staticmethod
     def parse(text: str) -> "RunKey":
         country, res, thres, target, cv, impute, scale, expanded, holdout, transform, plain, universal = text.split("~")
@@ -123,6 +128,26 @@ def _grid(est: Estimator, options: Mapping[str, Sequence]) -> list:
     return builder.build()
 
 
+def _value(text: str):
+    """A logged parameter as Python value; what is no literal stays text."""
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        return text
+
+
+def _start_maps(name: str, est: Estimator, start: Mapping[str, Sequence[str]]) -> list:
+    """Parameter maps of an earlier run of this learner; parameters that it lacks are left out."""
+    known = sorted(n for n in start if n != "learner" and est.hasParam(n))
+    if name not in start.get("learner", ()) or not known:
+        return []
+    ps = [est.getParam(n) for n in known]
+    return [
+        {p: p.typeConverter(_value(v)) for p, v in zip(ps, one, strict=True)}
+        for one in itertools.product(*[start[n] for n in known])
+    ]
+
+
 def fit_tuned(
     df: DataFrame,
     target: str,
@@ -133,13 +158,21 @@ def fit_tuned(
     parallelism: int = 2,
     k: int = 3,
     seed: int = 42,
+    start: Mapping[str, Sequence[str]] | None = None,
 ) -> FitResult:
-    """Best of several learners and grids by cross validation on the given fold column."""
+    """Best of several learners and grids by cross validation on the given fold column.
+
+    ``start`` has the parameters of an earlier run (``sinks.earlier_best``): its learner and its values, also those
+    outside the grid, are tried first and win ties.
+    """
     rows = df.filter(F.col(target).isNotNull())
     trials, best = [], None
-    for name, (est, options) in (learners or default_learners(seed)).items():
+    start = start or {}
+    several = (learners or default_learners(seed)).items()
+    for name, (est, options) in sorted(several, key=lambda kv: kv[0] not in start.get("learner", ())):
         est = est.copy({est.featuresCol: features, est.labelCol: target})
-        maps = _grid(est, options)
+        maps = _start_maps(name, est, start)
+        maps += [m for m in _grid(est, options) if m not in maps]
         cv = CrossValidator(
             estimator=est,
             estimatorParamMaps=maps,
@@ -208,6 +241,76 @@ def random_search(
     )
 
 
+def early_stopped_rounds(
+    df: DataFrame,
+    target: str,
+    estimator: Estimator,
+    patience: int = 5,
+    max_rounds: int = 100,
+    k: int = 5,
+    features: str = "features",
+    fold: str = "fold",
+) -> tuple[list[float], int]:
+    """Mean absolute error of each number of boosting rounds over held-out folds, and the best number.
+
+    Rounds end when the best is ``patience`` rounds old. Fits grow by doubling: the first trees of a longer fit are
+    those of a shorter one, so the outcome is that of a rule asked after each round, for at most four times its trees.
+    """
+    if patience < 1 or max_rounds < 1:
+        raise ValueError("patience and max_rounds start at 1")
+    est = estimator.copy({estimator.featuresCol: features, estimator.labelCol: target})
+    rows = df.filter(F.col(target).isNotNull()).persist()
+    try:
+        grown = min(2 * patience, max_rounds)
+        while True:
+            each = []
+            for f in range(k):
+                model = est.fit(rows.filter(F.col(fold) != f), {est.maxIter: grown})
+                each.append(model.evaluateEachIteration(rows.filter(F.col(fold) == f), "absolute"))
+            losses = [sum(at) / k for at in zip(*each, strict=True)]
+            best = 0
+            for i, loss in enumerate(losses):
+                if loss < losses[best]:
+                    best = i
+                if i - best >= patience:
+                    return losses[: i + 1], best + 1
+            if grown == max_rounds:
+                return losses, best + 1
+            grown = min(2 * grown, max_rounds)
+    finally:
+        rows.unpersist()
+
+
+def early_stopped_search(
+    df: DataFrame,
+    target: str,
+    estimator: Estimator,
+    space: Mapping[str, Sequence],
+    patience: int = 5,
+    max_rounds: int = 100,
+    k: int = 5,
+    features: str = "features",
+    fold: str = "fold",
+) -> FitResult:
+    """Each parameter choice of a boosted learner with its own number of rounds; the best is fitted on all rows.
+
+    A trial has its parameters, the best round as ``maxIter``, the rounds looked at and the score.
+    """
+    if "maxIter" in space:
+        raise ValueError("the number of rounds is found by the stopping rule")
+    trials = []
+    for values in itertools.product(*space.values()):
+        named = dict(zip(space, values, strict=True))
+        est = estimator.copy({estimator.getParam(n): v for n, v in named.items()})
+        losses, best = early_stopped_rounds(df, target, est, patience, max_rounds, k, features, fold)
+        trials.append({**named, "maxIter": best, "rounds": len(losses), "score": losses[best - 1]})
+    first = min(trials, key=lambda t: t["score"])
+    params = {n: first[n] for n in (*space, "maxIter")}
+    est = estimator.copy({estimator.featuresCol: features, estimator.labelCol: target})
+    model = est.fit(df.filter(F.col(target).isNotNull()), {est.getParam(n): v for n, v in params.items()})
+    return FitResult(target, model, params, first["score"], trials)
+
+
 def stepwise_search(
     df: DataFrame,
     target: str,
@@ -217,16 +320,24 @@ def stepwise_search(
     fold: str | None = "fold",
     k: int = 5,
     seed: int = 42,
+    patience: int | None = None,
+    max_rounds: int = 100,
 ) -> FitResult:
-    """One parameter at a time, each keeping the best value so far."""
+    """One parameter at a time, each keeping the best value so far.
+
+    With ``patience``, each trial of a boosted learner stops early and its best number of rounds is kept too.
+    """
     chosen: dict = {}
     result, trials = None, []
     for name, values in space.items():
         base = estimator.copy({estimator.getParam(n): v for n, v in chosen.items()})
-        step = random_search(df, target, base, {name: values}, len(values), k, features, fold, seed)
+        if patience is None:
+            step = random_search(df, target, base, {name: values}, len(values), k, features, fold, seed)
+        else:
+            step = early_stopped_search(df, target, base, {name: values}, patience, max_rounds, k, features, fold)
         trials += [{**chosen, **t} for t in step.trials]
         if result is None or step.cv_score <= result.cv_score:
-            chosen[name] = step.params[name]
+            chosen |= step.params
             result = step
     return FitResult(target, result.model, chosen, result.cv_score, trials)
 

@@ -160,8 +160,12 @@ def prepare(train: DataFrame, names: Sequence[str], config: TrainConfig) -> Pipe
     return prep.pipeline(stages).fit(train)
 
 
-def train(dataset: DataFrame, config: TrainConfig) -> dict[str, Trained]:
-    """Models and test scores per target; scores are on the untransformed scale."""
+def train(dataset: DataFrame, config: TrainConfig, runs: DataFrame | None = None) -> dict[str, Trained]:
+    """Models and test scores per target; scores are on the untransformed scale.
+
+    With the run table of earlier trainings, a target's search starts from the best of them for the same country,
+    resolution, threshold and target.
+    """
     targets = models.target_columns(config.target)
     known = cols.require(dataset, ["hex_code", "survey", *targets]).na.drop("all", subset=targets)
     located = known.withColumns(
@@ -174,11 +178,13 @@ def train(dataset: DataFrame, config: TrainConfig) -> dict[str, Trained]:
     parts = [[t] for t in targets] if config.holdout == "stratified" else [targets]
     out = {}
     for part in parts:
-        out |= train_part(located.select("hex_code", *names, *part), names, part, config)
+        out |= train_part(located.select("hex_code", *names, *part), names, part, config, runs)
     return out
 
 
-def train_part(rows: DataFrame, names: Sequence[str], targets: Sequence[str], config: TrainConfig) -> dict[str, Trained]:
+def train_part(
+    rows: DataFrame, names: Sequence[str], targets: Sequence[str], config: TrainConfig, runs: DataFrame | None = None
+) -> dict[str, Trained]:
     """Models of the targets that share one split."""
     frame = split(rows, config, targets).persist()
     out = {}
@@ -195,8 +201,9 @@ def train_part(rows: DataFrame, names: Sequence[str], targets: Sequence[str], co
             elif config.transform != "none":
                 raise ValueError(f"unknown target transform: {config.transform}")
             label = t if config.transform == "none" else "_y"
+            start = None if runs is None else sinks.earlier_best(runs, config.key(t).same_data())
             result = models.fit_tuned(
-                rows.filter(~F.col("is_test")), label, learners=config.learners, k=config.k, seed=config.seed
+                rows.filter(~F.col("is_test")), label, learners=config.learners, k=config.k, seed=config.seed, start=start
             )
             test = PipelineModel([result.model, *back]).transform(rows.filter("is_test"))
             scores = ev.score(test, t, "prediction")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terracell import schema as s
+from terracell.functions import geom
 from terracell.operators.columns import lower_names, nan_to_null
 
 
@@ -116,7 +117,7 @@ def read_pixels(spark: SparkSession, path: str, bands: Sequence[str] | None = No
 
 
 def read_geojson(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Features of all files, as properties and geometry JSON text."""
+    """Features of all files: properties, kind, coordinates as JSON text, and parts of polygons."""
     kind = T.StructType(
         [
             T.StructField(
@@ -141,7 +142,8 @@ def read_geojson(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         ]
     )
     rows = spark.read.schema(kind).option("multiLine", True).json(path if isinstance(path, str) else list(path))
-    return rows.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+    flat = rows.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+    return flat.withColumn("parts", geom.parse_geojson("type", "coordinates"))
 
 
 def read_datasets(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell import schema as s
+from terracell.functions import geom
 
 
 def write_dataset(df: DataFrame, root: str, country: str, res: int, threshold: int, fmt: str = "parquet") -> None:
@@ -111,3 +112,22 @@ def best_params(table: DataFrame, prefix: str) -> DataFrame:
     r2 = runs.filter((F.col("kind") == "metric") & F.col("key").endswith("r2"))
     best = r2.groupBy("run_id").agg(F.avg("value").alias("r2")).agg(F.max_by("run_id", "r2").alias("run_id"))
     return runs.filter(F.col("kind") == "param").join(best, "run_id").select("key", "text")
+
+
+def earlier_best(table: DataFrame, prefix: str) -> dict[str, list[str]]:
+    """``best_params`` on the driver, a row a parameter; a run saved again gives each value that it has had."""
+    out: dict[str, list[str]] = {}
+    for r in best_params(table, prefix).distinct().orderBy("key", "text").collect():
+        out.setdefault(r["key"], []).append(r["text"])
+    return out
+
+
+def write_geojson(df: DataFrame, parts: str, properties: Sequence[str], by: str, path: str) -> None:
+    """One feature collection per value of ``by``, in a folder of its own; properties are written as text."""
+    about = F.to_json(F.create_map(*[x for c in properties for x in (F.lit(c), F.col(c).cast("string"))]))
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":'), about, F.lit(',"geometry":'), geom.geojson_geometry(parts), F.lit("}")
+    )
+    docs = df.groupBy(by).agg(F.sort_array(F.collect_list(feature)).alias("_all"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", "_all"), F.lit("]}"))
+    docs.select(by, text.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
