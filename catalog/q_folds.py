@@ -125,6 +125,19 @@ def sample_rows(spark, d):
     return folds.sample_rows(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 1000)
 
 
+@query(
+    "T5",
+    f"""WITH placed AS (SELECT o_orderkey, row_number() OVER (ORDER BY {H.format('o_orderkey')}, o_orderkey) AS pos FROM orders),
+    ids AS (SELECT row_number() OVER () - 1 AS i FROM orders),
+    drawn AS (SELECT 1 + CAST('0x' || substr(md5(concat_ws('|', CAST(i AS VARCHAR), '43')), 1, 15) AS BIGINT) % (SELECT count(*) FROM orders) AS pos FROM ids)
+    SELECT o_orderkey, count(*) AS draws FROM placed JOIN drawn USING (pos) GROUP BY 1""",
+)
+def bootstrap_counts(spark, d):
+    """As many draws as there are orders, with replacement."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    return folds.sample_with_replacement(o, ["o_orderkey"], o.count())
+
+
 @query("T2", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def head_by_order(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")

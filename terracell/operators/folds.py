@@ -9,13 +9,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import geom
-from terracell.functions.util import as_col
+from terracell.functions.util import as_col, md5_order
 from terracell.operators.ranking import shuffled_position, value_order_positions, value_positions
 from terracell.session import cut_lineage
 
@@ -138,6 +136,47 @@ def _nearest(centres: Sequence[tuple[float, float]], open_: Sequence[int], lat:
     )
 
 
+def _near_in_plane(centres: Sequence[tuple[float, float]], lat: str, long: str) -> Column:
+    """Struct (d2, centre) of the centre at the least squared distance in degrees."""
+    each = []
+    for i, (y, x) in enumerate(centres):
+        dy, dx = F.col(lat) - F.lit(y), F.col(long) - F.lit(x)
+        each.append(F.struct((dy * dy + dx * dx).alias("d2"), F.lit(i).alias("centre")))
+    return F.array_min(F.array(*each))
+
+
+def even_centres(
+    points: DataFrame, k: int, seed: int, key: str, lat: str = "lat", long: str = "long", rounds: int = 20
+) -> list[tuple[float, float]]:
+    """k-means centres that are the same for every partitioning; none without points.
+
+    The start is the first row of the shuffle, then each time the row farthest from all picked ones (ties by the
+    shuffle). Means come from decimal sums, which no order of rows changes. A round sends k rows to the driver.
+    """
+    located = points.filter(F.col(lat).isNotNull() & F.col(long).isNotNull())
+    order = md5_order(key, seed=seed)
+    place = F.struct(F.col(lat).cast("double").alias("y"), F.col(long).cast("double").alias("x"))
+    first = located.agg(F.min_by(place, F.struct(order, place)).alias("at")).first()["at"]
+    if first is None:
+        return []
+    centres = [(first["y"], first["x"])]
+    while len(centres) < k:
+        far = F.struct(_near_in_plane(centres, lat, long)["d2"], order, place)
+        at = located.agg(F.max_by(place, far).alias("at")).first()["at"]
+        centres.append((at["y"], at["x"]))
+    for _ in range(rounds):
+        mine = located.groupBy(_near_in_plane(centres, lat, long)["centre"].alias("centre"))
+        sums = mine.agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(20,9)")).alias(n) for c, n in ((lat, "y"), (long, "x"))]
+        ).collect()
+        moved = dict(enumerate(centres)) | {r["centre"]: (float(r["y"] / r["n"]), float(r["x"] / r["n"])) for r in sums}
+        after = [moved[i] for i in range(k)]
+        if after == centres:
+            break
+        centres = after
+    return centres
+
+
 def spatial_groups(
     df: DataFrame, k: int = 5, seed: int = 42, key: str = "hex_code", lat: str = "lat", long: str = "long"
 ) -> DataFrame:
@@ -145,12 +184,13 @@ def spatial_groups(
 
     Bounded rounds: every unplaced row bids for its nearest open centre, and a centre with more
     bids than room keeps its closest. Each round fills a centre or places the rest, so there are
-    at most k rounds; each ends in a reliable checkpoint.
+    at most k rounds; each ends in a reliable checkpoint. Groups do not change with the partitioning.
+    Without any coordinates the group is null.
     """
-    points = VectorAssembler(inputCols=[lat, long], outputCol="_v").transform(df.select(key, lat, long))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=20).fit(points)
-    centres = [tuple(c) for c in model.clusterCenters()]
     rest = cut_lineage(df.select(key, lat, long))
+    centres = even_centres(rest, k, seed, key, lat, long)
+    if not centres:
+        return df.withColumn("group", F.lit(None).cast("int"))
     n = rest.count()
     room = {i: -(-n // k) for i in range(len(centres))}
     placed: list[DataFrame] = []
@@ -213,8 +253,6 @@ def nearest_to_centroid(
     df: DataFrame, keys: Sequence[str], by: str, k: int, seed: int = 42, lat: str = "lat", long: str = "long"
 ) -> DataFrame:
     """Per group, the (k-1)/k rows nearest to a randomly picked row train, the rest test."""
-    from terracell.functions.util import md5_order
-
     picked = df.groupBy(by).agg(
         F.min_by(F.struct(F.col(lat).alias("y"), F.col(long).alias("x")), md5_order(*keys, seed=seed)).alias("_p"),
         F.count(F.lit(1)).alias("_n"),
@@ -238,5 +276,13 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     return shuffled_position(df, keys, seed=seed, name="_pos").filter(F.col("_pos") <= n).drop("_pos")
 
 
-def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def sample_with_replacement(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42, name: str = "draws") -> DataFrame:
+    """Exactly ``n`` draws: each row that is drawn, with the number of times. An empty table gives no rows.
+
+    A draw's md5 names a position of the shuffle, so the outcome does not depend on the partitioning. Draws are
+    counted per position before they meet the rows.
+    """
+    total = F.nullif(df.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(0))
+    at = F.conv(F.substring(md5_order("id", seed=seed + 1), 1, 15), 16, 10).cast("bigint")
+    draws = df.sparkSession.range(n).groupBy((F.pmod(at, total) + 1).alias("_pos")).agg(F.count(F.lit(1)).alias(name))
+    return shuffled_position(df, keys, seed=seed, name="_pos").join(draws, "_pos").drop("_pos")

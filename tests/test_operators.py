@@ -154,6 +154,28 @@ def test_groups_of_any_number_are_dealt_alike(spark):
         assert len(sizes) == 3 and max(sizes) - min(sizes) <= largest
 
 
+def test_spatial_groups_do_not_change_with_the_partitioning(spark):
+    df = spark.range(90).select(
+        F.col("id").alias("hex_code"), (F.col("id") * 37 % 53 / 7.0).alias("lat"), (F.col("id") * 61 % 47 / 9.0).alias("long")
+    )
+    got = [
+        {r["hex_code"]: r["group"] for r in folds.spatial_groups(d, 3).collect()} for d in (df.coalesce(1), df.repartition(7))
+    ]
+    assert got[0] == got[1] and sorted(got[0]) == list(range(90))
+    lost = spark.createDataFrame([(1, None, None)], "hex_code long, lat double, long double")
+    assert [r["group"] for r in folds.spatial_groups(lost, 3).collect()] == [None]
+
+
+def test_draws_with_replacement(spark):
+    df = spark.range(40).select((F.col("id") * 3).alias("k"), F.lit("x").alias("id"))
+    one = {r["k"]: r["draws"] for r in folds.sample_with_replacement(df, ["k"], 500).collect()}
+    assert sum(one.values()) == 500 and set(one) <= {3 * i for i in range(40)} and max(one.values()) > 1
+    other = folds.sample_with_replacement(df.repartition(7), ["k"], 500).collect()
+    assert {r["k"]: r["draws"] for r in other} == one
+    assert folds.sample_with_replacement(df.filter("k < 0"), ["k"], 5).count() == 0
+    assert folds.sample_with_replacement(df, ["k"], 0).count() == 0
+
+
 def test_spatial_groups_are_balanced_even_when_points_pile_up(spark):
     rng = random.Random(0)
     rows = [(i, 5 + rng.random() * (0.01 if i % 3 == 0 else 5), 5 + rng.random() * (0.01 if i % 3 == 0 else 5)) for i in range(301)]
