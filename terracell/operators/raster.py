@@ -43,9 +43,21 @@ def drop_missing(wide: DataFrame, bands: Sequence[str], null_policy: str) -> Dat
     return wide.na.drop("any" if null_policy == "any" else "all", subset=list(bands))
 
 
+def beside_meta(rows: DataFrame, meta: DataFrame, columns: Sequence[str], by: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Rows with columns of their raster's metadata.
+
+    The rows of a raster are dealt to buckets by the hash of ``by`` and its metadata row goes to each bucket, so
+    that a large raster is not one task when the join is a shuffle.
+    """
+    buckets = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    copies = meta.select("raster", *columns, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
+    return dealt.join(copies, ["raster", "_bucket"]).drop("_bucket")
+
+
 def mask_nodata(wide: DataFrame, meta: DataFrame, bands: Sequence[str]) -> DataFrame:
     """Null where a band holds its raster's nodata mark."""
-    marked = wide.join(meta.select("raster", "nodata"), "raster")
+    marked = beside_meta(wide, meta, ["nodata"])
     masked = {b: F.when(F.col("nodata").isNull() | (F.col(b) != F.col("nodata")), F.col(b)) for b in bands}
     return marked.withColumns(masked).drop("nodata")
 
