@@ -46,3 +46,10 @@ def test_masked_pixels_of_one_raster_are_many_tasks(spark):
         assert out.columns == ["raster", "row", "col", "b1"]
         assert out.count() == 4000 and out.filter("b1 IS NULL").count() == pixels(spark).filter("b1 = 3").count()
         assert largest(out) < 2000
+
+
+def test_wide_and_stored_pixels_of_one_raster_are_many_tasks(spark):
+    with shuffled(spark):
+        long = raster.to_long(raster.mask_nodata(pixels(spark), metadata(spark), ["b1"]), ["b1"])
+        assert largest(long) < 2000
+        assert raster.to_wide(long, ["b1"]).count() == pixels(spark).filter("b1 <> 3").count()
