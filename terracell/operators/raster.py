@@ -124,9 +124,8 @@ def refuse_wide(meta: DataFrame, max_bands: int = 5) -> DataFrame:
 
 def locate(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     """Pixels with the geographic ``lat`` and ``long`` of their centres."""
-    affine = meta.select("raster", "crs", *"abcdef")
     centre = geom.pixel_centre(None, "row", "col")
-    out = pixels.join(affine, "raster").withColumns({"_x": centre["x"], "_y": centre["y"]})
+    out = beside_meta(pixels, meta, ["crs", *"abcdef"]).withColumns({"_x": centre["x"], "_y": centre["y"]})
     x, y = F.col("_x"), F.col("_y")
     mercator = geom.transform_xy(x, y, "EPSG:3857", "EPSG:4326")
     equal = geom.transform_xy(x, y, "equal-area-km", "EPSG:4326")
@@ -332,9 +331,8 @@ def windows_at(
     Positions off the raster or without a pixel are zero, on the side where they are missing.
     """
     names = F.array(*[F.lit(r) for r in rasters])
-    asked = points.select(key, "lat", "long", F.explode(names).alias("raster")).join(
-        meta.select("raster", *"abcdef"), "raster"
-    )
+    asked = points.select(key, "lat", "long", F.explode(names).alias("raster"))
+    asked = beside_meta(asked, meta, [*"abcdef"], by=[key])
     spot = geom.pixel_at("long", "lat")
     placed = asked.withColumns({"_row": spot["row"], "_col": spot["col"]}).select(key, "raster", "_row", "_col")
     spots = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(

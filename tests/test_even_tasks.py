@@ -53,3 +53,12 @@ def test_wide_and_stored_pixels_of_one_raster_are_many_tasks(spark):
         long = raster.to_long(raster.mask_nodata(pixels(spark), metadata(spark), ["b1"]), ["b1"])
         assert largest(long) < 2000
         assert raster.to_wide(long, ["b1"]).count() == pixels(spark).filter("b1 <> 3").count()
+
+
+def test_located_pixels_and_windows_of_one_raster_are_many_tasks(spark):
+    with shuffled(spark):
+        at = raster.locate(pixels(spark), metadata(spark))
+        assert at.columns == ["raster", "row", "col", "b1", "long", "lat"]
+        assert largest(at) < 2000
+        one = at.filter("row = 3 AND col = 4").first()
+        assert (one["long"], one["lat"]) == pytest.approx((1.45, 8.65))
