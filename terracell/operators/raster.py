@@ -392,7 +392,7 @@ def slope_degrees(pixels: DataFrame, meta: DataFrame, band: str) -> DataFrame:
     met = sent.groupBy("raster", "row", "col").agg(
         *[F.max(F.when(F.col("_s") == s, F.col("_v"))).alias(f"_{s}") for s in sides]
     )
-    sized = met.filter("_o IS NOT NULL").join(meta.select("raster", "a", "e"), "raster")
+    sized = beside_meta(met.filter("_o IS NOT NULL"), meta, ["a", "e"])
     dx = (F.col("_e") - F.col("_w")) / (F.lit(2.0) * F.abs("a"))
     dy = (F.col("_n") - F.col("_s")) / (F.lit(2.0) * F.abs("e"))
     return sized.select("raster", "row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))

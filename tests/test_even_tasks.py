@@ -62,3 +62,10 @@ def test_located_pixels_and_windows_of_one_raster_are_many_tasks(spark):
         assert largest(at) < 2000
         one = at.filter("row = 3 AND col = 4").first()
         assert (one["long"], one["lat"]) == pytest.approx((1.45, 8.65))
+
+
+def test_slopes_of_one_raster_are_many_tasks(spark):
+    with shuffled(spark):
+        out = raster.slope_degrees(pixels(spark), metadata(spark), "b1")
+        assert out.count() == 4000 and out.filter("slope IS NOT NULL").count() == 78 * 48
+        assert largest(out) < 2000
