@@ -35,9 +35,15 @@ def stddev_over_time(images: DataFrame, name: str = "value") -> DataFrame:
 
 
 def latest_image(images: DataFrame) -> DataFrame:
-    """Pixels of the newest image of each collection, undated ones last; equal times are averaged."""
-    newest = images.groupBy("collection").agg(F.max("ts").alias("_ts")).withColumnRenamed("collection", "_c")
-    on = F.col("collection").eqNullSafe(F.col("_c")) & F.col("ts").eqNullSafe(F.col("_ts"))
+    """Pixels of the newest image of each collection, undated ones last; equal times are averaged.
+
+    A collection's pixels are dealt to buckets by their place and its newest time goes to each bucket.
+    """
+    buckets = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b")
+    newest = images.groupBy("collection").agg(F.max("ts").alias("_ts")).select(F.col("collection").alias("_c"), "_ts", every)
+    bucket = F.pmod(F.xxhash64("row", "col"), F.lit(buckets)).cast("int")
+    on = F.col("collection").eqNullSafe(F.col("_c")) & F.col("ts").eqNullSafe(F.col("_ts")) & (bucket == F.col("_b"))
     return images.join(newest, on, "left_semi").groupBy(*PIXEL).agg(F.avg("value").alias("value"))
 
 

@@ -69,3 +69,17 @@ def test_slopes_of_one_raster_are_many_tasks(spark):
         out = raster.slope_degrees(pixels(spark), metadata(spark), "b1")
         assert out.count() == 4000 and out.filter("slope IS NOT NULL").count() == 78 * 48
         assert largest(out) < 2000
+
+
+def test_newest_image_of_one_collection_is_many_tasks(spark):
+    images = pixels(spark).select(
+        F.lit("c").alias("collection"), F.lit("q").alias("band"), F.when(F.col("row") < 78, F.lit(None)).otherwise(F.col("row")).alias("ts"), "row", "col", F.col("b1").alias("value")
+    )
+    undated = images.withColumn("ts", F.lit(None).cast("long"))
+    with shuffled(spark):
+        assert imagery.latest_image(images).count() == 50
+        out = imagery.latest_image(undated)
+        assert out.count() == 4000
+        # the join before the aggregate: rows of the collection are dealt by place
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64(row" in plan and "LeftSemi" in plan
