@@ -274,7 +274,8 @@ def match_grid(
         (share_r * share_c).alias("_w"),
     ).filter("_w > 0")
     src = pixels.select(F.col("raster"), F.col("row").alias("_r"), F.col("col").alias("_c"), *bands)
-    met = asked.join(src, ["raster", "_r", "_c"])
+    # the planner doesn't see that the grid's rows become pixels, and would broadcast them
+    met = asked.join(src.hint("merge"), ["raster", "_r", "_c"])
     return met.groupBy("raster", "row", "col").agg(
         *[
             F.try_divide(

@@ -83,3 +83,12 @@ def test_newest_image_of_one_collection_is_many_tasks(spark):
         # the join before the aggregate: rows of the collection are dealt by place
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "xxhash64(row" in plan and "LeftSemi" in plan
+
+
+def test_resampling_broadcasts_no_pixels(spark):
+    with shuffled(spark, **{"spark.sql.autoBroadcastJoinThreshold": "10485760"}):
+        out, _ = raster.resample(pixels(spark), metadata(spark), 2.0, ["b1"])
+        assert out.count() == 4 * 4000
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        large = plan[: plan.index("SortMergeJoin")]
+        assert "BroadcastHashJoin" not in large
