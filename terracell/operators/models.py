@@ -163,12 +163,18 @@ def fit_tuned(
     """Best of several learners and grids by cross validation on the given fold column.
 
     ``start`` has the parameters of an earlier run (``sinks.earlier_best``): its learner and its values, also those
-    outside the grid, are tried first and win ties.
+    outside the grid, are tried first and win ties. The rows are made once for all fits.
     """
-    rows = df.filter(F.col(target).isNotNull())
+    rows = df.filter(F.col(target).isNotNull()).persist()
+    try:
+        return _best_learner(rows, target, features, fold, learners or default_learners(seed), metric, parallelism, k, seed, start or {})
+    finally:
+        rows.unpersist()
+
+
+def _best_learner(rows, target, features, fold, learners, metric, parallelism, k, seed, start) -> FitResult:
     trials, best = [], None
-    start = start or {}
-    several = (learners or default_learners(seed)).items()
+    several = learners.items()
     for name, (est, options) in sorted(several, key=lambda kv: kv[0] not in start.get("learner", ())):
         est = est.copy({est.featuresCol: features, est.labelCol: target})
         maps = _start_maps(name, est, start)
@@ -217,7 +223,7 @@ def random_search(
     fold: str | None = "fold",
     seed: int = 42,
 ) -> FitResult:
-    """Random parameter draws, mean MAE over the folds, best kept."""
+    """Random parameter draws, mean MAE over the folds, best kept. The rows are made once for all fits."""
     rng = random.Random(seed)
     every = list(itertools.product(*space.values()))
     drawn = rng.sample(every, min(n_trials, len(every)))
@@ -232,7 +238,11 @@ def random_search(
         parallelism=2,
         **({"foldCol": fold} if fold else {}),
     )
-    fitted = cv.fit(df.filter(F.col(target).isNotNull()))
+    rows = df.filter(F.col(target).isNotNull()).persist()
+    try:
+        fitted = cv.fit(rows)
+    finally:
+        rows.unpersist()
     scores = list(fitted.avgMetrics)
     at = scores.index(min(scores))
     named = [{p.name: v for p, v in m.items()} for m in maps]
@@ -329,16 +339,20 @@ def stepwise_search(
     """
     chosen: dict = {}
     result, trials = None, []
-    for name, values in space.items():
-        base = estimator.copy({estimator.getParam(n): v for n, v in chosen.items()})
-        if patience is None:
-            step = random_search(df, target, base, {name: values}, len(values), k, features, fold, seed)
-        else:
-            step = early_stopped_search(df, target, base, {name: values}, patience, max_rounds, k, features, fold)
-        trials += [{**chosen, **t} for t in step.trials]
-        if result is None or step.cv_score <= result.cv_score:
-            chosen |= step.params
-            result = step
+    rows = df.persist()  # once for all steps
+    try:
+        for name, values in space.items():
+            base = estimator.copy({estimator.getParam(n): v for n, v in chosen.items()})
+            if patience is None:
+                step = random_search(rows, target, base, {name: values}, len(values), k, features, fold, seed)
+            else:
+                step = early_stopped_search(rows, target, base, {name: values}, patience, max_rounds, k, features, fold)
+            trials += [{**chosen, **t} for t in step.trials]
+            if result is None or step.cv_score <= result.cv_score:
+                chosen |= step.params
+                result = step
+    finally:
+        rows.unpersist()
     return FitResult(target, result.model, chosen, result.cv_score, trials)
 
 
