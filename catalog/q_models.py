@@ -12,15 +12,17 @@ from catalog.q_jobs import work_dir
 from catalog.q_prep import survey_features
 from terracell.operators import evaluate as ev
 from terracell.operators import folds, models, quality, twostage
+from terracell.session import cut_lineage
 from terracell.sources import sinks
 
 X = ["lat", "long", "age"]
 
 
 def ready(spark, d):
-    f = survey_features(spark, d).na.drop(subset=X)
+    """Cells with features and folds, stored: the survey is read once, however many fits follow."""
+    f = cut_lineage(survey_features(spark, d).na.drop(subset=X))
     v = VectorAssembler(inputCols=X, outputCol="features").transform(f)
-    return folds.random_folds(v, ["hex_code"], 3)
+    return cut_lineage(folds.random_folds(v, ["hex_code"], 3))
 
 
 @query("M1 M2 M4 T6", None)
