@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
 from terracell.operators.ranking import column_quantiles, shuffled_position
+from terracell.session import cut_lineage
 
 
 def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> dict[str, float]:
@@ -315,17 +316,18 @@ def select_features(
 
     Returns accepted, tentative and rejected names (one-sided binomial test, corrected for the
     number of features). By default there are five trials more than the test needs to tell anything.
+    The rows are stored once, and each trial's shuffled twins are made once for all passes of its fit.
     """
     least = math.floor(math.log2(len(columns) / p_value)) + 1
     n_trials = least + 5 if n_trials is None else n_trials
     if n_trials < least:
         raise ValueError(f"{n_trials} trials can't accept one of {len(columns)} features; take {least} or more")
-    rows = df.select(key, *columns, target).na.drop()
+    rows = cut_lineage(df.select(key, *columns, target).na.drop())
     hits = dict.fromkeys(columns, 0)
     for trial in range(n_trials):
         both = shadow_columns(rows, columns, key, seed + trial)
         names = [*columns, *[f"shadow_{c}" for c in columns]]
-        vec = VectorAssembler(inputCols=names, outputCol="features").transform(both)
+        vec = cut_lineage(VectorAssembler(inputCols=names, outputCol="features").transform(both))
         est = estimator or RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed + trial)
         est = est.copy({est.labelCol: target, est.featuresCol: "features"})
         gain = est.fit(vec).featureImportances.toArray()

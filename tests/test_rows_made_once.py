@@ -38,3 +38,11 @@ def test_stepwise_search_makes_rows_once(spark):
     found = models.stepwise_search(vec, "y", forest, {"maxDepth": [1, 3], "minInstancesPerNode": [1, 8]}, k=3)
     assert set(found.params) == {"maxDepth", "minInstancesPerNode"} and len(found.trials) == 4
     assert made.value <= N
+
+
+def test_selection_makes_rows_once(spark):
+    rows, made = counted(spark)
+    noisy = rows.withColumn("z", F.pmod(F.xxhash64("hex_code"), F.lit(11)).cast("double"))
+    found = prep.select_features(noisy, ["x", "z"], "y", n_trials=6)
+    assert sorted(sum(found.values(), [])) == ["x", "z"]
+    assert made.value <= 2 * N  # a checkpoint may make them once more than it stores them
