@@ -19,10 +19,10 @@ X = ["lat", "long", "age"]
 
 
 def ready(spark, d):
-    """Cells with features and folds, stored: the survey is read once, however many fits follow."""
+    """Cells with features, stored, so that the survey is read once however many fits follow, and folds."""
     f = cut_lineage(survey_features(spark, d).na.drop(subset=X))
     v = VectorAssembler(inputCols=X, outputCol="features").transform(f)
-    return cut_lineage(folds.random_folds(v, ["hex_code"], 3))
+    return folds.random_folds(v, ["hex_code"], 3)
 
 
 @query("M1 M2 M4 T6", None)
