@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
+from terracell.operators import neighbours
 from terracell.operators.ranking import column_quantiles, shuffled_position
 from terracell.session import cut_lineage
 
+BOXED_COLUMNS = 8
+
 
 def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> dict[str, float]:
     """Fill value per column: mean in one pass, or the exact median from counted values."""
@@ -232,19 +235,30 @@ def knn_values(
 ) -> DataFrame:
     """(key, _f_<column>...): the mean of the k nearest donors for each missing value, by distance over the shared columns.
 
-    Exact for any size and skew: rows are dealt to even hash blocks, every block of incomplete
-    rows meets every block of donors in one task of bounded size, and a task sends on only its k
-    best donors per missing value, never the pairs; of these the k best are kept by a ranking that is limited
+    Exact for any size and skew. Up to ``BOXED_COLUMNS`` columns, a row only meets the boxes of donors that may hold
+    one of the nearest (``neighbours.nearest``). With more columns, or hundreds of sets of missing ones, rows are dealt to even
+    hash blocks and every block of incomplete rows meets every block of donors in one task of bounded size. A task sends on
+    only its k best donors per missing value, never the pairs; of these the k best are kept by a ranking that is limited
     before it is shuffled. Equal distances are taken in the order of the donors' values. Distances scale for missing
     columns as sum * (all columns / shared columns). A value that no donor shares a column with stays null.
     """
+    names = list(columns)
+    asks = asks.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in names], F.lit(0)) == 1)
+    near = neighbours.nearest(asks, donors, names, key, k, max(1, block_rows // 4)) if len(names) <= BOXED_COLUMNS else None
+    if near is None:
+        near = block_candidates(asks, donors, names, key, k, block_rows)
+    order = Window.partitionBy(key, "col").orderBy("dist", "value")
+    top = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
+    return top.groupBy(key).agg(*[F.avg(F.when(F.col("col") == i, F.col("value"))).alias(f"_f_{c}") for i, c in enumerate(names)])
+
+
+def block_candidates(asks: DataFrame, donors: DataFrame, names: list[str], key: str, k: int, block_rows: int) -> DataFrame:
+    """``(key, col, dist, value)``: k nearest donors of every block of donors."""
     import numpy as np
     import pandas as pd
 
-    names = list(columns)
     kind = dict(asks.dtypes)[key]
     schema = f"`{key}` {kind}, col int, dist double, value double"
-    any_gap = F.greatest(*[F.col(c).isNull().cast("int") for c in names], F.lit(0)) == 1
 
     def blocks_of(df: DataFrame) -> int:
         return max(1, -(-df.count() // block_rows))
@@ -254,7 +268,6 @@ def knn_values(
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
         return df.select(key, *[F.col(c).cast("double").alias(c) for c in names], block, every).groupBy("_ask", "_give")
 
-    asks = asks.filter(any_gap)
     n_asks, n_gives = blocks_of(asks), blocks_of(donors)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -285,10 +298,7 @@ def knn_values(
 
     left = dealt(asks, "_ask", n_asks, "_give", n_gives)
     right = dealt(donors, "_give", n_gives, "_ask", n_asks)
-    near = left.cogroup(right).applyInPandas(best, schema)
-    order = Window.partitionBy(key, "col").orderBy("dist", "value")
-    top = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
-    return top.groupBy(key).agg(*[F.avg(F.when(F.col("col") == i, F.col("value"))).alias(f"_f_{c}") for i, c in enumerate(names)])
+    return left.cogroup(right).applyInPandas(best, schema)
 
 
 def shadow_columns(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
