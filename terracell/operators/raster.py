@@ -32,7 +32,12 @@ def to_wide(
     null_policy: str = "any",
 ) -> DataFrame:
     """One column per band. Policy ``any`` drops a pixel missing in some band, ``per_band`` keeps
-    it unless every band is missing."""
+    it unless every band is missing.
+
+    Pixels are dealt to as many tasks as a shuffle has before they are grouped, so that no task groups all pixels of a file or of
+    merged partitions."""
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = long.repartition(tasks, *keys)
     picks = [F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands]
     return drop_missing(long.groupBy(*keys).agg(*picks), bands, null_policy)
 

@@ -7,7 +7,9 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from terracell.operators import imagery, raster
+from terracell.functions import grid
+from terracell.operators import imagery, raster, spatial
+from terracell.plans import features
 
 META = "raster string, crs string, a double, b double, c double, d double, e double, f double, width long, height long, nodata double, n_bands long"
 
@@ -92,3 +94,30 @@ def test_resampling_broadcasts_no_pixels(spark):
         plan = out._jdf.queryExecution().sparkPlan().toString()
         large = plan[: plan.index("SortMergeJoin")]
         assert "BroadcastHashJoin" not in large
+
+
+def test_pixels_of_one_file_are_grouped_in_many_tasks(spark):
+    with shuffled(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "true"}):
+        out = raster.to_wide(raster.to_long(pixels(spark).coalesce(1), ["b1"]), ["b1"])
+        assert out.count() == 4000 and largest(out) < 2000
+
+
+BOXES = "id, 2 + id % 60 / 10.0 AS minx, 3 + id % 50 / 10.0 AS miny, 4 + id % 60 / 10.0 AS maxx, 5 + id % 50 / 10.0 AS maxy"
+
+
+def test_boxes_of_one_file_meet_areas_in_many_tasks(spark):
+    ring = "POLYGON ((2 3, 9 3, 9 8, 2 8, 2 3))"
+    areas = spark.createDataFrame([(1, ring)], "k int, geometry string").coalesce(1)
+    with shuffled(spark, **{"spark.sql.autoBroadcastJoinThreshold": "10485760", "spark.sql.adaptive.coalescePartitions.enabled": "true"}):
+        boxes = spark.range(3000).coalesce(1).selectExpr(*BOXES.split(", "))
+        out = spatial.boxes_meeting_areas(boxes, areas, "k")
+        assert out.count() == 3000 and largest(out) < 1500
+
+
+def test_tiles_of_one_file_meet_cells_in_many_tasks(spark):
+    tiles = spark.range(3000).coalesce(1).selectExpr(*BOXES.split(", "), "1.0 AS v").withColumns({"maxx": F.col("minx") + 0.05, "maxy": F.col("miny") + 0.05})
+    cells = tiles.select(grid.cell_of("miny", "minx", 4).alias("hex_code")).distinct()
+    out = features.areal_interpolation(cells, tiles, 4, "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition 8, true") == 2  # cells and tiles
+    assert out.filter("v = 1").count() == cells.count()
