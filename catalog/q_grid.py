@@ -282,7 +282,9 @@ def zone_overlap_with_tile(spark, d):
     z = v_zone(spark, d)
     met = spatial.boxes_meeting_areas(t, z, "zone_id").join(z.select("zone_id", geom.parse_wkt("geometry").alias("g")), "zone_id")
     cut = geom.area_km2(geom.clip_to_box("g", "minx", "miny", "maxx", "maxy"))
-    return rounded(met.select("p_partkey", "zone_id", F.round(cut, 4).alias("overlap_km2")).filter("overlap_km2 > 0"))
+    # exploded, so that the area is computed once and not in a filter below, too
+    above = F.explode(F.filter(F.array(F.round(cut, 4)), lambda v: v > 0))
+    return rounded(met.select("p_partkey", "zone_id", above.alias("overlap_km2")))
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import geom, grid
 from terracell.functions.util import as_col
+from terracell.session import spread as spread_rows
 
 
 def _bin(v: Column, size: float) -> Column:
@@ -101,12 +102,13 @@ def boxes_meeting_areas(
 
     A pair that meets in several bins is reported in one of them only, the one holding the lower
     corner of the two bounding boxes' overlap, so no distinct is needed. That bin need not touch the
-    area, so the areas keep every bin of their bounding box.
+    area, so the areas keep every bin of their bounding box. Boxes and bins are spread over the tasks first: the
+    planner may broadcast either side, and the rows of a small file are much work in one task.
     """
     minx, miny, maxx, maxy = (F.col(c) for c in box)
     prepared = areas.select(F.col(key), geom.parse_wkt(geometry).alias("_parts"))
     bins = area_bins(prepared, key, "_parts", size, margin, whole_box=True).withColumnRenamed("box", "_area")
-    spread = boxes.withColumn(
+    spread = spread_rows(boxes).withColumn(
         "_bx", F.explode(F.sequence(_bin(minx, size), _bin(maxx, size)))
     ).withColumn("_by", F.explode(F.sequence(_bin(miny, size), _bin(maxy, size))))
     a = F.col("_area")
@@ -118,7 +120,7 @@ def boxes_meeting_areas(
         F.raise_error(F.lit(f"a box is taller than {margin} degrees")).cast("boolean")
     )
     meets = fits & (F.col("full") | geom.box_meets_edges(minx, miny, maxx, maxy, "edges"))
-    return spread.join(bins, ["_bx", "_by"]).filter(overlap & here & meets).select(*boxes.columns, key)
+    return spread.join(spread_rows(bins), ["_bx", "_by"]).filter(overlap & here & meets).select(*boxes.columns, key)
 
 
 def cover_cells(areas: DataFrame, key: str, res: int, geometry: str = "geometry") -> DataFrame:
