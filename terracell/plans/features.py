@@ -12,6 +12,7 @@ from terracell.operators import aggregates as agg
 from terracell.operators import columns as cols
 from terracell.operators import spatial
 from terracell.schema import RADIOS, ZERO_FILL
+from terracell.session import spread
 
 
 def country_shape(boundaries: DataFrame, country: str, name: str = "NAME", level: int | None = None) -> DataFrame:
@@ -121,10 +122,13 @@ def areal_interpolation(
     """Tile values onto cells: plain means over touching tiles and the area-weighted sum.
 
     Cells and tiles meet on lattice bins and a pair counts in one bin only; shares are planar in
-    degrees.
+    degrees. Both are spread over the tasks, as the planner may broadcast either, and what only depends on the cell is
+    computed before they meet.
     """
     ring = grid.cell_boundary("hex_code", res)
-    hexes = cells.select("hex_code", F.array(F.array(ring)).alias("_h")).withColumn("_b", geom.bounds("_h"))
+    hexes = cells.select("hex_code", F.array(F.array(ring)).alias("_h")).withColumns(
+        {"_b": geom.bounds("_h"), "_e": geom.edges_of("_h"), "_size": geom.planar_area("_h")}
+    )
 
     def bins(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long")))
@@ -143,10 +147,10 @@ def areal_interpolation(
         & (F.col("_b.miny") <= F.col("maxy"))
         & (F.col("_b.maxy") >= F.col("miny"))
     )
-    touching = geom.box_meets_edges("minx", "miny", "maxx", "maxy", geom.edges_of("_h"))
-    met = left.join(right, ["bx", "by"]).filter(here & touching)
+    touching = geom.box_meets_edges("minx", "miny", "maxx", "maxy", "_e")
+    met = spread(left).join(spread(right), ["bx", "by"]).filter(here & touching)
     cut = geom.planar_area(geom.clip_to_box("_h", "minx", "miny", "maxx", "maxy"))
-    share = met.withColumn("_share", F.coalesce(cut, F.lit(0.0)) / geom.planar_area("_h"))
+    share = met.withColumn("_share", F.coalesce(cut, F.lit(0.0)) / F.col("_size"))
     out = [F.avg(value).alias(value), F.sum(F.col("_share") * F.col(value)).alias(f"weighted_{value}")]
     if error:
         out.append(F.avg(error).alias(error))
