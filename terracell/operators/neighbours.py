@@ -229,10 +229,7 @@ def nearest(asks: DataFrame, donors: DataFrame, names: Sequence[str], key: str,
                 c, cv, ck = b[pick], b[pick, j], other[pick]
                 for rows in np.array_split(np.arange(len(a)), 1 + len(a) * len(c) // MOST_PAIRS):
                     x = a[rows]
-                    d = np.zeros((len(rows), len(c)))
-                    for i in share:
-                        d += (x[:, i][:, None] - c[:, i][None, :]) ** 2
-                    d = d * n / len(share)
+                    d = distances(x, c, len(share))
                     d[own[rows][:, None] == ck[None, :]] = np.inf
                     limit = np.partition(d, k - 1, axis=1)[:, k - 1] if len(c) >= k else np.full(len(rows), np.inf)
                     r, at = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
@@ -274,16 +271,32 @@ def nearest(asks: DataFrame, donors: DataFrame, names: Sequence[str], key: str,
     return found.select(F.col("_key").alias(key), "col", "dist", "value")
 
 
+def distances(a, b, shared: int):
+    """All pairs' distances by products of matrices; rows of one group and those that ask it have ``shared`` columns in common."""
+    import numpy as np
+
+    ma, mb = ~np.isnan(a), ~np.isnan(b)
+    a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
+    sq = (a0**2) @ mb.T - 2 * a0 @ b0.T + ma @ (b0**2).T
+    return np.maximum(sq, 0.0) * a.shape[1] / shared
+
+
 def onward(group: Group, x, limit, home: int, names: int):
-    """(rows, boxes): the other boxes in which a row may find a donor as near as ``limit``."""
+    """(rows, boxes): the other boxes in which a row may find a donor as near as ``limit``.
+
+    The limit is widened by more than a distance can be off: it is a difference of squares.
+    """
     import numpy as np
 
-    low, high = x[:, list(group.share)].min(axis=0), x[:, list(group.share)].max(axis=0)
+    own = x[:, list(group.share)]
+    low, high = own.min(axis=0), own.max(axis=0)
+    squares = (own**2).sum(axis=1) + (np.maximum(np.abs(group.low), np.abs(group.high)).max(axis=0) ** 2).sum()
+    limit = limit * (1 + 1e-9) + squares * (names / len(group.share)) * 1e-12
     gap = np.maximum(np.maximum(group.low - high, low - group.high), 0.0)
-    near = (gap**2).sum(axis=1) * names / len(group.share) <= limit.max() * (1 + 1e-9)
+    near = (gap**2).sum(axis=1) * names / len(group.share) <= limit.max()
     which = np.flatnonzero(near & (group.box != home))
     for rows in np.array_split(np.arange(len(x)), 1 + len(x) * len(which) // MOST_PAIRS):
-        r, at = np.nonzero(group.squares(x[rows], names, which) <= limit[rows][:, None] * (1 + 1e-12))
+        r, at = np.nonzero(group.squares(x[rows], names, which) <= limit[rows][:, None])
         yield rows[r], group.box[which[at]]
 
 
