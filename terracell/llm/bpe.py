@@ -10,7 +10,8 @@ merging in rank order gives.
 Decoding gathers the tokens' bytes from one string by a table of offsets, a batch at a time.
 
 Everything is per row: rows stream through Arrow batches in tasks that Spark deals out, no shuffle.
-Pieces of up to 64 characters are remembered in tables of bounded size.
+Pieces of up to 64 characters are remembered in tables of bounded size, their ids packed. Batches are small, so that
+a worker's memory is that of its tables.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to the empty text; an id
 outside the vocabulary raises; bytes that are no UTF-8 decode to the replacement character. Texts of
@@ -22,9 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from terracell.llm.common import fresh, replace_columns, whole
+from terracell.llm.common import fresh, in_small_batches, replace_columns, whole
 
 #: Rule that cuts a text into pieces (fixed value of byte-level vocabularies).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,14 +61,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """Ids by string, computed when missing; of two halves the older one goes when the younger is full."""
+    """Packed ids by string, computed when missing; of two halves the older one goes when the younger is full."""
 
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most = encode, most // 2
-        self.older: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> list[int]:
+    def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
         if ids is None:
             ids = self.encode(key)
@@ -96,7 +97,7 @@ class BytePairs:
             if self.rank[both] < 0:
                 self.rank[both], self.halves[both] = r, (left, right)
         self.fit: dict[tuple[int, int], bool] = {}
-        self.pieces = Remembered(lambda piece: self.encode_piece(piece.encode("utf-8")), REMEMBERED_PIECES)
+        self.pieces = Remembered(lambda piece: self.packed(self.encode_piece(piece.encode("utf-8"))), REMEMBERED_PIECES)
         self.runs = Remembered(self.encode_run, REMEMBERED)
         self.automaton = None
         self.cut = None
@@ -120,6 +121,7 @@ class BytePairs:
                 self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.size = [len(self.token.get(i, b"")) for i in range(max(self.token) + 1)]
+        self.alone = [array("i", [i]).tobytes() for i in range(max(self.token) + 1)]
         self.shorter = self.prefixes()
         self.cut, self.cut_runs = regex.compile(PIECES), re.compile(RUNS)
         self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
@@ -194,24 +196,30 @@ class BytePairs:
                 last = out[-1] if out else -1
         return out
 
-    def encode_run(self, run: str) -> list[int]:
+    def packed(self, ids: list[int]) -> bytes:
+        """Ids as bytes, four each: less than half of a list's memory, and one object for all that is a single token."""
+        return self.alone[ids[0]] if len(ids) == 1 else array("i", ids).tobytes()
+
+    def encode_run(self, run: str) -> bytes:
         if (run[1:] if run[0] == " " else run).isalpha():
-            return self.encode_piece(run.encode("utf-8"))  # letters only are one piece
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.cut.findall(run))))
+            return self.packed(self.encode_piece(run.encode("utf-8")))  # letters only are one piece
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(run)))
 
-    def encode_plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.runs.__getitem__, self.cut_runs.findall(text))))
+    def encode_plain(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, self.cut_runs.findall(text)))
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> np.ndarray:
+        """The ids of ``text`` as 32-bit numbers."""
         if not self.apart.search(text):
-            return self.encode_plain(text)
-        ids, at = [], 0
+            return np.frombuffer(self.encode_plain(text), dtype=np.int32)
+        parts, at = [], 0
         for m in self.apart.finditer(text):
-            ids.extend(self.encode_plain(text[at : m.start()]))
-            ids.append(self.added[m.group()])
+            parts += [self.encode_plain(text[at : m.start()]), array("i", [self.added[m.group()]]).tobytes()]
             at = m.end()
-        ids.extend(self.encode_plain(text[at:]))
-        return ids
+        return np.frombuffer(b"".join([*parts, self.encode_plain(text[at:])]), dtype=np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encoded(text).tolist()
 
 
 def offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +250,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary, text_col: str,
     model.ready()
     for batch in sliced(batches):
         texts = batch.column(batch.schema.get_field_index(text_col))
-        ids = [np.array(model.encode(t.as_py()), dtype=np.int32) for t in texts]
+        ids = [model.encoded(t.as_py()) for t in texts]
         offsets = np.zeros(len(ids) + 1, dtype=np.int32)
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
@@ -303,7 +311,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], vocabulary, table, text_co
 
     for batch in sliced(batches):
         texts = batch.column(batch.schema.get_field_index(text_col))
-        rows = [told(np.array(model.encode(t.as_py()), dtype=np.int64)) for t in texts]
+        rows = [told(model.encoded(t.as_py())) for t in texts]
         kept = [i for i, name in enumerate(batch.schema.names) if name != text_col]
         made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
         yield pa.RecordBatch.from_arrays(
@@ -316,6 +324,7 @@ def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     One Python worker a task holds the tables, and neither ids nor decoded texts are handed over.
     """
+    in_small_batches(df.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     with open(path, encoding="utf-8") as f:
         table = df.sparkSession.sparkContext.broadcast(offsets(f.read()))
@@ -337,6 +346,7 @@ def shared_vocabulary(df: DataFrame, path: str):
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text_col`` (array of int)."""
+    in_small_batches(df.sparkSession)
     vocabulary = shared_vocabulary(df, path)
     df = replace_columns(df, [ids_col]) if ids_col != text_col else df
     work = fresh(df, "text_to_encode")
@@ -348,6 +358,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col``."""
+    in_small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         table = df.sparkSession.sparkContext.broadcast(offsets(f.read()))
     df = replace_columns(df, [text_col]) if ids_col != text_col else df

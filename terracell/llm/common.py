@@ -14,6 +14,9 @@ from terracell.session import cut_lineage, ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = ("\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d")
+#: Size of the batches that whole texts go to Python in (both sides hold buffers of up to twice that), and its setting.
+BATCH_BYTES = 4 * 2**20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,15 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Lets Python stages of this session have batches of ``BATCH_BYTES`` and one row, unless the session has its own size.
+
+    Spark's default, 64 MB and 10,000 rows, is a whole task's texts in one batch.
+    """
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
