@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.operators.prep import add_indicators, fill, fit_fill, knn_values
-from terracell.session import cut_lineage
+from terracell.session import cut_lineage, spread
+
+ROWS_A_TASK = 2**17
 
 
 class FillParams(Params):
@@ -61,11 +63,23 @@ def incomplete(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return sorted((c for c in columns if counts[c] > 0), key=lambda c: (counts[c], c))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` (stored) in even tasks of at most some ``ROWS_A_TASK`` rows; as it lies where no task has more.
+
+    A forest draws its rows by their place: each task's rows are sorted, so that reruns draw the same ones.
+    """
+    sizes = df.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    if (sizes["most"] or 0) <= ROWS_A_TASK:
+        return df
+    return cut_lineage(df.repartition(-(-sizes["n"] // ROWS_A_TASK)).sortWithinPartitions(*df.columns))
+
+
 class ChainImputer(Estimator, FillParams, DefaultParamsReadable, DefaultParamsWritable):
     """Round-robin regression of each incomplete column on the others, starting from the means.
 
     ``kind`` is ``linear`` or ``forest``. Rounds stop early when the mean change of the filled cells is below ``tol``
-    deviations. A round is one checkpoint, so the plan does not grow with the rounds.
+    deviations. A round is one checkpoint, so the plan does not grow with the rounds. Rows of a large file that lie in a
+    few tasks are dealt to more before forests are fitted.
     """
 
     kind = Param(Params._dummy(), "kind", "linear or forest", TypeConverters.toString)
@@ -98,6 +112,8 @@ class ChainImputer(Estimator, FillParams, DefaultParamsReadable, DefaultParamsWr
         state = df.select(*[F.col(c).cast("double").alias(c) for c in names], *[F.col(c).isNull().alias(f"_m_{c}") for c in gaps])
         spread = state.agg(*[F.stddev_pop(c).alias(c) for c in gaps]).first() if gaps else {}
         state = cut_lineage(fill(state, dict(zip(names, means))))
+        if gaps and self.of("kind") == "forest":
+            state = dealt(state)
         steps: list[tuple[str, object]] = []
         for _ in range(self.of("rounds") if gaps else 0):
             state = state.withColumns({f"_o_{c}": F.col(c) for c in gaps})
@@ -286,5 +302,5 @@ def filled_in_place(df: DataFrame, stage: Estimator) -> DataFrame:
     """``df`` filled by a stage fitted on itself, under the columns' own names."""
     model = stage.fit(df)
     names, suffix = model.of("columns"), model.of("suffix")
-    out = model.transform(df)
+    out = model.transform(spread(df) if isinstance(model, ForestChain) else df)
     return out.withColumns({c: F.col(c + suffix) for c in names}).drop(*[c + suffix for c in names])

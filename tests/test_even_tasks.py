@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terracell.functions import grid
-from terracell.operators import imagery, raster, spatial
+from terracell.operators import imagery, imputers, raster, spatial
 from terracell.plans import features
 
 META = "raster string, crs string, a double, b double, c double, d double, e double, f double, width long, height long, nodata double, n_bands long"
@@ -121,3 +121,39 @@ def test_tiles_of_one_file_meet_cells_in_many_tasks(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition 8, true") == 2  # cells and tiles
     assert out.filter("v = 1").count() == cells.count()
+
+
+def with_gaps(spark, n=400):
+    a = (F.col("id") % 50) / 10
+    return spark.range(n).coalesce(1).select(
+        F.col("id").alias("hex_code"), F.when(F.col("id") % 7 != 0, a).alias("a"), F.when(F.col("id") % 5 != 0, 2 * a + 1).alias("b")
+    )
+
+
+@pytest.mark.parametrize(("most", "tasks"), [(50, 8), (399, 2), (400, 1)])
+def test_forests_of_one_large_file_are_fitted_in_many_tasks(spark, monkeypatch, most, tasks):
+    monkeypatch.setattr(imputers, "ROWS_A_TASK", most, raising=False)
+    seen, step = [], imputers.ChainImputer.step
+
+    def watched(self, target):
+        est = step(self, target)
+        fit = est.fit
+        est.fit = lambda known: seen.append((known.rdd.getNumPartitions(), largest(known))) or fit(known)
+        return est
+
+    monkeypatch.setattr(imputers.ChainImputer, "step", watched)
+    df = with_gaps(spark)
+    got = [imputers.imputer("rf", ["a", "b"], [], rounds=2).fit(df).transform(df).collect() for _ in range(2)]
+    assert len(seen) == 8 and all(n == tasks and rows <= 400 / tasks + 1 for n, rows in seen)
+    assert sorted(got[0]) == sorted(got[1])  # reruns draw the same rows
+    off = [abs(r["b__x"] - 2 * r["a"] - 1) for r in got[0] if r["a"] is not None and r["b"] is None]
+    assert off and sum(off) / len(off) < 0.8
+    assert all(r["a"] is None or r["a__x"] == r["a"] for r in got[0])
+
+
+def test_rows_of_one_file_are_filled_by_forests_in_many_tasks(spark):
+    df = with_gaps(spark)
+    with shuffled(spark):
+        out = imputers.filled_in_place(df, imputers.imputer("rf", ["a", "b"], [], rounds=1))
+        assert out.columns == df.columns and out.filter("a IS NULL OR b IS NULL").count() == 0
+        assert out.count() == 400 and largest(out) < 100
