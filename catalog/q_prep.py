@@ -13,7 +13,7 @@ from catalog.fixtures import sql_axial, v_patch, v_survey, with_views
 from catalog.q_folds import TRUTH, truth
 from terracell.functions import grid
 from terracell.operators import encode, folds, imputers, prep
-from terracell.session import ensure_checkpoint_dir
+from terracell.session import ensure_checkpoint_dir, spread
 
 GAPS = """SELECT o_orderkey AS hex_code, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price,
     CASE WHEN o_orderkey % 7 <> 0 THEN cast(o_custkey % 97 AS double) END AS cust, o_orderpriority AS prio, o_orderstatus AS status FROM orders"""
@@ -189,12 +189,12 @@ def orders_with_gaps(spark, d):
 GAP_ROWS = f"SELECT hex_code, price / 1000 AS price, cust, cast(hex_code % 365 AS double) AS day FROM ({GAPS})"
 
 
-def saved_and_loaded(spark, d, stage):
+def saved_and_loaded(spark, d, stage, deal=lambda df: df):
     """All rows, filled by a pipeline that has learnt from four fifths of them, was saved and loaded."""
     g = orders_with_gaps(spark, d)
     path = f"{ensure_checkpoint_dir(spark)}/imputer-{uuid.uuid4().hex}"
     prep.pipeline([stage]).fit(g.filter("hex_code % 5 <> 0")).write().save(path)
-    out = PipelineModel.load(path).transform(g)
+    out = PipelineModel.load(path).transform(deal(g))
     return rounded(out.select("hex_code", F.col("price__x").alias("price"), F.col("cust__x").alias("cust"), F.col("cust_missing").alias("cust_missing")))
 
 
@@ -231,7 +231,7 @@ def saved_fill_neighbours(spark, d):
 
 @query("Z7 X5 X2 K13", None)
 def saved_fill_forest(spark, d):
-    return saved_and_loaded(spark, d, imputers.imputer("rf", ["price", "cust", "day"], ["cust"]))
+    return saved_and_loaded(spark, d, imputers.imputer("rf", ["price", "cust", "day"], ["cust"]), spread)
 
 
 def survey_features(spark, d):

@@ -7,6 +7,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import q_prep
 from terracell.functions import grid
 from terracell.operators import imagery, imputers, raster, spatial
 from terracell.plans import features
@@ -157,3 +158,14 @@ def test_rows_of_one_file_are_filled_by_forests_in_many_tasks(spark):
         out = imputers.filled_in_place(df, imputers.imputer("rf", ["a", "b"], [], rounds=1))
         assert out.columns == df.columns and out.filter("a IS NULL OR b IS NULL").count() == 0
         assert out.count() == 400 and largest(out) < 100
+
+
+def test_a_saved_forest_fills_rows_of_one_file_in_many_tasks(spark, monkeypatch, tmp_path):
+    orders = spark.range(400).coalesce(1).selectExpr("id AS o_orderkey", "id % 60 AS o_custkey", "'O' AS o_orderstatus", "id * 10.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    made = imputers.imputer
+    monkeypatch.setattr(imputers, "imputer", lambda *a: made(*a, rounds=1, trees=2))
+    with shuffled(spark):
+        out = q_prep.saved_fill_forest(spark, str(tmp_path))
+        assert out.count() == 400 and out.filter("price IS NULL OR cust IS NULL").count() == 0
+        assert out.filter("cust_missing = 1").count() == 58 and largest(out) < 100
