@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SPACES = ("\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d")
 #: Size of the batches that whole texts go to Python in (both sides hold buffers of up to twice that), and its setting.
 BATCH_BYTES = 4 * 2**20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Whether the files of an action's shuffles go when it ends.
+FREE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,24 @@ def in_small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions in here, such as stored and written steps, drop their shuffle files when they end.
+
+    Else these stay until the driver happens to collect its garbage, and the steps' files add up. The session's
+    own setting is back afterwards.
+    """
+    own = spark.conf.getAll.get(FREE_SETTING)
+    spark.conf.set(FREE_SETTING, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(FREE_SETTING)
+        else:
+            spark.conf.set(FREE_SETTING, own)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

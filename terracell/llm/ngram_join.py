@@ -19,9 +19,9 @@ more) also sends the keys of another seed, until one is good for it.
 **Hot keys**, held by more than ``KEY_MEMBERS`` documents, make no pairs. A document with fewer than k
 hot or empty parts shares another key with each partner, so nothing is lost. The rest, whose parts
 nearly all are hot (large groups of near copies), are linked first to one representative of the key
-they share most; those whose keys then still hold several components are compared with all of the
-rest in a grid of bounded blocks. That is exact and makes no pairs: a block returns at most one link
-for each document and component.
+they share most; those whose keys then still hold several components are compared within clusters of
+documents that these keys connect (``crowded_clusters``), each a grid of bounded blocks. That is exact
+and makes no pairs: a block returns at most one link for each document and component.
 
 Copies: documents of one set are one node (a hash of the set), sent once for each task. Keys that are
 hot within one chunk of a task are dealt out by node, not by key, so that no task gets a large group.
@@ -40,17 +40,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracell.llm.common import fresh, stored, whole, written
+from terracell.llm.common import fresh, shuffles_freed, stored, whole, written
 from terracell.llm.graph import components
 
 KEY_MEMBERS = 8
 BANDS = 40
 SEEDS = 8
 CHUNK_KEYS = 500_000
-BLOCK = 1000
+BLOCK = 4000
+BLOCK_SHINGLES = 1_500_000
 BROADCAST_IDS = 1_000_000
 DOC, KEY, PAIR, HOT = 0, 1, 2, 3
 ROWS = "kind long, a long, b long, x long, y long"
@@ -360,21 +361,6 @@ def compare_blocks(left: pa.Table, right: pa.Table, num: int, den: int) -> pa.Ta
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
-def in_grid(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """All of ``left`` against all of ``right`` (node, component, shingles), block by block."""
-    rows = [max(1, -(-df.count() // BLOCK)) for df in (left, right)]
-
-    def dealt(df: DataFrame, own: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("node", F.lit(own)), F.lit(rows[own]))
-        other = F.explode(F.sequence(F.lit(0), F.lit(rows[1 - own] - 1)))
-        df = df.withColumn(f"at{own}", block.cast("int")).withColumn(f"at{1 - own}", other)
-        return df.groupBy("at0", "at1")
-
-    return dealt(left, 0).cogroup(dealt(right, 1)).applyInArrow(
-        lambda a, b: compare_blocks(a, b, num, den), "a long, b long"
-    )
-
-
 def with_components(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -421,7 +407,8 @@ def jaccard_components(
     df: DataFrame, words: int = 5, num: int = 3, den: int = 4, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row; links are similarities of num/den or more."""
-    out = placed_rows(df, words, num, den, text_col, id_col)
+    with shuffles_freed(df.sparkSession):
+        out = placed_rows(df, words, num, den, text_col, id_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -494,18 +481,59 @@ def first_links(pairs: DataFrame, hot: DataFrame, sets: DataFrame, num: int, den
     return stored(verified(least.unionByName(star).distinct(), sets, num, den))
 
 
-def block_links(hot: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of crowded nodes whose hot keys hold several components.
+def crowded_clusters(hot: DataFrame, comps: DataFrame) -> DataFrame:
+    """(unit, node, n, component, outside, cluster) of the crowded nodes that may have links to other components.
 
-    Of two such nodes one is outside the largest component of the key that they share; these
-    are compared with all crowded nodes.
+    A node has a unit in each of its bands and seeds. Two similar nodes that share no other key share at least
+    ``spare`` hot ones. So each leaves out ``spare - 1`` keys, those of several components and the most members
+    first: that order is the same for both, and the first in it of what they share is left out by neither. Units
+    that share such a key of several components are of one cluster; of two similar nodes of two components one is
+    outside the largest component of their key.
     """
-    spread = stored(with_components(hot.select("key", "node"), comps))
-    main = spread.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"))
-    outside = spread.join(stored(main), "key").where("component <> main").select("node").distinct()
-    crowded = with_components(sets.join(hot.select("node").distinct(), "node", "left_semi"), comps)
-    crowded = stored(crowded.select("node", "component", "shingles"))
-    return in_grid(stored(crowded.join(outside, "node", "left_semi")), crowded, num, den)
+    spread = stored(with_components(hot.select("key", "node", "x"), comps))
+    several = (F.min("component") < F.max("component")).alias("several")
+    of_key = stored(spread.groupBy("key").agg(several, F.count(F.lit(1)).alias("members")))
+    order = Window.partitionBy("node", "x").orderBy(F.desc("several"), F.desc("members"), "key")
+    kept = spread.join(of_key, "key").withColumn("at", F.row_number().over(order))
+    kept = kept.where(F.col("several") & (F.col("at") >= spare_in(F.col("x"))))
+    kept = stored(kept.select("key", F.xxhash64("node", "x").alias("unit"), "node", size_in(F.col("x")).alias("n"), "component"))
+
+    of_key = kept.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.min("unit").alias("rep"))
+    main, left = F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("left")
+    of_key = stored(of_key.groupBy("key").agg(main, F.min("rep").alias("rep"), left).where("left > 1").select("key", "main", "rep"))
+    met = stored(kept.join(of_key, "key").select("rep", "unit", "node", "n", "component", (F.col("component") != F.col("main")).alias("outside")))
+    clusters = components(met.select(F.col("rep").alias("a"), F.col("unit").alias("b")).distinct())
+    clusters = stored(clusters.select(F.col("node").alias("unit"), F.col("component").alias("cluster")))
+    units = met.groupBy("unit", "node", "n", "component").agg(F.max("outside").alias("outside"))
+    return stored(units.join(clusters, "unit"))
+
+
+def block_links(hot: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of crowded nodes whose hot keys hold several components: what is outside the largest component of a
+    key against all of its cluster, in a grid of bounded blocks."""
+    units = crowded_clusters(hot, comps)
+    nodes = stored(units.select("node").distinct())
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    sets = written(sets.join(nodes, "node", "left_semi"), "sketch-crowded-sets")
+
+    def blocks(only: Column, name: str) -> Column:
+        rows, shingles = F.count_if(only), F.sum(F.when(only, F.col("n")).otherwise(0))
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).alias(name)
+
+    grid = stored(units.groupBy("cluster").agg(blocks(F.col("outside"), "lefts"), blocks(F.lit(True), "rights")))
+    units = stored(units.join(grid, "cluster"))
+
+    def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64("node", F.lit(own)), F.col(own_blocks)))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1)))
+        df = df.join(sets, "node")
+        columns = ("cluster", "i", "j", "node", "component", "shingles")
+        # new columns for each side, or the cogroup takes them for the same
+        return df.select(*[F.when(F.lit(True), F.col(c)).alias(c) for c in columns]).groupBy("cluster", "i", "j")
+
+    left = dealt(units.where("outside"), "i", "lefts", "j", "rights")
+    right = dealt(units, "j", "rights", "i", "lefts")
+    return left.cogroup(right).applyInArrow(lambda a, b: compare_blocks(a, b, num, den), "a long, b long").distinct()
 
 
 def drop_near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -515,10 +543,11 @@ def drop_near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     words are copies of nothing: they stay, but for those that repeat an id and a text.
     """
     options = {"words": 5, "num": 3, "den": 4} | options
-    rows = stored(placed_rows(df, text_col=text_col, id_col=id_col, **options).select("id", "text_key", "node", "stays"))
-    gone = stored(rows.where("not stays").select("id", "text_key").distinct())
-    again = rows.where("stays and (node is not null or id is not null)").groupBy("id", "text_key").count()
-    again = stored(again.where("count > 1").select("id", "text_key"))
+    with shuffles_freed(df.sparkSession):
+        rows = stored(placed_rows(df, text_col=text_col, id_col=id_col, **options).select("id", "text_key", "node", "stays"))
+        gone = stored(rows.where("not stays").select("id", "text_key").distinct())
+        again = rows.where("stays and (node is not null or id is not null)").groupBy("id", "text_key").count()
+        again = stored(again.where("count > 1").select("id", "text_key"))
 
     key = fresh(df, "text_key")
     keyed = df.withColumn(key, text_key(text_col))
