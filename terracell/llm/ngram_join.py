@@ -155,7 +155,7 @@ def spare_in(x: Column) -> Column:
 
 def send_batches(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int):
     """Documents and their sketch keys, as rows of ``SEND``; documents have -1 - size for x and their text's
-    hash for key."""
+    hash for key. A null to deal by stands for the key, which is not sent twice."""
     bands, seen = Bands(num, den), set()
     keys: list[np.ndarray] = []
     owners: list[tuple[int, int, int]] = []
@@ -181,7 +181,7 @@ def send_batches(batches: Iterator[pa.RecordBatch], words: int, num: int, den: i
         for a in range(0, len(key), 50_000):
             b = a + 50_000
             yield pa.RecordBatch.from_arrays(
-                [pa.array(deal[a:b]), pa.array(key[a:b]), pa.array(node[a:b]), pa.array(x[a:b])],
+                [pa.array(deal[a:b], mask=deal[a:b] == key[a:b]), pa.array(key[a:b]), pa.array(node[a:b]), pa.array(x[a:b])],
                 names=["deal", "key", "node", "x"],
             )
         keys.clear()

@@ -3,6 +3,8 @@
 import glob
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,16 @@ def test_steps_leave_no_shuffle_files(spark, prose, tmp_path, own):
     assert not files() - before
     assert out.count() == 72
     assert session.conf.getAll.get(FREE_SETTING) == own
+
+
+def test_a_key_is_sent_once(prose):
+    """Rows that are dealt by their key have no copy of it; other copies of a hot key are dealt by node."""
+    texts = [prose(80, 950)] + [prose(80, 960) + f" end{k}" for k in range(12)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(13)), "text": texts, "text_key": pa.array(range(13))})
+    sent = pa.Table.from_batches(ngram_join.send_batches(iter([batch]), 5, 3, 4))
+    keys = sent.filter(pa.compute.greater_equal(sent["x"], 0)).to_pandas()
+    hot = (keys.x & ngram_join.HOT_BIT) != 0
+    first = ~keys.duplicated("key")
+    assert hot.any() and not hot.all()
+    assert (keys.deal.isna() == (first | ~hot)).all()
+    assert keys.key.dtype == np.int64 and sent["key"].null_count == 0
